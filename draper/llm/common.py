@@ -78,3 +78,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(id_col: str = "doc_id"):
     """True where crc32 of the id as text leaves no remainder by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def utf8(column):
+    """Data bytes and offsets (numpy) of an Arrow string or binary array; null counts as empty."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_null(column.type):
+        column = column.cast(pa.string())
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    if column.null_count:
+        column = pc.fill_null(column, b"" if binary else "")
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def arrow_strings(column) -> list[str]:
+    return [x or "" for x in column.to_pylist()]
