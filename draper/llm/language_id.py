@@ -60,6 +60,12 @@ class ByteConvNet:
         self.p["out"] = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))).astype(np.float32)
         self.p["bias"] = np.zeros(len(classes), np.float32)
 
+    @classmethod
+    def of(cls, classes: list[str], p: dict[str, np.ndarray]) -> ByteConvNet:
+        net = cls(classes)
+        net.p = p
+        return net
+
     def pooled(self, x: np.ndarray, places: dict | None = None) -> np.ndarray:
         found = []
         for w in WIDTHS:
@@ -179,10 +185,10 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, held_out, lang_pred, score for every row; trains on df's labels unless a net is given."""
     spark = df.sparkSession
     net = net or train(df, id_col, text_col, lang_col)
-    model = spark.sparkContext.broadcast(net)
+    model = spark.sparkContext.broadcast((net.classes, net.p) if net else None)
 
     def score(batches):
-        net = model.value
+        net = ByteConvNet.of(*model.value) if model.value else None
         names = np.array((net.classes if net else []) + ["und"], dtype=object)
         for b in batches:
             label, best = predict(*utf8(b.column(2)), net)
