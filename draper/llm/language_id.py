@@ -206,3 +206,18 @@ def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op1_language_id(spark, sf_dir):
     return identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df, all columns, whose text has a language (is not ``und``)."""
+    net = train(df, id_col, text_col, lang_col)
+    model = df.sparkSession.sparkContext.broadcast((net.classes, net.p) if net else None)
+    at = df.columns.index(text_col)
+
+    def keep(batches):
+        net = ByteConvNet.of(*model.value) if model.value else None
+        for b in batches:
+            label, _ = predict(*utf8(b.column(at)), net)
+            yield b.filter(pa.array(label >= 0))
+
+    return df.mapInArrow(keep, df.schema)
