@@ -4,8 +4,9 @@ A document is a run of word-shingle hashes. For every size that benchmark items
 windows of that size slide over it (in steps of 2 shingles, 4 for longer items; shorter
 windows at the end), and each gets a SimHash from prefix sums of the bits. Windows are
 looked up in a multi-index: 64 bits are four blocks, and a fingerprint within ``RADIUS``
-of an item's is within ``RADIUS // 4`` of it in some block, so tables of block values
-find all of them; the full distance decides. Candidates are then verified exactly: the
+of an item's is within ``RADIUS // 4`` of it in one of the first ``RADIUS % 4 + 1`` blocks
+or within one less in another (else all blocks together would differ in more), so tables
+of block values find all of them; the full distance decides. Candidates are then verified exactly: the
 weighted Jaccard similarity of shingles (weights: occurrences) between the item and the
 stretch of the window's surroundings that its shingles span has to reach ``SIMILARITY``.
 
@@ -50,7 +51,7 @@ def shingles(names: np.ndarray, n: int) -> np.ndarray:
 
 def simhash(bits: np.ndarray, count) -> np.ndarray:
     """Fingerprints from sums of bits (rows of 64) and numbers of shingles."""
-    return np.packbits(bits * 2 > count, axis=1).view(np.uint64)[:, 0]
+    return np.packbits(bits > count // 2, axis=1).view(np.uint64)[:, 0]
 
 
 class ItemIndex:
@@ -63,7 +64,7 @@ class ItemIndex:
             words = WORDS.findall((text or "").lower())
             if not words:
                 continue
-            w = np.fromiter((names[x.encode()] for x in words), np.uint64, len(words))
+            w = np.array([names[x] for x in words], np.uint64)
             n = min(SHINGLE, len(words))
             s = shingles(w, n)
             if n < SHINGLE:
@@ -82,7 +83,7 @@ class ItemIndex:
                 for j, p in enumerate(prints):
                     for k in range(4):
                         own = np.uint16((int(p) >> (16 * k)) & 65535)
-                        tables[k][np.bitwise_count(values ^ own) <= radius // 4] |= np.uint64(1 << j)
+                        tables[k][np.bitwise_count(values ^ own) <= radius // 4 - (k > radius % 4)] |= np.uint64(1 << j)
                 self.groups.append((step, blocks, part, prints, tables))
 
     @staticmethod
@@ -108,7 +109,7 @@ class ItemIndex:
         chunk, total = [], 0
         for i, text in enumerate(texts):
             words = WORDS.findall(text.lower())
-            w = np.fromiter((names[x.encode()] for x in words), np.uint64, len(words))
+            w = np.array([names[x] for x in words], np.uint64)
             for n, known in self.short.items():
                 if len(w) >= n:
                     s = shingles(w, n)
@@ -153,11 +154,11 @@ class ItemIndex:
                 start = np.arange(len(ends))
                 stop = np.minimum(start + blocks, ends)
                 n = count[stop] - count[start]
-                start = start[n >= 0.75 * blocks * step]
-                stop, n = stop[start], n[start]
                 window = ones[stop]
-                window -= ones[start]
+                window -= ones[:-1]
                 prints = simhash(window, n[:, None].astype(np.uint16))
+                start = start[n >= 0.75 * blocks * step]
+                stop, prints = stop[start], prints[start]
             for at, item in self.near(group, prints):
                 self._verify(start[at] * step, stop[at] * step, item, step, all_s, real, begin, chunk, found)
 

@@ -31,7 +31,7 @@ LAST = 2**63 - 1
 class WordNames(dict):
     """Word -> XXH64, remembered for the words seen lately."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) > 500_000:
             self.clear()
         name = self[word] = xxhash.xxh64_intdigest(word)
@@ -42,7 +42,7 @@ def words_as_symbols(data: np.ndarray, offsets: np.ndarray):
     names, raw = WordNames(), data.tobytes()
     per = [raw[s:e].split() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     places = np.r_[0, np.cumsum([len(w) for w in per])].astype(np.int64)
-    return np.fromiter((names[w] for ws in per for w in ws), np.uint64, int(places[-1])), places
+    return np.array([names[w] for ws in per for w in ws], np.uint64), places
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, with_kept: bool = False) -> DataFrame:
