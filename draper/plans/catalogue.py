@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from draper.plans import evaluation, outfits  # noqa: F401  they register their queries
+from draper.plans.registry import QUERIES as _REGISTRY
+
+QUERIES = _REGISTRY.made
+ORACLE = _REGISTRY.sql
