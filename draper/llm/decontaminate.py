@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draper.llm.common import Scratch, arrow_strings, settings
+from draper.llm.common import Scratch, arrow_strings, free_name, settings
 from draper.llm.repeats import mix
 from draper.llm.substring_dedup import WordNames
 
@@ -197,8 +197,9 @@ def benchmark_slices(benchmark: DataFrame, item_col: str, text_col: str, most: i
 
 def with_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
               hits: str = "hits") -> DataFrame:
-    """df plus ``hits``, an array of the benchmark items found in each row's text."""
+    """df plus ``hits`` (underscores behind if df has one), the benchmark items found in each row's text."""
     spark = df.sparkSession
+    hits = free_name(df, hits)
     at = df.columns.index(text_col)
     for items in benchmark_slices(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast(items)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draper.llm.common import Scratch, settings
+from draper.llm.common import Scratch, free_name, settings
 
 LEAST = 20
 LAST = 2**63 - 1
@@ -130,18 +130,18 @@ def line_deletions(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
 
 
 def dedup_lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """df with shortened texts, plus n_lines and n_removed."""
+    """df with shortened texts, plus n_lines and n_removed (with underscores behind if df has such columns)."""
     spark = df.sparkSession
     with settings(spark):
-        gone = line_deletions(df, Scratch(spark, "line-dedup"), id_col, text_col, least)
+        gone = line_deletions(df, Scratch(spark, "line-dedup"), id_col, text_col, least).withColumnRenamed("gone", "_gone")
     listed = F.split(F.col(text_col), "\n", -1)
     joined = _keyed(df, id_col, text_col).join(gone.hint("shuffle_hash"), ["_id", "_key"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(listed) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(listed, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(listed) - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(listed, i)), "\n"))
     others = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in df.columns]
     return joined.select(
-        *others, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(listed)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *others, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(listed)).cast("long").alias(free_name(df, "n_lines")),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(free_name(df, "n_removed")),
     )
 
 

@@ -34,8 +34,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, source_size) -> plus rank and target: capped shares by weight, water-filled.
 
-    A source is capped when its cap / weight is not above the level that the budget
-    left by the sources capped before it gives; all others get level * weight.
+    In order of cap / weight, each source's level is what the budget left by the sources
+    before it gives for a weight of 1; the highest is the final one, and every source gets
+    level * weight or its cap, whichever is less.
     """
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
@@ -53,22 +54,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
             F.sum("source_size").over(every) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
             F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         ),
-    ).withColumn("capped", F.col("cap") / F.col("weight") <= F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(every)
-    return filled.select(
-        "source", "source_size", "nth", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target")
     )
+    # sources capped in turn raise the level; past the first that is not, it only falls
+    level = F.max("level").over(every)
+    return filled.select("source", "source_size", "nth", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights=WEIGHTS, share: float = SHARE, most: int = MOST, offset: float = OFFSET,
-                carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row; ``carry``: columns of df to keep."""
+                weights=WEIGHTS, share: float = SHARE, most: int = MOST, offset: float = OFFSET) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
     with settings(spark):
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-        rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carry)
+        rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = scratch.table(
             rows.repartitionByRange(parts, F.col("source"), F.col("size"), F.col("doc_id")).withColumn(
@@ -99,7 +98,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         copies = F.floor(shift + each * (rank + 1)) - F.floor(shift + each * rank)
         return joined.select(
             "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"),
-            (copies * F.col("size")).cast("long").alias("taken"), *carry,
+            (copies * F.col("size")).cast("long").alias("taken"),
         )
 
 
@@ -118,8 +117,7 @@ weighed AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUB
 filled AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0))
                      / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
            FROM weighed WINDOW b AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-flagged AS (SELECT *, cap / weight <= level AS capped FROM filled),
-targets AS (SELECT *, CASE WHEN capped THEN cap ELSE min(CASE WHEN NOT capped THEN level END) OVER () * weight END AS target FROM flagged),
+targets AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM filled),
 placed AS (SELECT d.*, t.source_size, t.target, t.nth, coalesce(t.target / nullif(t.source_size, 0), 0) AS each,
            row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS rank
            FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
