@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 18
 SLICE_BYTES = 16 << 20
-CHUNK = 1 << 15
+CHUNK = 1 << 17
 WORDS = re.compile(r"\w+")
 HITS = "array<struct<item_id:bigint,similarity:double,start_word:int,n_words:int>>"
 
@@ -58,7 +58,8 @@ class ItemIndex:
     """Items of one slice by window size, with block tables of at most 64 items each."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
-        names, self.radius = WordNames(), radius
+        self.names = names = WordNames()
+        self.radius = radius
         self.items, by_size, self.short = [], {}, {}
         for item_id, text in items:
             words = WORDS.findall((text or "").lower())
@@ -79,11 +80,12 @@ class ItemIndex:
             for i in range(0, len(at), 64):
                 part = at[i : i + 64]
                 prints = np.array([self._print(self.items[k][1]) for k in part])
-                tables = np.zeros((4, 65536), np.uint64)
+                kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= np.iinfo(k).bits)
+                tables = np.zeros((4, 65536), kind)
                 for j, p in enumerate(prints):
                     for k in range(4):
                         own = np.uint16((int(p) >> (16 * k)) & 65535)
-                        tables[k][np.bitwise_count(values ^ own) <= radius // 4 - (k > radius % 4)] |= np.uint64(1 << j)
+                        tables[k][np.bitwise_count(values ^ own) <= radius // 4 - (k > radius % 4)] |= kind(1 << j)
                 self.groups.append((step, blocks, part, prints, tables))
 
     @staticmethod
@@ -93,11 +95,12 @@ class ItemIndex:
     def near(self, group, prints: np.ndarray):
         """(places, item) of fingerprints within the radius of an item's."""
         _, _, part, own, tables = group
-        hit = tables[0][prints & np.uint64(65535)]
+        blocks = prints.view(np.uint16).reshape(-1, 4)
+        hit = tables[0][blocks[:, 0]]
         for k in (1, 2, 3):
-            hit |= tables[k][(prints >> np.uint64(16 * k)) & np.uint64(65535)]
+            hit |= tables[k][blocks[:, k]]
         for j, item in enumerate(part):
-            at = np.flatnonzero(hit & np.uint64(1 << j))
+            at = np.flatnonzero((hit & tables.dtype.type(1 << j)) != 0)
             at = at[np.bitwise_count(prints[at] ^ own[j]) <= self.radius]
             if len(at):
                 yield at, item
@@ -105,7 +108,7 @@ class ItemIndex:
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, int, int]]]:
         """For each text: item id -> (similarity, first word, words) of its best stretch."""
         found: list[dict] = [{} for _ in texts]
-        names = WordNames()
+        names = self.names
         chunk, total = [], 0
         for i, text in enumerate(texts):
             words = WORDS.findall(text.lower())
@@ -136,10 +139,11 @@ class ItemIndex:
             all_s[b : b + len(s)] = s
             real[b : b + len(s)] = 1
         bits = np.unpackbits(all_s.view(np.uint8).reshape(-1, 8), axis=1)
-        bits *= real[:, None]
         sums = {}
         for step in {g[0] for g in self.groups}:
-            ones = bits.reshape(-1, step, 64).sum(1, dtype=np.uint16)
+            ones = bits  # padding has no bits
+            for _ in range(step.bit_length() - 1):
+                ones = ones[0::2] + ones[1::2]
             sums[step] = (
                 np.concatenate([np.zeros((1, 64), np.uint16), np.cumsum(ones, 0, dtype=np.uint16)]),
                 np.r_[0, np.cumsum(real.reshape(-1, step).sum(1, dtype=np.int64))],
@@ -154,8 +158,11 @@ class ItemIndex:
                 start = np.arange(len(ends))
                 stop = np.minimum(start + blocks, ends)
                 n = count[stop] - count[start]
-                window = ones[stop]
-                window -= ones[:-1]
+                window = np.zeros((len(ends), 64), np.uint16)
+                if len(ends) > blocks:
+                    np.subtract(ones[blocks:], ones[:-blocks], out=window[: len(ones) - blocks])
+                short = np.flatnonzero(start + blocks > ends)
+                window[short] = ones[ends[short]] - ones[short]
                 prints = simhash(window, n[:, None].astype(np.uint16))
                 start = start[n >= 0.75 * blocks * step]
                 stop, prints = stop[start], prints[start]
