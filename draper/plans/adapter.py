@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draper.functions.vocab import FABRICS, LENGTHS, PATTERNS, SLEEVES, SWAPPABLE
+from draper.functions.vocab import FABRICS, LENGTHS, NECKLINES, PATTERNS, SLEEVES, SWAPPABLE
 
 CATEGORY = {"anvil": "hoodie", "bolt": "t shirt", "gear": "blouse", "gizmo": "trousers", "plate": "blazer", "ring": "jeans", "rod": "loafers", "widget": "widget"}
 COLOR = {"blue": "blue", "cold": "cyan", "hot": "orange", "large": "violet", "new": "white", "old": "brown", "red": "red", "small": "unknown"}
@@ -47,6 +47,7 @@ def garments(spark: SparkSession, sf_dir: str) -> DataFrame:
             _pick(PATTERNS, F.substring_index("p_brand", "#", -1).cast("int") % 8).alias("pattern"), _pick(FABRICS, F.col("p_size") % 8).alias("fabric"),
             F.when(slot.isin("upper", "outer", "dress"), _pick(SLEEVES, p % 6)).alias("sleeve_length"),
             F.when(slot.isin("lower", "dress"), _pick(LENGTHS, p % 5)).alias("length"),
+            F.when(slot.isin("upper", "outer", "dress"), _pick(NECKLINES, p % 7)).alias("neckline"),
             F.when(measured, 10 + F.col("p_size") * 1.6).alias("lab_l"), F.when(measured, (p * 37 % 161 - 80).cast("double")).alias("lab_a"),
             F.when(measured, (p * 91 % 161 - 80).cast("double")).alias("lab_b"), "area",
         )
@@ -69,6 +70,7 @@ garments AS (SELECT l_orderkey AS image_id, pos, slot, {_case("split_part(p_name
   {_case("split_part(p_name, ' ', 1)", COLOR)} AS color, {_list(PATTERNS)}[(split_part(p_brand, '#', 2)::INT % 8) + 1] AS pattern,
   {_list(FABRICS)}[(p_size % 8 + 1)::INT] AS fabric, CASE WHEN slot IN ('upper', 'outer', 'dress') THEN {_list(SLEEVES)}[(p_partkey % 6 + 1)::INT] END AS sleeve_length,
   CASE WHEN slot IN ('lower', 'dress') THEN {_list(LENGTHS)}[(p_partkey % 5 + 1)::INT] END AS length,
+  CASE WHEN slot IN ('upper', 'outer', 'dress') THEN {_list(NECKLINES)}[(p_partkey % 7 + 1)::INT] END AS neckline,
   CASE WHEN p_partkey % 11 <> 0 THEN 10 + p_size * 1.6::DOUBLE END AS lab_l,
   CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey * 37 % 161 - 80)::DOUBLE END AS lab_a,
   CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey * 91 % 161 - 80)::DOUBLE END AS lab_b,
