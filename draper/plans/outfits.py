@@ -241,22 +241,69 @@ def omissions(spark, d):
 
 
 def _feature_sql() -> str:
-    cols = ["count(*) AS garments"]
-    for s in V.SWAPPABLE:
-        f = f"FILTER (WHERE slot = '{s}' AND rn = 1)"
-        cols.append(f"(count(*) {f} = 0)::INT AS {s}_missing")
-        for name, values in (("pattern", V.PATTERNS), ("fabric", V.FABRICS), ("color", [*V.REFERENCE_RGB, "unknown"])):
-            cols += [f"coalesce(max(({name} = '{v}')::INT) {f}, 0) AS {s}_{name}_{v}" for v in values]
-        cols.append(f"coalesce(round(max(area) {f}, 9), 0)::DOUBLE AS {s}_area")
-        cols.append(f"coalesce(max((area IS NULL)::INT) {f}, 0) AS {s}_area_missing")
-    return f"WITH {GARMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, pos) AS rn FROM garments) SELECT image_id, {', '.join(cols)} FROM r GROUP BY image_id"
+    """The 372 columns from rows of representatives: filters for the slots, self-joins for the hues."""
+    slots, cols = ["upper", "outer", "lower", "dress", "footwear"], []
+    at = lambda s: f"FILTER (WHERE slot = '{s}')"
+    number = lambda e, s, name: f"coalesce(max({e}) {at(s)}, 0)::DOUBLE AS {s}__{name}"
+    for s in slots:
+        cols.append(f"(count(*) {at(s)} = 0)::INT::DOUBLE AS {s}__slot_missing")
+        for field, values, nullable in (("color", [*V.REFERENCE_RGB, "unknown"], False), ("pattern", V.PATTERNS, False), ("fabric", V.FABRICS, False),
+                                        ("sleeve_length", V.SLEEVES, True), ("length", V.LENGTHS, True), ("neckline", V.NECKLINES, True)):
+            cols += [number(f"({field} = '{v}')::INT", s, f"{field}__{v}") for v in values]
+            if nullable:
+                cols.append(number(f"({field} IS NULL)::INT", s, f"{field}__is_none"))
+        cols += [number(f"lab_{c}", s, f"color_lab_{c}") for c in "lab"] + [number("(lab_l IS NULL)::INT", s, "color_lab_missing")]
+        for e, name, missing in (("area", "area_fraction", "area_missing"), ("level", "formality_level", "formality_missing"),
+                                 ("warm", "fabric_warmth", "fabric_warmth_missing"), ("exposure", "cut_exposure", "cut_exposure_missing")):
+            cols += [number(e, s, name), number(f"({e} IS NULL)::INT", s, missing)]
+    spread = lambda e: f"CASE WHEN count({e}) > 1 THEN max({e}) - min({e}) ELSE 0 END::DOUBLE"
+    chroma = "CASE WHEN sqrt(a * a + b * b) >= 5 THEN sqrt(a * a + b * b) END"
+    ratio = f"max(area) {at('upper')} / max(area) {at('lower')}"
+    plain = {
+        "color__chroma_contrast": spread(chroma), "color__chroma_contrast_undefined": f"(count({chroma}) <= 1)::INT::DOUBLE",
+        "color__lightness_contrast": spread("l"), "color__lightness_contrast_undefined": "(count(l) <= 1)::INT::DOUBLE",
+        "color__neutral_count": "count(*) FILTER (WHERE color IN ('black', 'white', 'gray', 'beige', 'brown', 'navy'))::DOUBLE",
+        "formality__level_spread": "coalesce(max(level) - min(level), 0)::DOUBLE", "formality__level_mean": "coalesce(avg(level), 0)::DOUBLE",
+        "formality__mapped_count": "count(level)::DOUBLE", "formality__undefined": "(count(level) = 0)::INT::DOUBLE",
+        "season__max_fabric_warmth": "coalesce(max(warm), 0)::DOUBLE", "season__max_cut_exposure": "coalesce(max(exposure), 0)::DOUBLE",
+        "season__warmth_spread": spread("warm"), "season__undefined": "(count(warm) + count(exposure) = 0)::INT::DOUBLE",
+        "proportion__measured_area_sum": "coalesce(sum(area), 0)::DOUBLE", "proportion__max_area": "coalesce(max(area), 0)::DOUBLE",
+        "proportion__upper_lower_ratio": f"coalesce({ratio}, 0)::DOUBLE", "proportion__upper_lower_ratio_undefined": f"({ratio} IS NULL)::INT::DOUBLE",
+        "proportion__measured_count": "count(area)::DOUBLE", "composition__n_ignored": "0::DOUBLE", "composition__n_selected": "count(*)::DOUBLE",
+    }
+    cols += [f"{e} AS {name}" for name, e in plain.items()]
+    text = f"""WITH {RESOLVED}, valued AS (SELECT *, {_case('category', V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
+ greatest({_case('sleeve_length', V.SLEEVE_EXPOSURE)}, {_case('length', V.LENGTH_EXPOSURE)}) AS exposure FROM resolved),
+reps AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, pos) = 1),
+h AS (SELECT image_id, pos, hue FROM reps WHERE hue IS NOT NULL),
+p AS (SELECT image_id, avg(delta) AS mean, max(delta) AS most, count(*) AS pairs FROM (SELECT x.image_id, least(abs(x.hue - y.hue), 360 - abs(x.hue - y.hue)) AS delta
+ FROM h x JOIN h y ON x.image_id = y.image_id AND x.pos < y.pos) GROUP BY image_id),
+t AS (SELECT image_id, count(*) AS triads FROM (SELECT x.image_id, list_sort([x.hue, y.hue, z.hue]) AS s FROM h x JOIN h y ON x.image_id = y.image_id AND x.pos < y.pos JOIN h z ON y.image_id = z.image_id AND y.pos < z.pos)
+ WHERE abs(s[2] - s[1] - 120) <= 20 AND abs(s[3] - s[2] - 120) <= 20 AND abs(360 - (s[3] - s[1]) - 120) <= 20 GROUP BY image_id),
+gaps AS (SELECT image_id, hue, lead(hue) OVER (PARTITION BY image_id ORDER BY hue) AS nxt FROM h),
+f AS (SELECT image_id, greatest(1, count(*) FILTER (WHERE nxt - hue > 30) + CASE WHEN 360 - (max(hue) - min(hue)) > 30 THEN 1 ELSE 0 END) AS families FROM gaps GROUP BY image_id),
+w AS (SELECT image_id, {', '.join(cols)} FROM reps GROUP BY image_id)
+SELECT w.*, coalesce(mean, 0)::DOUBLE AS color__hue_delta_mean, coalesce(most, 0)::DOUBLE AS color__hue_delta_max, (pairs IS NULL)::INT::DOUBLE AS color__hue_delta_undefined,
+ coalesce(pairs, 0)::DOUBLE AS color__hue_pair_count, coalesce(families, 0)::DOUBLE AS color__distinct_hue_families,
+ (coalesce(families, 0) > 3)::INT::DOUBLE AS color__three_color_rule_violated, coalesce(triads, 0)::DOUBLE AS color__triadic_group_count
+FROM w LEFT JOIN p USING (image_id) LEFT JOIN t USING (image_id) LEFT JOIN f USING (image_id)"""
+    rounded = ", ".join(f"round({n}, 6) AS {n}" for n in ROUNDED)
+    return f"SELECT * REPLACE ({rounded}) FROM ({text})"
+
+
+#: Sums and differences whose last bits depend on the order of the terms.
+ROUNDED = [
+    "color__hue_delta_mean", "color__hue_delta_max", "color__chroma_contrast", "color__lightness_contrast", "formality__level_mean",
+    "season__warmth_spread", "proportion__measured_area_sum", "proportion__upper_lower_ratio",
+]
 
 
 @query(_feature_sql())
 def feature_vector(spark, d):
     from draper.operators.features import feature_columns
 
-    return feature_columns(garments(spark, d))
+    f = feature_columns(garments(spark, d))
+    return f.withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
 @query(f"""WITH {GARMENTS} SELECT slot, count(*) FILTER (WHERE fabric = 'na') AS fabric_na, count(*) FILTER (WHERE pattern = 'na') AS pattern_na, count(*) FILTER (WHERE length = 'na') AS length_na, count(*) AS n FROM garments GROUP BY slot""")
