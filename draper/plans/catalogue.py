@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from draper.plans import evaluation, learning, outfits  # noqa: F401  they register their queries
+from draper.plans import evaluation, learning, outfits, parsing  # noqa: F401  they register their queries
 from draper.plans.registry import QUERIES as _REGISTRY
 
 QUERIES = _REGISTRY.made
