@@ -48,3 +48,21 @@ ACHROMATIC, ANALOGOUS, TOLERANCE, SEPARATION, MAX_FAMILIES = 5.0, 30.0, 20.0, 30
 MIN_LIGHTNESS, MONO_LIGHTNESS, MAX_PATTERNS, MAX_FORMALITY, MAJOR_FORMALITY = 15.0, 8.0, 1, 2, 4
 HEAVY, SUMMER, WARMTH_SPREAD, MAX_ACCESSORIES, MAX_AREA, MAX_RATIO, MIN_MEASURED = 0.7, 0.6, 1.2, 3, 0.6, 3.0, 3
 UNSCORABLE = 50.0
+#: Slot -> classes of the parsing mask.
+MASK_CLASSES = {
+    "upper": [1], "outer": [2], "lower": [3, 5, 6], "dress": [4], "romper": [21], "footwear": [11], "headwear": [7], "neckwear": [9, 23],
+    "eyewear": [8], "bag": [12], "belt": [10], "socks": [18], "gloves": [19], "jewelry": [16, 17, 20, 22],
+}
+#: Slot -> category of a garment that only a mask shows; other slots are their own category.
+MASK_CATEGORY = {"upper": "top", "outer": "outerwear", "lower": "bottom", "other": "unknown"}
+#: Slots in the order in which one takes an image's only colour.
+COLOR_PRIORITY = [
+    "dress", "romper", "outer", "lower", "upper", "footwear", "bag", "headwear", "neckwear", "socks", "belt", "gloves", "eyewear", "jewelry", "other",
+]
+#: Head -> field and the slots that may take it, the first present one does.
+HEADS = {
+    "upper_fabric": ("fabric", ["upper"]), "lower_fabric": ("fabric", ["lower"]), "outer_fabric": ("fabric", ["outer"]),
+    "upper_pattern": ("pattern", ["upper"]), "lower_pattern": ("pattern", ["lower"]), "outer_pattern": ("pattern", ["outer"]),
+    "sleeve_length": ("sleeve_length", ["upper", "outer"]), "lower_length": ("length", ["lower"]), "neckline": ("neckline", ["upper", "outer"]),
+}
+PALETTE = {"seed": 20260101, "n_clusters": 3, "n_init": 3, "min_area_fraction": 0.02, "max_fit_pixels": 20000}
