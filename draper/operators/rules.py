@@ -33,8 +33,12 @@ def with_refs(g: DataFrame) -> DataFrame:
     return g.withColumn("ref", F.concat_ws("_", "slot", nth.cast("string")))
 
 
-def measures(g: DataFrame) -> DataFrame:
-    """All per-outfit aggregates that the rules read."""
+#: Rule -> issue code, where they differ.
+RULE_CODE = {"dominant_area": "proportion_imbalance", "upper_lower_ratio": "proportion_imbalance"}
+
+
+def measures(g: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """All per-outfit aggregates that the rules read, and extra ones, which may use level, warm, exposure, l and hue."""
     g = resolved(g)
     level, warm = lookup(V.FORMALITY, F.col("category")), lookup(V.WARMTH, F.col("fabric"))
     exposure = F.greatest(lookup(V.SLEEVE_EXPOSURE, F.col("sleeve_length")), lookup(V.LENGTH_EXPOSURE, F.col("length")))
@@ -49,7 +53,7 @@ def measures(g: DataFrame) -> DataFrame:
         F.bool_or(F.col("slot") == "footwear").alias("shod"), F.bool_or(F.col("slot").isin(*V.CORE)).alias("core"),
         F.count_if(F.col("slot").isin(*V.ACCESSORIES)).alias("accessories"), F.count("area").alias("measured"),
         area(V.DOMINANT, False).alias("biggest"), area(["upper"]).alias("upper_area"), area(["lower"]).alias("lower_area"),
-        F.bool_or(F.col("area").isNotNull() | F.col("level").isNotNull() | F.col("l").isNotNull()).alias("evidence"),
+        F.bool_or(F.col("area").isNotNull() | F.col("level").isNotNull() | F.col("l").isNotNull()).alias("evidence"), *extra,
     )
     first, last = F.element_at("hues", 1), F.element_at("hues", -1)
     gaps = F.zip_with(F.slice("hues", 2, F.greatest(F.size("hues") - 1, F.lit(0))), "hues", lambda x, y: x - y)
@@ -59,7 +63,7 @@ def measures(g: DataFrame) -> DataFrame:
 
 
 def rule_parts(m: DataFrame) -> DataFrame:
-    """The four subscores and the codes of the issues found, in rule order."""
+    """The four subscores, the rules broken and the codes of the issues found, in rule order."""
     p = V.PENALTY
     no = F.lit(False)
     mono = (F.col("lit") > 1) & (F.col("families") == 1) & (F.col("widest").isNull() | (F.col("widest") <= V.SEPARATION)) & (F.col("spread") < V.MONO_LIGHTNESS)
@@ -84,8 +88,8 @@ def rule_parts(m: DataFrame) -> DataFrame:
         "proportion": [
             ("missing_footwear", ~F.col("shod") & F.col("core") & (F.col("n") >= 2), F.lit(p["missing_footwear"])),
             ("accessory_overload", F.col("accessories") > V.MAX_ACCESSORIES, F.lit(p["accessory_overload"])),
-            ("proportion_imbalance", F.coalesce((F.col("measured") >= V.MIN_MEASURED) & (F.col("biggest") > V.MAX_AREA), no), F.lit(p["dominant_area"])),
-            ("proportion_imbalance", F.coalesce(both & (high / low > V.MAX_RATIO), no), F.lit(p["upper_lower_ratio"])),
+            ("dominant_area", F.coalesce((F.col("measured") >= V.MIN_MEASURED) & (F.col("biggest") > V.MAX_AREA), no), F.lit(p["dominant_area"])),
+            ("upper_lower_ratio", F.coalesce(both & (high / low > V.MAX_RATIO), no), F.lit(p["upper_lower_ratio"])),
         ],
     }
     out, codes = {}, []
@@ -93,8 +97,9 @@ def rule_parts(m: DataFrame) -> DataFrame:
         penalty = sum((F.when(when, cost).otherwise(0.0) for _, when, cost in found), F.lit(0.0))
         out[axis] = F.when(F.col("evidence"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - penalty))).otherwise(V.UNSCORABLE)
         codes += [F.when(when & F.col("evidence"), F.lit(code)) for code, when, _ in found]
-    issues = F.when(F.col("evidence"), F.array_compact(F.array(*codes))).otherwise(F.array(F.lit("other")))
-    return m.withColumns(out).withColumn("issues", issues)
+    broken = F.when(F.col("evidence"), F.array_compact(F.array(*codes))).otherwise(F.array(F.lit("other")))
+    scored = m.withColumns(out).withColumn("broken", broken)
+    return scored.withColumn("issues", F.transform("broken", lambda c: F.coalesce(lookup(RULE_CODE, c), c)))
 
 
 def rule_score(g: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draper.functions import color
 from draper.functions import vocab as V
+from draper.operators import roast as roasting
 from draper.operators import rules, tables
 from draper.plans.adapter import GARMENTS, garments, read
 from draper.plans.registry import query
@@ -404,3 +405,48 @@ def leakage_sim(spark, d):
     held = F.pmod(F.col("o_orderkey") * 48271 + F.col("trial") * 69621, F.lit(2147483647)) % 7 == 0
     h = t.groupBy("trial", "o_custkey").agg(F.count_if(held).alias("held"), F.count_if(~held).alias("kept"))
     return h.groupBy("trial").agg(F.round(F.sum(F.when(F.col("kept") > 0, F.col("held")).otherwise(0)) / F.sum("held"), 9).alias("leaked"))
+
+
+_WITNESS = f"""{SCORED}, refd AS (SELECT *, slot || '_' || (row_number() OVER (PARTITION BY image_id, slot ORDER BY pos) - 1) AS ref FROM valued),
+w AS (SELECT image_id, list(ref ORDER BY pos) FILTER (WHERE hue IS NOT NULL) AS hued, list(ref ORDER BY pos) AS refs, list(ref ORDER BY pos) FILTER (WHERE pattern NOT IN ('pure_color', 'na')) AS pats,
+ list(ref ORDER BY l DESC, pos) FILTER (WHERE l IS NOT NULL) AS bright, list(ref ORDER BY l, pos) FILTER (WHERE l IS NOT NULL) AS dark,
+ list(ref ORDER BY level DESC, pos) FILTER (WHERE level IS NOT NULL) AS high, list(ref ORDER BY level, pos) FILTER (WHERE level IS NOT NULL) AS lowest,
+ list(ref ORDER BY warm DESC, pos) FILTER (WHERE warm IS NOT NULL) AS warmest, list(ref ORDER BY warm, pos) FILTER (WHERE warm IS NOT NULL) AS coldest,
+ list(ref ORDER BY exposure DESC, pos) FILTER (WHERE exposure IS NOT NULL) AS barest, list(ref ORDER BY area DESC, ref) FILTER (WHERE area IS NOT NULL AND slot NOT IN ('dress', 'romper', 'outer')) AS large,
+ list(ref ORDER BY area DESC, ref) FILTER (WHERE area IS NOT NULL AND slot = 'upper') AS up, list(ref ORDER BY area DESC, ref) FILTER (WHERE area IS NOT NULL AND slot = 'lower') AS lo FROM refd GROUP BY image_id),
+c AS (SELECT p.image_id, list([x.ref, y.ref] ORDER BY i, j)[1] AS pair FROM hue_pairs p JOIN refd x ON p.image_id = x.image_id AND p.i = x.pos JOIN refd y ON p.image_id = y.image_id AND p.j = y.pos WHERE delta >= 160 GROUP BY p.image_id),
+f AS (SELECT * FROM low JOIN w USING (image_id) LEFT JOIN c USING (image_id)),
+named AS (SELECT *, CASE WHEN len(hued) > 1 THEN hued[1:5] ELSE [] END AS hues FROM f),
+issues AS (SELECT image_id, 0 AS nth, 'hue_clash' AS code, 'major' AS severity, pair AS refs FROM named WHERE clash UNION ALL SELECT image_id, 1, 'too_many_colors', 'minor', hues FROM named WHERE many
+ UNION ALL SELECT image_id, 2, 'monochrome_flat', 'minor', hues FROM named WHERE mono UNION ALL SELECT image_id, 3, 'low_contrast', 'minor', list_distinct([bright[1], dark[1]]) FROM named WHERE dim AND bright[1] = dark[1]
+ UNION ALL SELECT image_id, 3, 'low_contrast', 'minor', [bright[1], dark[1]] FROM named WHERE dim AND bright[1] <> dark[1] UNION ALL SELECT image_id, 4, 'pattern_clash', 'minor', pats[1:5] FROM named WHERE pat
+ UNION ALL SELECT image_id, 5, 'formality_mismatch', CASE WHEN gap >= 4 THEN 'major' ELSE 'minor' END, [high[1], lowest[1]] FROM named WHERE formal
+ UNION ALL SELECT image_id, 6, 'season_mismatch', 'major', CASE WHEN warmest[1] = barest[1] THEN [barest[1]] ELSE [warmest[1], barest[1]] END FROM named WHERE season
+ UNION ALL SELECT image_id, 7, 'fabric_mismatch', 'minor', [warmest[1], coldest[1]] FROM named WHERE fab UNION ALL SELECT image_id, 8, 'missing_footwear', 'minor', refs[1:5] FROM named WHERE shoes
+ UNION ALL SELECT image_id, 10, 'proportion_imbalance', 'minor', [large[1]] FROM named WHERE dom
+ UNION ALL SELECT image_id, 11, 'proportion_imbalance', 'minor', CASE WHEN ua >= la THEN [up[1], lo[1]] ELSE [lo[1], up[1]] END FROM named WHERE ratio)"""
+
+
+@query(f"WITH {_WITNESS} SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY nth) - 1 AS pos, code, severity, array_to_string(refs, ',') AS refs FROM issues")
+def issue_refs(spark, d):
+    """One row for each issue, with the garments it names; accessories are never over the limit in this binding."""
+    found = roasting.issues(garments(spark, d)).select("image_id", F.posexplode("issues").alias("pos", "i"))
+    return found.select("image_id", "pos", "i.code", "i.severity", F.array_join("i.garment_refs", ",").alias("refs"))
+
+
+@query(f"""WITH {_WITNESS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY severity, code, refs) AS rn FROM issues),
+best AS (SELECT image_id, max(code) FILTER (WHERE rn = 1) AS lead, max(code) FILTER (WHERE rn = 2) AS followup, max(refs) FILTER (WHERE rn = 1) AS one, max(refs) FILTER (WHERE rn = 2) AS two FROM ranked GROUP BY image_id)
+SELECT w.image_id, lead, followup, array_to_string(CASE WHEN lead IS NULL THEN refs[1:5] ELSE list_concat(one, list_filter(coalesce(two, []), lambda r: NOT list_contains(one, r))) END, ',') AS grounded FROM w LEFT JOIN best USING (image_id)""")
+def roast_plan(spark, d):
+    """The two worst issues and the garments a roast is grounded in."""
+    s = roasting.roast(garments(spark, d)).select("image_id", F.array_join("grounded_garments", ",").alias("grounded"))
+    worst = roasting.worst(F.col("issues"), 2)
+    lead = roasting.issues(garments(spark, d)).select("image_id", worst.alias("w")).select("image_id", F.get("w", F.lit(0))["code"].alias("lead"), F.get("w", F.lit(1))["code"].alias("followup"))
+    return lead.join(s, "image_id")
+
+
+@query()
+def roast(spark, d):
+    """The roast of every outfit; no SQL, hand rows test its sentences."""
+    r = roasting.roast(garments(spark, d))
+    return r.withColumns({"suggestions": F.array_join("suggestions", "\n"), "grounded_garments": F.array_join("grounded_garments", ",")})
