@@ -6,7 +6,9 @@ frequent to count. Of a document's shared lines the rarest choose first: a line
 document was already chosen adds no pair. Each pair is aligned on line hashes by patience
 diff: equal heads and tails, then lines that are unique in both sides, by a longest
 increasing run, and between those again. Runs of aligned lines with ``LEAST`` characters
-or more in all are deleted from the later document.
+or more in all are deleted from the later document. What no alignment can order (lines
+that repeat on a side, or stand in another order) is looked up in the first document's
+lines one by one, so a linked line is gone in every later document, each time it occurs.
 
 Defined cases: null text has no lines and stays null; blank lines and lines under
 ``LEAST`` characters link nothing but may be inside an aligned run; rows that share an id
@@ -89,6 +91,12 @@ def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int = LEA
     return out
 
 
+def known_lines(a: list[int], sizes: list[int], b: list[int], least: int = LEAST) -> list[int]:
+    """Places in a of lines that link (``least`` characters or more) and are anywhere in b."""
+    known = set(b)
+    return [i for i, h in enumerate(a) if sizes[i] >= least and h in known]
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_key": F.xxhash64(F.col(text_col))})
 
@@ -117,7 +125,7 @@ def line_deletions(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         for b in batches:
             keep, gone = [], []
             for k, (a, sizes, o) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
-                places = common_blocks(a, sizes, o, least)
+                places = sorted({*common_blocks(a, sizes, o, least), *known_lines(a, sizes, o, least)})
                 if places:
                     keep.append(k)
                     gone.append(places)

@@ -206,6 +206,23 @@ def test_line_dedup(docs, rows, empty, spark):
     assert out == sorted([(1, f"{a}\n\n{b}", 3, 0), (2, f"{c}\nshort", 5, 3), (3, "", 1, 1), (3, "", 1, 1), (4, None, 0, 0), (None, "", 1, 1)], key=key)
 
 
+def deduped(spark, rows):
+    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_line_dedup_finds_repeated_and_moved_lines(spark):
+    line = "a line that its first document has twice"
+    assert deduped(spark, [(1, f"{line}\nx\n{line}"), (2, f"y\n{line}\nw"), (3, f"z\n{line}\nv\n{line}")]) == {1: f"{line}\nx\n{line}", 2: "y\nw", 3: "z\nv"}
+    rng = random.Random(9)
+    lines = [f"line number {k} of a few dozen" for k in range(25)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, t in rows:
+        want[i] = "\n".join(x for x in t.split("\n") if x not in seen)
+        seen |= {*t.split("\n")}
+    assert deduped(spark, rows) == want
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(200):
