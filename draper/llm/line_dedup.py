@@ -1,18 +1,22 @@
 """Line dedup by pairwise alignment with patience diff.
 
-A line that several documents have links each of them to the first (smallest id) that has
-it, so a line costs one pair for each document however frequent it is, and no line is too
-frequent to count. Of a document's shared lines the rarest choose first: a line whose first
-document was already chosen adds no pair. Each pair is aligned on line hashes by patience
-diff: equal heads and tails, then lines that are unique in both sides, by a longest
-increasing run, and between those again. Runs of aligned lines with ``LEAST`` characters
-or more in all are deleted from the later document. What no alignment can order (lines
-that repeat on a side, or stand in another order) is looked up in the first document's
-lines one by one, so a linked line is gone in every later document, each time it occurs.
-
-Defined cases: null text has no lines and stays null; blank lines and lines under
-``LEAST`` characters link nothing but may be inside an aligned run; rows that share an id
-are not earlier than each other; a null id is later than all; an empty table gives an
+What links documents is a run of neighbouring lines that reaches ``LEAST`` characters: the
+shortest one that begins at a line and the shortest one that ends at it. A long line is
+such a run alone; short lines link together. Each line of a block that two documents have
+in common is in such a run inside the block, so runs find every block of ``LEAST``
+characters. A run links each of its documents to the first (smallest id) that has it, so
+it costs one pair for each document however frequent it is, and no run is too frequent to
+count. Each pair is aligned on line hashes by patience diff: equal heads and tails, then
+lines that are unique in both sides, by a longest increasing run, and between those again.
+Blocks of aligned lines with ``LEAST`` characters or more in all are deleted from the later
+document. What no alignment can order (lines that repeat on a side, or stand in another
+order) is looked up among the first document's runs. So a line goes if and only if it is in
+a block of ``LEAST`` characters or more that an earlier document has, wherever it is there,
+and each time it occurs.
+
+Defined cases: null text has no lines and stays null; characters are counted without
+spaces around a line, so blank lines count none but may be inside a block; rows that share
+an id are not earlier than each other; a null id is later than all; an empty table gives an
 empty result; other columns are kept as they are by ``dedup_lines_of``.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +33,7 @@ from draper.llm.common import Scratch, free_name, settings
 
 LEAST = 20
 LAST = 2**63 - 1
+BASE = 0x9E3779B97F4A7C15 & ~7 | 3
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -91,10 +97,48 @@ def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int = LEA
     return out
 
 
-def known_lines(a: list[int], sizes: list[int], b: list[int], least: int = LEAST) -> list[int]:
-    """Places in a of lines that link (``least`` characters or more) and are anywhere in b."""
-    known = set(b)
-    return [i for i, h in enumerate(a) if sizes[i] >= least and h in known]
+def minimal_runs(h: np.ndarray, n: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line behind the last, hash) of the shortest runs of ``least`` characters that begin or end at a line.
+
+    Lines lie flat, those of document k from offsets[k] to offsets[k + 1]; runs are in the order of documents.
+    """
+    sizes = np.diff(offsets)
+    total = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    line = np.arange(len(h))
+    ahead = np.searchsorted(total, total[:-1] + least, "left")
+    back = np.searchsorted(total, total[1:] - least, "right") - 1
+    forward = ahead <= np.repeat(offsets[1:], sizes)
+    backward = back >= np.repeat(offsets[:-1], sizes)
+    backward[backward] = ahead[back[backward]] != line[backward] + 1  # the same run from its other end
+    start, stop = np.r_[line[forward], back[backward]], np.r_[ahead[forward], line[backward] + 1]
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], stop[order]
+    # prefix sums of h * BASE ** place, modulo 2 ** 64
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(h), BASE, np.uint64)])
+    down = np.cumprod(np.r_[np.uint64(1), np.full(len(h), pow(BASE, -1, 1 << 64), np.uint64)])
+    prefix = np.r_[np.uint64(0), np.cumsum(h.astype(np.int64).view(np.uint64) * power[:-1], dtype=np.uint64)]
+    value = (prefix[stop] - prefix[start]) * down[start]
+    return start, stop, (value ^ (value >> np.uint64(29))) * np.uint64(BASE) + (stop - start).astype(np.uint64)
+
+
+def known_runs(a: tuple, b: tuple, least: int = LEAST) -> np.ndarray:
+    """True at the lines of a that are in a minimal run that b of the same pair has; a and b are (h, n, offsets) of all pairs."""
+    found = []
+    for h, n, offsets in (a, b):
+        start, stop, run = minimal_runs(h, n, offsets, least)
+        found.append((start, stop, run, np.searchsorted(offsets, start, "right") - 1))
+    (start, stop, run, pair), (_, _, other, its) = found
+    names, code = np.unique(np.r_[run, other], return_inverse=True)
+    code = code.astype(np.int64) + np.r_[pair, its] * len(names)
+    known = np.isin(code[: len(run)], code[len(run) :])
+    edge = np.bincount(start[known], minlength=len(a[0]) + 1) - np.bincount(stop[known], minlength=len(a[0]) + 1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets (from 0) of a list array."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,24 +152,32 @@ def line_deletions(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         "_id", "_key", F.transform(listed, lambda x: F.xxhash64(x)).alias("h"), F.transform(listed, lambda x: F.length(F.trim(x))).alias("n")
     )
     lines = scratch.table(lines, "lines")
-    long = F.filter(F.arrays_zip("h", "n"), lambda x: x["n"] >= least)
-    each = lines.select("_id", "_key", F.explode(F.array_distinct(F.transform(long, lambda x: x["h"]))).alias("line"))
-    first = each.groupBy("line").agg(
-        F.min(F.struct("_id", "_key")).alias("first"), F.max("_id").alias("last"), F.count("*").alias("found_in")
-    ).where(F.col("first._id") < F.col("last"))
-    first = scratch.table(first.select("line", F.col("first._id").alias("oid"), F.col("first._key").alias("okey"), "found_in"), "first")
-    pairs = each.join(first, "line").where("oid < _id").groupBy("_id", "_key", "oid", "okey").agg(F.min("found_in").alias("rarity"))
+
+    def runs(batches):
+        for b in batches:
+            h, offsets = _flat(b.column(2))
+            start, _, run = minimal_runs(h, _flat(b.column(3))[0], offsets, least)
+            doc = pa.array(np.searchsorted(offsets, start, "right") - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(run.view(np.int64))], ["_id", "_key", "run"])
+
+    each = lines.mapInArrow(runs, "_id long, _key long, run long")
+    first = each.groupBy("run").agg(F.min("_id").alias("oid"), F.min_by("_key", "_id").alias("okey"), F.max("_id").alias("last")).where("oid < last")
+    first = scratch.table(first.select("run", "oid", "okey"), "first")
+    pairs = each.join(first, "run").where("oid < _id").select("_id", "_key", "oid", "okey").distinct()
     pairs = scratch.table(pairs, "pairs")
-    earlier = lines.select(F.col("_id").alias("oid"), F.col("_key").alias("okey"), F.col("h").alias("oh")).distinct()
+    # distinct by all columns leaves the join an exchange of its own, so a hot owner's pairs can be split
+    earlier = lines.select(F.col("_id").alias("oid"), F.col("_key").alias("okey"), F.col("h").alias("oh"), F.col("n").alias("on")).distinct()
     # the owner's lines come once to each pair; rows that repeat id and text are one
     later = lines.dropDuplicates(["_id", "_key"])
-    joined = pairs.join(earlier, ["oid", "okey"]).join(later, ["_id", "_key"]).select("_id", "_key", "h", "n", "oh")
+    joined = pairs.join(earlier, ["oid", "okey"]).join(later, ["_id", "_key"]).select("_id", "_key", "h", "n", "oh", "on")
 
     def align(batches):
         for b in batches:
             keep, gone = [], []
+            (h, ends), (oh, other_ends) = _flat(b.column(2)), _flat(b.column(4))
+            known = known_runs((h, _flat(b.column(3))[0], ends), (oh, _flat(b.column(5))[0], other_ends), least)
             for k, (a, sizes, o) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
-                places = sorted({*common_blocks(a, sizes, o, least), *known_lines(a, sizes, o, least)})
+                places = sorted({*common_blocks(a, sizes, o, least), *np.flatnonzero(known[ends[k] : ends[k + 1]]).tolist()})
                 if places:
                     keep.append(k)
                     gone.append(places)

@@ -223,6 +223,28 @@ def test_line_dedup_finds_repeated_and_moved_lines(spark):
     assert deduped(spark, rows) == want
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    verse = "one short line\nand another"
+    assert deduped(spark, [(1, f"a\n{verse}\nb"), (2, f"c\n{verse}"), (3, f"{verse}\nd"), (4, "and another")]) == {1: f"a\n{verse}\nb", 2: "c", 3: "d", 4: "and another"}
+    rng = random.Random(12)
+    vocab = ["", " ", "a", "bb", "ccc", "d" * 6, "e" * 9, "f" * 12, "g" * 19, "h" * 25]
+    rows = [(i, "\n".join(rng.choice(vocab) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    want = {}
+    for i, t in rows:  # blocks of 20 characters or more that any earlier document has anywhere
+        a, gone = t.split("\n"), set()
+        for _, u in rows[:i]:
+            b = u.split("\n")
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if sum(len(z.strip(" ")) for z in a[x : x + n]) >= 20:
+                        gone |= {*range(x, x + n)}
+        want[i] = "\n".join(z for k, z in enumerate(a) if k not in gone)
+    assert deduped(spark, rows) == want
+
+
 def test_patience():
     rng = random.Random(2)
     for _ in range(200):
