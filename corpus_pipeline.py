@@ -33,12 +33,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component stays; repeated ids are one document."""
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
-    groups = simhash_groups(keyed.select("_id", "text"), id_col="_id")
-    stays = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    first = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    kept = keyed.join(stays.hint("shuffle_hash"), "_id", "left_semi").withColumn("_nth", F.row_number().over(first))
+    """One document of each SimHash component stays, the one with the smallest (id, hash of id and text).
+
+    Rows with the same id and text are one document; rows with one id, or none, and other texts are several.
+    """
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_node", F.xxhash64("_id", "text"))
+    groups = simhash_groups(keyed.select("_node", "text"), id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    members = groups.join(keyed.select("_node", "_id").distinct(), "_node")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("least")).select("least._node")
+    same = Window.partitionBy("_node").orderBy(F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    kept = keyed.join(stays.hint("shuffle_hash"), "_node", "left_semi").withColumn("_nth", F.row_number().over(same))
     return kept.where(F.col("_nth") == 1).select(*docs.columns)
 
 

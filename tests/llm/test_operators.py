@@ -323,6 +323,17 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in toxicity.score_toxicity(df, lab.limit(0)).collect()} == {0}
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    a, b, c, d, e = (prose(60, rng) for _ in range(5))
+    rows = [(5, a), (None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (7, e), (8, e), (9, a + " more")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in cp.near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=key) == sorted([(5, a), (None, b), (None, c), (7, d), (7, e)], key=key)
+
+
 def test_pipeline(spark, rows, empty, tmp_path):
     import corpus_pipeline as cp
 
