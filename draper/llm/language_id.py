@@ -154,14 +154,23 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return net
 
 
+def with_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """True for every text that has a letter."""
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    out = np.zeros(len(offsets) - 1, bool)
+    for k in range(len(out)):
+        text = data[offsets[k] : offsets[k + 1]]
+        out[k] = letter[text].any() or any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace"))
+    return out
+
+
 def predict(data: np.ndarray, offsets: np.ndarray, net: ByteConvNet | None) -> tuple[np.ndarray, np.ndarray]:
     """Class number (-1: no windows or no letter) and score of every text."""
     n = len(offsets) - 1
     label, score = np.full(n, -1), np.zeros(n)
     if net is None or not n or offsets[-1] == offsets[0]:
         return label, score
-    letter = np.zeros(256, bool)
-    letter[65:91] = letter[97:123] = letter[128:] = True
     starts, lengths, doc = cut_windows(data, offsets)
     total = np.zeros((n, len(net.classes)))
     for i in range(0, len(starts), 4096):
@@ -172,11 +181,8 @@ def predict(data: np.ndarray, offsets: np.ndarray, net: ByteConvNet | None) -> t
     total /= np.maximum(count, 1)[:, None]
     q = np.exp(total - total.max(1, keepdims=True))
     q /= q.sum(1, keepdims=True)
-    for k in range(n):
-        text = data[offsets[k] : offsets[k + 1]]
-        has = letter[text]
-        if has.any() and ((text < 128) & has).any() or any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace")):
-            label[k], score[k] = int(q[k].argmax()), float(q[k].max())
+    has = with_letters(data, offsets)
+    label[has], score[has] = q[has].argmax(1), q[has].max(1)
     return label, score
 
 
@@ -209,7 +215,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of df, all columns, whose text has a language (is not ``und``)."""
+    """The rows of df, all columns, whose text has a letter (is not ``und`` to a trained network)."""
     net = train(df, id_col, text_col, lang_col)
     model = df.sparkSession.sparkContext.broadcast((net.classes, net.p) if net else None)
     at = df.columns.index(text_col)
@@ -217,7 +223,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def keep(batches):
         net = ByteConvNet.of(*model.value) if model.value else None
         for b in batches:
-            label, _ = predict(*utf8(b.column(at)), net)
-            yield b.filter(pa.array(label >= 0))
+            text = utf8(b.column(at))
+            yield b.filter(pa.array(predict(*text, net)[0] >= 0 if net else with_letters(*text)))
 
     return df.mapInArrow(keep, df.schema)

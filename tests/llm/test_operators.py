@@ -285,6 +285,11 @@ def test_language(spark, empty):
     assert {r["doc_id"] for r in language_id.keep_identified(df).collect()} == set(range(120)) | {None}
 
 
+def test_language_stage_without_labels(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, "éà", None), (4, None, None), (None, "x", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_id.keep_identified(df).collect()} == {1, 3, None}
+
+
 def test_maximal_segments():
     rng = random.Random(1)
     for _ in range(300):
