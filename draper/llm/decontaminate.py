@@ -8,7 +8,8 @@ of an item's is within ``RADIUS // 4`` of it in one of the first ``RADIUS % 4 +
 or within one less in another (else all blocks together would differ in more), so tables
 of block values find all of them; the full distance decides. Candidates are then verified exactly: the
 weighted Jaccard similarity of shingles (weights: occurrences) between the item and the
-stretch of the window's surroundings that its shingles span has to reach ``SIMILARITY``.
+best stretch of the window's surroundings has to reach ``SIMILARITY``. Surroundings are as
+wide as a copy of that similarity with words inserted can be.
 
 The benchmark is read in slices of at most ``SLICE_BYTES`` of text, each slice is
 broadcast and has one pass over the documents.
@@ -169,21 +170,44 @@ class ItemIndex:
             for at, item in self.near(group, prints):
                 self._verify(start[at] * step, stop[at] * step, item, step, all_s, real, begin, chunk, found)
 
+    @staticmethod
+    def _best(places: np.ndarray, names: np.ndarray, weights: Counter, size: int) -> tuple[float, int, int]:
+        """(similarity, first place, place behind the last) of the best stretch between two of an item's shingles."""
+        seen: dict[int, list[int]] = {}
+        spent = np.full(len(places), -1)  # a shingle counts in stretches that begin behind its weight-th last occurrence
+        for t, name in enumerate(names.tolist()):
+            at = seen.setdefault(name, [])
+            if len(at) >= weights[name]:
+                spent[t] = at[-weights[name]]
+            at.append(t)
+        best = (0.0, 0, 0)
+        for i in range(len(places)):
+            both = np.cumsum(spent[i:] < i)
+            similarity = both / (size + places[i:] - places[i] + 1 - both)
+            j = int(similarity.argmax())
+            if similarity[j] > best[0]:
+                best = (float(similarity[j]), int(places[i]), int(places[i + j]) + 1)
+            if len(places) - i - 1 < SIMILARITY * size - 1e-9:
+                break
+        return best
+
     def _verify(self, start, stop, item, step, all_s, real, begin, chunk, found) -> None:
         item_id, s, weights, known = self.items[item]
         doc = np.searchsorted(begin, start, "right") - 1
-        low, high = np.maximum(start - 2 * step, begin[doc]), np.minimum(stop + 2 * step, begin[doc + 1])
+        around = max(2 * step, int(np.ceil(len(s) * (1 / SIMILARITY - 1))))
+        low, high = np.maximum(start - around, begin[doc]), np.minimum(stop + around, begin[doc + 1])
         span = low[:, None] + np.arange(int((high - low).max()))
         inside = span < high[:, None]
         span = np.minimum(span, len(all_s) - 1)
         at = np.minimum(np.searchsorted(known, all_s[span]), len(known) - 1)
         hit = (known[at] == all_s[span]) & inside & (real[span] > 0)
+        done: dict[tuple[int, int], tuple[float, int, int]] = {}  # windows beside each other often have the same shingles
         for k in np.flatnonzero(hit.sum(1) >= SIMILARITY * len(s) - 1e-9).tolist():
-            places = np.flatnonzero(hit[k])
-            a, b = int(span[k, places[0]]), int(span[k, places[-1]]) + 1
-            own = Counter(all_s[a:b].tolist())
-            both = sum((weights & own).values())
-            similarity = both / (len(s) + (b - a) - both)
+            places = span[k, hit[k]]
+            ends = int(places[0]), int(places[-1])
+            if ends in done:
+                continue
+            similarity, a, b = done[ends] = self._best(places, all_s[places], weights, len(s))
             if similarity >= SIMILARITY - 1e-9:
                 i, first = chunk[doc[k]][0], a - int(begin[doc[k]])
                 new = (similarity, first, b - a + SHINGLE - 1)

@@ -206,6 +206,31 @@ def test_line_dedup(docs, rows, empty, spark):
     assert out == sorted([(1, f"{a}\n\n{b}", 3, 0), (2, f"{c}\nshort", 5, 3), (3, "", 1, 1), (3, "", 1, 1), (4, None, 0, 0), (None, "", 1, 1)], key=key)
 
 
+def test_decontaminate_long_insertion():
+    rng = random.Random(21)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(204)]
+    copy = words[:100] + [f"new{k}" for k in range(30)] + words[100:]
+    around = [f"x{k}" for k in range(300)]
+    text = " ".join(around[:150] + copy + around[150:] + words[:5])
+    ((similarity, first, n),) = (d[1] for d in decontaminate.ItemIndex([(1, " ".join(words))]).search([text]))
+    assert similarity == pytest.approx(196 / 234) and (first, n) == (150, 234)
+
+
+def test_best_stretch():
+    rng = random.Random(22)
+    for _ in range(100):
+        item = Counter(rng.randint(0, 9) for _ in range(12))
+        row = [rng.randint(0, 14) for _ in range(25)]
+        places = np.array([k for k, x in enumerate(row) if x in item], int)
+        want = 0.0
+        for a in places.tolist():
+            for b in places[places >= a].tolist():
+                both = sum((item & Counter(row[a : b + 1])).values())
+                want = max(want, both / (12 + b + 1 - a - both))
+        got = decontaminate.ItemIndex._best(places, np.array(row)[places], item, 12)[0]
+        assert got == pytest.approx(want) or (want < decontaminate.SIMILARITY and got < decontaminate.SIMILARITY)
+
+
 def deduped(spark, rows):
     return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
