@@ -3,8 +3,9 @@
 Windows of ``WINDOW`` bytes (plus the overlap that the widest filter needs) pass
 through filters of several widths over one-hot bytes, which are sums of table rows;
 then ReLU, max pooling over the window and a softmax layer. The network is trained in
-numpy on windows of at most ``MAX_DOCUMENTS`` labelled documents (chosen by a hash of
-their ids, at most ``WINDOWS_EACH`` windows from each, dealt over its whole text). A
+numpy on windows of at most ``MAX_DOCUMENTS`` labelled documents (distinct rows, chosen by
+a hash of id and text, every language as often as it can be; at most ``WINDOWS_EACH``
+windows from each, dealt over its whole text). A
 document's score is the softmax of its windows' mean logits, weighted by their bytes;
 every window of the whole text counts.
 
@@ -118,11 +119,40 @@ class ByteConvNet:
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Documents for each language, at most ``most`` in all: equal shares, and what small languages leave goes to larger ones."""
+    out, left = {}, most
+    for n, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(size, -(-left // (len(sizes) - n)))
+        left -= out[lang]
+    return out
+
+
+def training_rows(labelled: DataFrame, most: int) -> list[int]:
+    """Keys (hash of id, text and language) of the rows to train on; at most about twice ``most`` come to the driver."""
+    keys = labelled.select("_key", "lang").distinct()
+    found = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
+    want = shares(sizes, most)
+    # the least keys of each language are below this share of the hash range, but for very few cases
+    bounds = [(lang, int(-(2**63) + 2**64 * min(1.0, (n + 6 * n**0.5 + 8) / sizes[lang])) - 1) for lang, n in want.items()]
+    limit = labelled.sparkSession.createDataFrame([(lang, min(b, 2**63 - 1)) for lang, b in bounds], "lang string, bound long")
+    low = keys.join(F.broadcast(limit), "lang").where(F.col("_key") <= F.col("bound")).collect()
+    taken: dict[str, int] = {}
+    out = []
+    for key, lang in sorted((r["_key"], r["lang"]) for r in low):
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= want[lang]:
+            out.append(key)
+    return out
+
+
 def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = MAX_DOCUMENTS):
     """(language, windows) of at most ``most`` labelled documents that are not held out."""
     named = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    labelled = labelled.withColumn("_key", F.xxhash64("doc_id", "text", "lang"))
+    chosen = df.sparkSession.createDataFrame([(k,) for k in training_rows(labelled, most)], "_key long")
 
     def cut(batches):
         for b in batches:
@@ -138,9 +168,9 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, m
                     [pa.array([langs[i] for i in doc[pick]]), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "window"]
                 )
 
-    picked = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang")
-    got = picked.mapInArrow(cut, "lang string, window binary").toPandas()
-    got = got.sort_values(["lang", "window"], kind="stable").head(most * WINDOWS_EACH * 4)
+    # a row that is repeated very often is one by the time it leaves its task
+    picked = labelled.join(F.broadcast(chosen), "_key", "left_semi").dropDuplicates(["_key"]).select("text", "lang")
+    got = picked.mapInArrow(cut, "lang string, window binary").toPandas().sort_values(["lang", "window"], kind="stable")
     return got["lang"].tolist(), np.array([np.frombuffer(w, np.uint8) for w in got["window"]])
 
 

@@ -315,6 +315,17 @@ def test_language_stage_without_labels(spark):
     assert {r["doc_id"] for r in language_id.keep_identified(df).collect()} == {1, 3, None}
 
 
+def test_training_rows_of_a_repeated_id(spark):
+    rows = [(0, f"aaaa {k}", "aa") for k in range(700)] + [(0, "aaaa", "aa")] * 200 + [(k, f"zz {k}", "zz") for k in range(1, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = df.where(~language_id.held_out()).groupBy("lang").count().collect()
+    assert {r["lang"] for r in kept} == {"aa", "zz"}
+    langs, x = language_id.training_windows(df, "doc_id", "text", "lang", most=40)
+    seen = Counter(langs)
+    assert len(langs) == len(x) == 40 and seen["aa"] == 20 and seen["zz"] == 20
+    assert language_id.shares({"a": 100, "b": 3, "c": 50}, 60) == {"a": 28, "b": 3, "c": 29}
+
+
 def test_maximal_segments():
     rng = random.Random(1)
     for _ in range(300):
