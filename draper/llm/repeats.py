@@ -6,17 +6,20 @@ anchor at the same place, so
 
 1. only anchors (about 2 in w + 1 positions) become rows, each with its name (rank) at
    the first length;
-2. ranks are doubled: rows whose rank is unique are dropped, the others are ranked by the
-   pair of their rank and the rank at the next offset, up to the window's length. What
-   still repeats there covers a whole window;
+2. ranks are doubled: rows whose rank is unique are dropped, the others are ranked by a
+   sort of the pairs of their rank and the name at the next offset, up to the window's
+   length. What still repeats there covers a whole window;
 3. windows that reach over the edge of a covered run are compared themselves; which
    anchors and offsets can have such windows follows from the runs alone, and the same
    windows of all other texts are asked for by the anchor's name.
 
 Texts are classes of equal texts, named by a hash that is checked for collisions and
-stored once in a bucketed table, so that the later passes bring rows to the texts and
-never deal out texts again. Repeats are judged by an aggregate and a join, which
-adaptive execution can split where one gram is in a large part of all texts.
+stored once in a bucketed table in the shared folder (a bucket for each ``BUCKET_BYTES``
+of text at least), so that the later passes bring rows to the texts and never deal out
+texts again. Repeats are judged by an aggregate and a join, which adaptive execution can
+split where one gram is in a large part of all texts. Edge windows are settled inside
+each task first: what repeats there is known to repeat, and of each name one row goes on
+as a witness, so a name that is in a large part of all texts meets once for each task.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from draper.llm.common import Scratch, utf8
 
 CHUNK = 1 << 18
+BUCKET_BYTES = 256 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(32)
 
@@ -88,6 +92,39 @@ def anchors(gram: np.ndarray, low: np.ndarray, lengths: tuple[int, ...]) -> np.n
     return np.flatnonzero(sliding(np.maximum, padded, width)[: len(gram)] == gram) if len(low) else np.zeros(0, np.int64)
 
 
+def settle(name: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(known to repeat, witness of its name) for windows of one chunk.
+
+    Without ids a window is known where its name occurs again, and the first of a name is
+    its witness. With ids it is known where its name has a smaller id, and all windows of
+    the smallest id are witnesses.
+    """
+    if not len(name):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order = np.argsort(name, kind="stable") if ids is None else np.lexsort((ids, name))
+    head = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+    count = np.diff(np.r_[head, len(name)])
+    known, witness = np.zeros(len(name), bool), np.zeros(len(name), bool)
+    if ids is None:
+        known[order] = np.repeat(count > 1, count)
+        witness[order[head]] = True
+    else:
+        known[order] = ids[order] > np.repeat(ids[order[head]], count)
+        witness = ~known
+    return known, witness
+
+
+def thinned(text: np.ndarray, place: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
+    """Known windows that cover what all known ones do: the first and last of each half window of a text; rows in order of text and place."""
+    at = np.flatnonzero(known)
+    out = np.zeros(len(text), bool)
+    if len(at):
+        part = place[at] // max(1, size // 2)
+        edge = (text[at][1:] != text[at][:-1]) | (part[1:] != part[:-1])
+        out[at[np.r_[True, edge] | np.r_[edge, True]]] = True
+    return out
+
+
 def chunks(sizes: np.ndarray, most: int = CHUNK):
     """Runs of texts of about ``most`` symbols together (a longer text is alone)."""
     start = total = 0
@@ -129,20 +166,27 @@ class Repeats:
 
     def store_texts(self) -> None:
         """Classes (cid, text, id: smallest doc_id, n: rows) in a bucketed table, and (doc_id, cid) rows."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
         for seed in range(8):
             cid = F.xxhash64(F.sha2(F.col("text").cast("binary"), 256), F.lit(seed))
             classes = self.docs.withColumn("cid", cid).groupBy("cid").agg(
                 F.first("text").alias("text"), F.min("doc_id").alias("id"), F.count("*").alias("n"),
                 F.min(F.xxhash64("text")).alias("h0"), F.max(F.xxhash64("text")).alias("h1"),
             )
-            (classes.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "cid").mode("overwrite").saveAsTable(self.name))
+            store = classes.write.format("parquet").option("compression", "zstd").option("path", f"{self.scratch.root}/texts{seed}")
+            store.bucketBy(buckets, "cid").mode("overwrite").saveAsTable(self.name)
             if self.spark.table(self.name).where("h0 <> h1").isEmpty():
                 break
         self.texts = self.spark.table(self.name).select("cid", "text", "id", "n")
         self.rows = self.scratch.table(self.docs.select("doc_id", cid.alias("cid")), "rows")
 
-    def drop_texts(self) -> None:
+    def __enter__(self) -> Repeats:
+        self.store_texts()
+        return self
+
+    def __exit__(self, *error) -> None:
+        """The catalog forgets the texts, also after a failure."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def _anchor_rows(self) -> DataFrame:
@@ -174,23 +218,29 @@ class Repeats:
         found = self.texts.select("cid", "text", "id").mapInArrow(run, schema)
         return found if self.smaller else found.drop("id")
 
-    def _repeated(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The rows whose keys repeat (with the smallest id as ``least`` where ids matter)."""
+    def _repeated(self, rows: DataFrame, keys: list[str], ranked: bool = False) -> DataFrame:
+        """The rows whose keys repeat (with the smallest id as ``least`` where ids matter).
+
+        ranked: with ``rank``, the place of their keys among all that repeat, by a sort of those.
+        """
         if self.smaller:
             again = rows.groupBy(*keys).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
         else:
             again = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        if ranked:
+            again = again.orderBy(*keys).withColumn("next", F.monotonically_increasing_id())
         again = self.scratch.table(again, f"again-{uuid.uuid4().hex}")
-        return rows.drop("least").join(again, keys)
+        found = rows.drop("least").join(again, keys)
+        return found.withColumn("rank", F.col("next")).drop("next") if ranked else found
 
     def _covered(self, found: DataFrame) -> DataFrame:
         """Ranks doubled up to the window: (cid, pos) of anchors whose whole window repeats."""
-        now = found.where("r0 is not null").withColumn("rank", F.col("g"))
+        now = found.where("r0 is not null").drop("g")
         last = len(self.lengths) - 2
         for n in range(last + 1):
-            now = self._repeated(now, ["rank", f"r{n}"])
+            now = self._repeated(now, ["rank", f"r{n}"], ranked=n < last)
             if n < last:
-                now = self.scratch.table(now.withColumn("rank", F.xxhash64("rank", f"r{n}")), f"doubled{n}")
+                now = self.scratch.table(now.drop(f"r{n}"), f"doubled{n}")
         if self.smaller:
             now = now.where("id > least")
         return now.select("cid", "pos")
@@ -248,23 +298,32 @@ class Repeats:
                     ranks = gram
                     for have, size in zip(lengths, lengths[1:]):
                         ranks = longer(ranks, have, size)
+                    name, place = ranks[start], start - places[text]
+                    row_id = b.column(2).take(pa.array(first + text))
+                    known, witness = settle(name, row_id.to_numpy(zero_copy_only=False).astype(np.int64) if smaller else None)
+                    apart = known & ~witness
+                    kept = ~apart | thinned(text, place, known, lengths[-1])
+                    # a known window that isn't the name's witness is a name of its own
+                    name = np.where(apart, mix(start.astype(np.uint64), b.column(0).take(pa.array(first + text)).to_numpy().view(np.uint64)), name)
+                    at = pa.array(np.flatnonzero(kept))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ranks[start].view(np.int64)), b.column(0).take(pa.array(first + text)), b.column(2).take(pa.array(first + text)),
-                         pa.array(start - places[text], pa.int32())],
-                        ["name", "cid", "id", "pos"],
+                        [pa.array(name.view(np.int64)).take(at), pa.array(apart).take(at), pa.array(known).take(at),
+                         b.column(0).take(pa.array(first + text)).take(at), row_id.take(at), pa.array(place, pa.int32()).take(at)],
+                        ["name", "apart", "known", "cid", "id", "pos"],
                     )
 
+        smaller = self.smaller
         joined = self.texts.join(asked, "cid").select("cid", "text", "id", "asks")
-        found = joined.mapInArrow(run, "name long, cid long, id long, pos int")
-        same = Window.partitionBy("name")
+        found = joined.mapInArrow(run, "name long, apart boolean, known boolean, cid long, id long, pos int")
+        same = Window.partitionBy("name", "apart")
         if self.smaller:
-            return found.withColumn("least", F.min("id").over(same)).where("id > least").select("cid", "pos")
-        return found.drop("id").withColumn("n", F.count("*").over(same)).where("n > 1").select("cid", "pos")
+            return found.withColumn("least", F.min("id").over(same)).where("known or id > least").select("cid", "pos")
+        return found.drop("id").withColumn("n", F.count("*").over(same)).where("known or n > 1").select("cid", "pos")
 
     def starts(self) -> DataFrame:
         """(cid, starts): where windows that repeat start, enough of them to cover every repeated symbol."""
         anchor_rows = self.scratch.table(self._anchor_rows(), "anchors")
-        found = self.scratch.table(self._repeated(anchor_rows, ["g"]), "found")
+        found = self.scratch.table(self._repeated(anchor_rows, ["g"], ranked=True), "found")
         self.scratch.drop("anchors")
         covered = self.scratch.table(self._covered(found), "covered")
         asked = self.scratch.table(self._asked(found, covered), "asked")

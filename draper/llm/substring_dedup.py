@@ -50,37 +50,35 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, size = df.sparkSession, lengths[-1]
     named = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text"))
     with settings(spark):
-        search = Repeats(named, words_as_symbols, lengths, True, "doc_id", "text")
-        search.store_texts()
-        starts = search.starts()
-
-        def cut(batches):
-            for b in batches:
-                data, offsets = utf8(b.column(1))
-                raw, where, out = data.tobytes(), b.column(2).to_pylist(), []
-                for i in range(b.num_rows):
-                    words = raw[offsets[i] : offsets[i + 1]].split()
-                    n = len(words)
-                    kept = words
-                    if where[i]:
-                        gone = cover(np.array(where[i]), size, n)
-                        kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                    kept = b" ".join(kept)
-                    whole = b"" if n >= size else b" ".join(words)  # what is left of a later copy
-                    removed = int(gone.sum()) if where[i] else 0
-                    out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_kept else None,
-                                n if n >= size else 0, hashlib.sha256(whole).hexdigest(), whole.decode() if with_kept else None))
-                cols = list(zip(*out)) if out else [[]] * 7
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(3), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                    ["cid", "id", "n_words", "n_removed", "kept_sha256", "kept", "c_removed", "c_sha256", "c_kept"],
-                )
-
-        joined = search.texts.join(starts, "cid", "left").select("cid", "text", "starts", "id")
-        schema = "cid long, id long, n_words long, n_removed long, kept_sha256 string, kept string, c_removed long, c_sha256 string, c_kept string"
-        results = search.scratch.table(joined.mapInArrow(cut, schema), "results")
-        search.drop_texts()
+        with Repeats(named, words_as_symbols, lengths, True, "doc_id", "text") as search:
+            starts = search.starts()
+
+            def cut(batches):
+                for b in batches:
+                    data, offsets = utf8(b.column(1))
+                    raw, where, out = data.tobytes(), b.column(2).to_pylist(), []
+                    for i in range(b.num_rows):
+                        words = raw[offsets[i] : offsets[i + 1]].split()
+                        n = len(words)
+                        kept = words
+                        if where[i]:
+                            gone = cover(np.array(where[i]), size, n)
+                            kept = [w for w, g in zip(words, gone.tolist()) if not g]
+                        kept = b" ".join(kept)
+                        whole = b"" if n >= size else b" ".join(words)  # what is left of a later copy
+                        removed = int(gone.sum()) if where[i] else 0
+                        out.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_kept else None,
+                                    n if n >= size else 0, hashlib.sha256(whole).hexdigest(), whole.decode() if with_kept else None))
+                    cols = list(zip(*out)) if out else [[]] * 7
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), b.column(3), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
+                        ["cid", "id", "n_words", "n_removed", "kept_sha256", "kept", "c_removed", "c_sha256", "c_kept"],
+                    )
+
+            joined = search.texts.join(starts, "cid", "left").select("cid", "text", "starts", "id")
+            schema = "cid long, id long, n_words long, n_removed long, kept_sha256 string, kept string, c_removed long, c_sha256 string, c_kept string"
+            results = search.scratch.table(joined.mapInArrow(cut, schema), "results")
     later = F.col("doc_id") > F.col("id")
     out = search.rows.join(results, "cid").select(
         F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), "n_words", F.when(later, F.col("c_removed")).otherwise(F.col("n_removed")).alias("n_removed"),

@@ -33,35 +33,33 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) for every row."""
     spark, size = df.sparkSession, lengths[-1]
     with settings(spark):
-        search = Repeats(df, bytes_as_symbols, lengths, False, id_col, text_col)
-        search.store_texts()
-        starts = search.starts()
+        with Repeats(df, bytes_as_symbols, lengths, False, id_col, text_col) as search:
+            starts = search.starts()
 
-        def cut(batches):
-            for b in batches:
-                data, offsets = utf8(b.column(1))
-                where = b.column(3).to_pylist()
-                out = []
-                for i, copies in enumerate(b.column(2).to_pylist()):
-                    text = data[offsets[i] : offsets[i + 1]]
-                    gone = np.zeros(len(text), bool)
-                    if copies > 1 and len(text) >= size:
-                        gone[:] = True
-                    elif where[i]:
-                        gone = cover(np.array(where[i]), size, len(text))
-                    kept = text[~gone].tobytes()
-                    spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
-                    out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-                cols = list(zip(*out)) if out else [[]] * 5
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["cid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                )
+            def cut(batches):
+                for b in batches:
+                    data, offsets = utf8(b.column(1))
+                    where = b.column(3).to_pylist()
+                    out = []
+                    for i, copies in enumerate(b.column(2).to_pylist()):
+                        text = data[offsets[i] : offsets[i + 1]]
+                        gone = np.zeros(len(text), bool)
+                        if copies > 1 and len(text) >= size:
+                            gone[:] = True
+                        elif where[i]:
+                            gone = cover(np.array(where[i]), size, len(text))
+                        kept = text[~gone].tobytes()
+                        spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0
+                        out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+                    cols = list(zip(*out)) if out else [[]] * 5
+                    kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["cid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                    )
 
-        joined = search.texts.join(starts, "cid", "left").select("cid", "text", "n", "starts")
-        schema = "cid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-        results = search.scratch.table(joined.mapInArrow(cut, schema), "results")
-        search.drop_texts()
+            joined = search.texts.join(starts, "cid", "left").select("cid", "text", "n", "starts")
+            schema = "cid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+            results = search.scratch.table(joined.mapInArrow(cut, schema), "results")
     out = search.rows.join(results, "cid").drop("cid")
     return out if with_kept else out.drop("kept")
 
