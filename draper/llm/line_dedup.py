@@ -141,14 +141,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_key": F.xxhash64(F.col(text_col))})
+def _keyed(df: DataFrame, id_col: str, text_col: str, names: tuple[str, str] = ("_id", "_key")) -> DataFrame:
+    return df.withColumns({names[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), names[1]: F.xxhash64(F.col(text_col))})
 
 
 def line_deletions(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
     """(_id, _key, gone): the line numbers to delete from each document that loses any."""
-    listed = F.split(F.col(text_col), "\n", -1)
-    lines = _keyed(df, id_col, text_col).where(F.col(text_col).isNotNull()).select(
+    only = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    listed = F.split("text", "\n", -1)
+    lines = _keyed(only, "id", "text").where("text is not null").select(
         "_id", "_key", F.transform(listed, lambda x: F.xxhash64(x)).alias("h"), F.transform(listed, lambda x: F.length(F.trim(x))).alias("n")
     )
     lines = scratch.table(lines, "lines")
@@ -192,16 +193,17 @@ def line_deletions(df: DataFrame, scratch: Scratch, id_col: str, text_col: str,
 def dedup_lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """df with shortened texts, plus n_lines and n_removed (with underscores behind if df has such columns)."""
     spark = df.sparkSession
+    own = [free_name(df, c) for c in ("_id", "_key", "_gone")]
     with settings(spark):
-        gone = line_deletions(df, Scratch(spark, "line-dedup"), id_col, text_col, least).withColumnRenamed("gone", "_gone")
+        gone = line_deletions(df, Scratch(spark, "line-dedup"), id_col, text_col, least).toDF(*own)
     listed = F.split(F.col(text_col), "\n", -1)
-    joined = _keyed(df, id_col, text_col).join(gone.hint("shuffle_hash"), ["_id", "_key"], "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(listed) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(listed, i)), "\n"))
+    joined = _keyed(df, id_col, text_col, (own[0], own[1])).join(gone.hint("shuffle_hash"), own[:2], "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(listed) - 1), F.col(own[2]))
+    text = F.when(F.col(own[2]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(listed, i)), "\n"))
     others = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in df.columns]
     return joined.select(
         *others, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(listed)).cast("long").alias(free_name(df, "n_lines")),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(free_name(df, "n_removed")),
+        F.coalesce(F.size(own[2]), F.lit(0)).cast("long").alias(free_name(df, "n_removed")),
     )
 
 
