@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NO_TURN = -(2**40)
 RESETS = ("message", "edit", "regenerate")
 
 
@@ -106,18 +107,37 @@ def format_chats(log: DataFrame) -> DataFrame:
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """A stored conversation as a log: one message event for each row."""
+    """A stored conversation as the log that writing it live would leave.
+
+    A user's turn opens empty and is edited into its text; any other opens empty, streams a
+    draft, is regenerated and streams its text in two deltas.
+    """
     repeated = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select(
-        "conv_id", F.struct("turn", F.row_number().over(repeated).alias("nth")).alias("msg_id"),
-        F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text",
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+
+    def events(*each: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(n).cast("long").alias("step"), F.lit(kind).alias("kind"), said.alias("text")) for n, (kind, said) in enumerate(each)])
+
+    none = F.lit(None).cast("string")
+    typed = events(("message", F.lit("")), ("edit", text))
+    streamed = events(
+        ("message", F.lit("")), ("delta", F.lit("draft")), ("regenerate", none),
+        ("delta", F.substr(text, F.lit(1), half)), ("delta", F.substr(text, half + 1)),
     )
+    told = conversations.select("conv_id", F.struct("turn", F.row_number().over(repeated).alias("nth")).alias("msg_id"), "turn", "role", "text")
+    turns = told.select("conv_id", "msg_id", "turn", "role", F.explode(F.when(F.col("role") == "user", typed).otherwise(streamed)).alias("e"))
+    return turns.select("conv_id", "msg_id", (F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)) * 8 + F.col("e.step")).alias("seq"), "e.kind", "role", "e.text")
 
 
 def op7_chat_format(spark, sf_dir):
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)
+    said = F.lit("</s>[INST] ok [/INST]")
+    of = {f.name: f.dataType for f in talks.schema}
+    more = spark.range(2).select(
+        F.lit(-7).cast(of["conv_id"]).alias("conv_id"), F.col("id").cast(of["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
     read = read_back(format_chats(conversation_log(talks.unionByName(more))))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
