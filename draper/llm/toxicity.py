@@ -1,18 +1,21 @@
 """Toxicity by maximum-scoring segment search.
 
 Token scores are log-odds of toxic against other documents under an informative
-Dirichlet prior (the pooled document counts plus a constant); tokens are words, and a word that is not in the
-model falls back on its first ``STEMS`` letters, longest first. All other tokens cost ``-COST``. One
-linear scan of a document finds all maximal-scoring segments (Ruzzo and Tompa); only
+Dirichlet prior (the pooled document counts plus a constant), less a drift of ``COST``
+that keeps the mean score of a clean text below zero; tokens are words, and a word that is
+not in the model falls back on its first ``STEMS`` letters, longest first. A token the
+counts tell nothing about (below ``LEAST_Z`` standard errors either way) has log-odds zero.
+One linear scan of a document finds all maximal-scoring segments (Ruzzo and Tompa); only
 tokens above zero can begin one, so the scan steps over those. Segment scores are
-calibrated by the extreme-value law of local scores: lambda solves
-sum p(s) exp(lambda s) = 1 over clean documents, and ``lambda S - ln(K n)`` is a
-segment's normalised score. A logistic layer over the best one, the sum and the number
-of significant segments gives the document's score.
+calibrated by the extreme-value law of local scores, both constants fitted on the clean
+calibration documents: lambda solves sum p(s) exp(lambda s) = 1 over the scores of their
+tokens, K is the likeliest for their best segments, N / sum n exp(-lambda S), and
+``lambda S - ln(1 + K n)`` is a segment's normalised score. A logistic layer over the best
+one, the sum and the number of significant segments gives the document's score.
 
 Counts come from at most ``MAX_LABELLED`` labelled documents of either class that are
 not held out (chosen by a hash of their ids), a quarter of which calibrate instead; the
-model keeps at most ``MAX_TOKENS`` tokens.
+model keeps at most ``MAX_TOKENS`` tokens, those with most standard errors.
 
 Defined cases: null and empty texts get the score of a text without any segment; a
 document labelled more than once counts as toxic if any label says so; null labels and
@@ -36,27 +39,25 @@ MAX_TOKENS = 20_000
 STEMS = (5, 4)
 COST = 0.35
 LEAST_Z = 3.2
+MOST_ODDS = 8.0
+BINS = 64  # token scores are counted in steps of 1 / BINS for lambda
 PRIOR = 100.0
 FLAT_PRIOR = 0.5
 WORDS = re.compile(r"[^\W\d_]+")
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_segments int, best double"
 
 
-def maximal_segments(at: np.ndarray, score: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments as (first, last, score) in linear time.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments of a run of scores as (first, last, score), in linear time.
 
-    at, score: places and scores of the tokens above zero; every other token scores -cost.
     Kept candidates are (first, last, total before, total through), linked to the nearest
-    earlier one whose total before is lower.
+    earlier one whose total before is lower. Only places above zero are visited.
     """
     found: list[tuple[int, int, float, float, int]] = []
-    total, previous = 0.0, -1
-    for place, s in zip(at.tolist(), score.tolist()):
-        total -= cost * (place - previous - 1)
-        first, left = place, total
-        total += s
-        previous = place
-        right = total
+    total = np.concatenate([[0.0], np.cumsum(scores)])
+    at = np.flatnonzero(scores > 0)
+    for place, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        first = place
         j = len(found) - 1
         while True:
             while j >= 0 and found[j][2] >= left:
@@ -71,25 +72,25 @@ def maximal_segments(at: np.ndarray, score: np.ndarray, cost: float) -> list[tup
     return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
-def token_scores(tokens: list[str], model: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    get = model.get
+def token_scores(text: str, odds: dict[str, float]) -> np.ndarray:
+    """The score of every token: its log-odds (0 where the model has none) less the drift."""
+    get = odds.get
     long, short = STEMS
-    scores = [get(t) or get("^" + t[:long]) or get("^" + t[:short], 0.0) for t in tokens]
-    s = np.array(scores)
-    at = np.flatnonzero(s > 0)
-    return at, s[at]
+    tokens = WORDS.findall(text.lower())
+    each = (get(t) or get("^" + t[:long]) or get("^" + t[:short], 0.0) for t in tokens)
+    return np.fromiter(each, np.float64, len(tokens)) - COST
+
+
+def normalised(best: np.ndarray, n: int, model: dict) -> tuple[float, float, float, int]:
+    """Best and summed normalised scores of segments in n tokens, log count of significant ones, and that count."""
+    each = model["lambda"] * best - np.log1p(model["k"] * n)
+    significant = each[each > 0]
+    return max(0.0, float(each.max(initial=0.0))), float(significant.sum()), float(np.log1p(len(significant))), len(significant)
 
 
 def features(text: str, model: dict) -> tuple[float, float, float, int]:
-    """Best and summed normalised scores, log count of significant segments, and that count."""
-    tokens = WORDS.findall(text.lower())
-    at, s = token_scores(tokens, model["scores"])
-    if not len(at):
-        return 0.0, 0.0, 0.0, 0
-    base = np.log(model["k"] * len(tokens) + 1)
-    each = [model["lambda"] * v - base for _, _, v in maximal_segments(at, s, COST)]
-    significant = [v for v in each if v > 0]
-    return max(0.0, *each), float(sum(significant)), float(np.log1p(len(significant))), len(significant)
+    scores = token_scores(text, model["scores"])
+    return normalised(np.array([v for *_, v in maximal_segments(scores)]), len(scores), model)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -176,26 +177,40 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = PRIOR * (F.col("a") + F.col("b")) / float(n1 + n0) + FLAT_PRIOR
     odds = F.log((F.col("a") + prior) / (n1 + PRIOR - F.col("a") - prior)) - F.log((F.col("b") + prior) / (n0 + PRIOR - F.col("b") - prior))
     z = odds / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    kept = counts.select("token", "b", odds.alias("score"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("score") > 0.7))
-    kept = kept.orderBy(F.desc("z"), "token").limit(MAX_TOKENS).toPandas()
-    model["scores"] = dict(zip(kept["token"], np.minimum(kept["score"], 8.0)))
-    hit = kept[~kept["token"].str.startswith("^")]
-    values = np.r_[np.minimum(hit["score"], 8.0), -COST]
-    rate = (hit["b"].to_numpy(float) + 0.5) / (n0 + 1)
-    model["lambda"] = float(np.clip(solve_lambda(values, np.r_[rate, max(1e-6, 1 - rate.sum())]), 0.2, 2.0))
+    kept = counts.select("token", odds.alias("score"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    kept = kept.orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).toPandas()
+    scores = model["scores"] = dict(zip(kept["token"], np.clip(kept["score"], -MOST_ODDS, MOST_ODDS)))
+
+    def histogram(batches):
+        for b in batches:
+            values = [np.round(token_scores(t, scores) * BINS).astype(np.int64) for t in arrow_strings(b.column(1))]
+            bins, n = np.unique(np.concatenate([np.zeros(0, np.int64), *values]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], ["bin", "n"])
+
+    held = sample.where(calibrate)
+    clean = held.where("toxic = 0").mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    if len(clean) and clean["bin"].max() > 0:
+        values, share_of = clean["bin"].to_numpy() / BINS, (clean["n"] / clean["n"].sum()).to_numpy()
+        model["lambda"] = solve_lambda(values, share_of) if (values * share_of).sum() < 0 else model["lambda"]
 
     def measure(batches):
         for b in batches:
-            rows = [features(t, model) for t in arrow_strings(b.column(1))]
+            rows = [token_scores(t, scores) for t in arrow_strings(b.column(1))]
+            best = [[v for *_, v in maximal_segments(r)] for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(2), *[pa.array([float(r[i]) for r in rows]) for i in range(3)]], ["toxic", "x0", "x1", "x2"]
+                [b.column(2), pa.array([len(r) for r in rows], pa.int64()), pa.array(best, pa.list_(pa.float64()))], ["toxic", "n", "best"]
             )
 
-    got = sample.where(calibrate).mapInArrow(measure, "toxic int, x0 double, x1 double, x2 double").toPandas()
+    got = held.mapInArrow(measure, "toxic int, n long, best array<double>").toPandas()
+    top = got["best"].map(lambda v: max(v, default=0.0))
+    other = (got["toxic"] == 0) & (got["n"] > 0)
+    if other.any():
+        model["k"] = float(other.sum() / (got["n"] * np.exp(-model["lambda"] * top))[other].sum())
+    x = np.array([normalised(np.array(v, float), n, model)[:3] for v, n in zip(got["best"], got["n"])]).reshape(-1, 3)
     seen = got["toxic"].value_counts().to_dict()
     if len(seen) == 2:
         weight = got["toxic"].map({k: total[k] / sum(total.values()) / v for k, v in seen.items()}).to_numpy() * len(got)
-        model["w"] = logistic(squash(got[["x0", "x1", "x2"]].to_numpy()), got["toxic"].to_numpy(), weight)
+        model["w"] = logistic(squash(x), got["toxic"].to_numpy(), weight)
     scratch.drop("sample")
     return model
 
