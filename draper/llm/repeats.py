@@ -114,6 +114,16 @@ def settle(name: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.nda
     return known, witness
 
 
+def gathered(name: np.ndarray, text: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of the rows ``at`` one for each (name, text), and the places of the others of that name and text as lists."""
+    order = at[np.lexsort((place[at], text[at], name[at]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (name[order][1:] != name[order][:-1]) | (text[order][1:] != text[order][:-1])
+    head = np.flatnonzero(new)
+    offsets = np.r_[0, np.cumsum(np.diff(np.r_[head, len(order)]) - 1)]
+    return order[head], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[order[~new]], pa.int32()))
+
+
 def thinned(text: np.ndarray, place: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
     """Known windows that cover what all known ones do: the first and last of each half window of a text; rows in order of text and place."""
     at = np.flatnonzero(known)
@@ -305,19 +315,23 @@ class Repeats:
                     kept = ~apart | thinned(text, place, known, lengths[-1])
                     # a known window that isn't the name's witness is a name of its own
                     name = np.where(apart, mix(start.astype(np.uint64), b.column(0).take(pa.array(first + text)).to_numpy().view(np.uint64)), name)
-                    at = pa.array(np.flatnonzero(kept))
+                    at, more = np.flatnonzero(kept), None
+                    if smaller:
+                        at, more = gathered(name, text, place, at)
+                    at = pa.array(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(name.view(np.int64)).take(at), pa.array(apart).take(at), pa.array(known).take(at),
-                         b.column(0).take(pa.array(first + text)).take(at), row_id.take(at), pa.array(place, pa.int32()).take(at)],
-                        ["name", "apart", "known", "cid", "id", "pos"],
+                         b.column(0).take(pa.array(first + text)).take(at), row_id.take(at), pa.array(place, pa.int32()).take(at), *([more] if smaller else [])],
+                        ["name", "apart", "known", "cid", "id", "pos", *(["more"] if smaller else [])],
                     )
 
         smaller = self.smaller
         joined = self.texts.join(asked, "cid").select("cid", "text", "id", "asks")
-        found = joined.mapInArrow(run, "name long, apart boolean, known boolean, cid long, id long, pos int")
+        found = joined.mapInArrow(run, "name long, apart boolean, known boolean, cid long, id long, pos int" + (", more array<int>" if smaller else ""))
         same = Window.partitionBy("name", "apart")
         if self.smaller:
-            return found.withColumn("least", F.min("id").over(same)).where("known or id > least").select("cid", "pos")
+            found = found.withColumn("least", F.min("id").over(same)).where("known or id > least")
+            return found.select("cid", F.explode(F.concat(F.array("pos"), "more")).alias("pos"))
         return found.drop("id").withColumn("n", F.count("*").over(same)).where("known or n > 1").select("cid", "pos")
 
     def starts(self) -> DataFrame:
