@@ -1,4 +1,4 @@
-"""Each operator against a brute-force version on small rows, edge cases included."""
+"""The operators against brute-force versions, planted rows and hand rows; edge cases included."""
 
 import hashlib
 import random
@@ -116,6 +116,21 @@ def test_chat_format(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_query_runs_every_kind_of_event(spark, tmp_path):
+    said = "</s>[INST] ok [/INST]"
+    talks = [(1, 0, "user", "hé & <b>"), (1, 1, "assistant", "añ😀b"), (1, 1, "assistant", "x"), (2, 0, "tool]", None), (2, 1, "assistant", None), (None, 0, None, "z"), (3, None, "assistant", "ab")]
+    spark.createDataFrame(talks, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    stored = spark.read.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r["kind"] for r in chat_format.conversation_log(stored).select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate"}
+    want = {}
+    for c in {t[0] for t in talks} | {-7}:
+        turns = sorted(((t[1] if t[1] is not None else -1, t[2] or "", t[3] or "") for t in talks if t[0] == c)) if c != -7 else [(0, "user", said), (1, "assistant", said)]
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        want[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.op7_chat_format(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_suffix_dedup(docs, rows, empty):
     texts = [(t or "").encode() for _, t, *_ in rows]
     seen = Counter(x[i : i + 200] for x in texts for i in range(len(x) - 199))
@@ -231,6 +246,72 @@ def test_best_stretch():
         assert got == pytest.approx(want) or (want < decontaminate.SIMILARITY and got < decontaminate.SIMILARITY)
 
 
+def test_decontaminate_recall():
+    """Planted copies of every size against the weighted similarity by brute force: those of 0.8 or more are found, with that similarity or a better stretch's."""
+    rng = random.Random(23)
+    items = [(k, [f"w{rng.randint(0, 10**6)}" for _ in range(n)]) for k, n in enumerate([9, 12, 14, 18, 22, 25, 31, 40, 59, 80, 130, 200])]
+    index = decontaminate.ItemIndex([(k, " ".join(w)) for k, w in items])
+    counts = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    texts, want = [], []
+    for k, w in items:
+        for _ in range(40):
+            copy = list(w)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1])] = [f"n{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 1, 1, 2]))]
+            copy = copy[rng.randint(0, len(w) // 15) :]
+            a, b = counts(w), counts(copy)
+            similarity = sum((a & b).values()) / sum((a | b).values())
+            if similarity >= decontaminate.SIMILARITY:
+                around = [f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 300))]
+                cut = rng.randint(0, len(around))
+                texts.append(" ".join(around[:cut] + copy + around[cut:]))
+                want.append((k, similarity))
+    found = index.search(texts)
+    caught = sum(k in f and f[k][0] >= similarity - 1e-9 for f, (k, similarity) in zip(found, want))
+    assert len(want) > 250 and caught >= 0.99 * len(want)
+    assert all(set(f) <= {k} for f, (k, _) in zip(found, want))
+    clean = [" ".join(f"x{rng.randint(0, 10**4)}" for _ in range(500)) for _ in range(50)]
+    assert not any(index.search(clean))
+
+
+def test_decontaminate_long_text_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 300)
+    rng = random.Random(24)
+    items = [(k, prose(30, rng)) for k in range(6)]
+    long = " ".join(f"x{rng.randint(0, 10**5)}" for _ in range(3000))
+    text = long + " " + items[2][1] + " " + long + " " + items[5][1]
+    ((hits),) = decontaminate.ItemIndex(items).search([text])
+    assert {k: v[1] for k, v in hits.items()} == {2: 3000, 5: 6000 + len(decontaminate.WORDS.findall(items[2][1]))}
+    df = spark.createDataFrame([(1, items[0][1], "a"), (2, items[4][1] + " x " + items[1][1], "b"), (3, None, None)], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    slices = list(decontaminate.benchmark_slices(bench, "item_id", "text", most=100))
+    assert len(slices) > 3
+    monkeypatch.setattr(decontaminate, "benchmark_slices", lambda *a: iter(slices))
+    got = decontaminate.with_hits(df, bench)
+    assert got.columns == ["doc_id", "text", "hits", "hits_"]
+    assert {r["doc_id"]: sorted(h["item_id"] for h in r["hits_"]) for r in got.collect()} == {1: [0], 2: [1, 4], 3: []}
+
+
+def test_edge_windows_settled_in_a_task():
+    from draper.llm.repeats import cover, settle, thinned
+
+    rng = np.random.default_rng(4)
+    for ids in (False, True):
+        name, text = rng.integers(0, 30, 200).astype(np.uint64), np.sort(rng.integers(0, 12, 200))
+        own = text.astype(np.int64) // 2 if ids else None
+        known, witness = settle(name, own)
+        for i in range(200):
+            same = [j for j in range(200) if name[j] == name[i]]
+            assert known[i] == (any(own[j] < own[i] for j in same) if ids else len(same) > 1)
+        assert all(witness[name == v].any() for v in set(name.tolist())) and (witness | known).all()
+    for _ in range(50):
+        place = np.sort(rng.choice(400, 60, replace=False))
+        known, text = rng.random(60) < 0.6, np.zeros(60, int)
+        kept = thinned(text, place, known, 20)
+        assert not (kept & ~known).any() and (cover(place[kept], 20, 420) == cover(place[known], 20, 420)).all()
+
+
 def deduped(spark, rows):
     return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
@@ -330,8 +411,7 @@ def test_maximal_segments():
     rng = random.Random(1)
     for _ in range(300):
         s = [rng.choice([-0.35, -0.35, 1.0, 2.0]) for _ in range(rng.randint(1, 30))]
-        at = [i for i, v in enumerate(s) if v > 0]
-        got = toxicity.maximal_segments(np.array(at, int), np.array([s[i] for i in at]), 0.35)
+        got = toxicity.maximal_segments(np.array(s))
 
         def split(lo, hi):
             best = max(((sum(s[i : j + 1]), -(j - i), -i, i, j) for i in range(lo, hi) for j in range(i, hi)), default=(0,))
@@ -340,8 +420,17 @@ def test_maximal_segments():
             i, j = best[3], best[4]
             return split(lo, i) + [(i, j)] + split(j + 1, hi)
 
-        assert max((v for *_, v in got), default=0) == pytest.approx(max((sum(s[i : j + 1]) for i, j in split(0, len(s))), default=0))
-        assert [(a, b) for a, b, _ in got] == split(0, len(s)) or all(abs(x) < 50 for x in s)
+        assert [(a, b) for a, b, _ in got] == split(0, len(s))
+        assert [v for *_, v in got] == pytest.approx([sum(s[i : j + 1]) for i, j in split(0, len(s))])
+
+
+def test_segment_scores_fall_back_and_calibrate():
+    odds = {"vile": 2.0, "^abcde": 1.0, "^abcd": -0.5}
+    assert toxicity.token_scores("Vile abcdefg, abcdxy 12 other", odds) == pytest.approx(np.array([2.0, 1.0, -0.5, 0.0]) - toxicity.COST)
+    values, share = np.array([-1.0, 1.0]), np.array([0.75, 0.25])
+    assert toxicity.solve_lambda(values, share) == pytest.approx(np.log(3))
+    best, total, many, n = toxicity.normalised(np.array([4.0, 0.1]), 50, {"lambda": 1.5, "k": 0.1})
+    assert (best, n) == (pytest.approx(6 - np.log(6)), 1) and total == pytest.approx(best) and many == pytest.approx(np.log(2))
 
 
 def test_toxicity(spark, empty):
@@ -375,6 +464,34 @@ def test_near_dedup_keeps_other_texts_of_an_id(spark):
     assert sorted(got, key=key) == sorted([(5, a), (None, b), (None, c), (7, d), (7, e)], key=key)
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, prose(40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = ["_id", "_key", "_gone", "_node", "_nth", "_hits", "hits", "copy", "_copies", "n_removed"]
+    rows = [(k, prose(30), "en", "s0", 7, *[f"{c}{k}" for c in extra]) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in cp.STAGES:
+        out = str(tmp_path / name)
+        stage(spark, df, str(tmp_path)).write.parquet(out)
+        df = spark.read.parquet(out)
+    assert df.columns == [*("doc_id text lang source n_chars".split()), *extra, "copy_"]
+    assert df.count() and all(r[c] == f"{c}{r['doc_id']}" for r in df.collect() for c in extra)
+
+
+def test_mix_stage_shares_copies_of_equal_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c", "en", "s0", 5)] * 5 + [(None, "d e", "en", "s0", 3), (None, "f g", "en", "s1", 3), (2, None, None, None, None), (2, "h", "fr", "s1", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = Counter()
+    for r in source_mix.mix_sources(df.withColumn("k", df["text"]), id_col="k").collect():
+        taken[r["doc_id"]] += r["copies"]
+    got = Counter(r["text"] for r in cp.mix(spark, df, "").collect())
+    assert sum(got.values()) == sum(taken.values()) and got["a b c"] == taken["a b c"]
+    assert sorted(r["copy"] for r in cp.mix(spark, df, "").where("doc_id = 1").collect()) == list(range(1, got["a b c"] + 1))
+
+
 def test_pipeline(spark, rows, empty, tmp_path):
     import corpus_pipeline as cp
 
