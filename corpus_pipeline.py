@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draper.llm.common import Scratch, settings
+from draper.llm.common import Scratch, free_name, settings
 from draper.llm.decontaminate import with_hits
 from draper.llm.language_id import keep_identified
 from draper.llm.line_dedup import dedup_lines_of
@@ -20,52 +20,67 @@ LAST = 2**63 - 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (no letters)."""
+    """Rejects documents without a language (no letters).
+
+    Null and empty texts go; other columns, null ids and repeated rows stay as they are; an empty table stays empty.
+    """
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes lines that earlier documents have; a document of which nothing is left goes."""
+    """Deletes lines that earlier documents have; a document of which nothing is left goes.
+
+    Null texts stay null; rows that share an id are not earlier than each other, a null id is later than all; a row
+    that loses lines gets its new length as n_chars, all other columns are kept.
+    """
+    lines, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     out = dedup_lines_of(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
-    shorter = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(left).withColumn("n_chars", shorter).select(*docs.columns)
+    left = (F.col(removed) == 0) | F.col("text").rlike(r"\S")
+    shorter = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.where(left).withColumn("n_chars", shorter).drop(lines).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays, the one with the smallest (id, hash of id and text).
 
     Links are op9's (4-word shingles, 4 bits), far tighter than similarity 0.8; the README has the measured recall.
-    Rows with the same id and text are one document; rows with one id, or none, and other texts are several.
+    Rows with the same id and text are one document, of which the row with the least hash of its other columns stays;
+    rows with one id, or none, and other texts are several. Null texts are one group, as blank ones are.
     """
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_node", F.xxhash64("_id", "text"))
-    groups = simhash_groups(keyed.select("_node", "text"), id_col="_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    members = groups.join(keyed.select("_node", "_id").distinct(), "_node")
-    stays = members.groupBy("component_id").agg(F.min(F.struct("_id", "_node")).alias("least")).select("least._node")
-    same = Window.partitionBy("_node").orderBy(F.xxhash64(*(c for c in docs.columns if c not in ("doc_id", "text"))))
-    kept = keyed.join(stays.hint("shuffle_hash"), "_node", "left_semi").withColumn("_nth", F.row_number().over(same))
-    return kept.where(F.col("_nth") == 1).select(*docs.columns)
+    own, node, nth = (free_name(docs, c) for c in ("_id", "_node", "_nth"))
+    keyed = docs.withColumn(own, F.coalesce("doc_id", F.lit(LAST))).withColumn(node, F.xxhash64(own, "text"))
+    groups = simhash_groups(keyed.select(node, "text"), id_col=node).select(F.col("doc_id").alias(node), "component_id").distinct()
+    members = groups.join(keyed.select(node, own).distinct(), node)
+    stays = members.groupBy("component_id").agg(F.min(F.struct(own, node)).alias("least")).select(f"least.{node}")
+    same = Window.partitionBy(node).orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text"))))
+    kept = keyed.join(stays.hint("shuffle_hash"), node, "left_semi").withColumn(nth, F.row_number().over(same))
+    return kept.where(F.col(nth) == 1).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits="_hits")
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    """Documents that hold a benchmark item go.
 
+    Null and empty texts hold none; ids, other columns and repeated rows stay as they are; an empty benchmark removes nothing.
+    """
+    hits = free_name(docs, "hits")
+    found = with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits=hits)
+    return found.where(F.size(hits) == 0).select(*(f"`{c}`" for c in docs.columns))
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with its copy number from 1."""
-    return _emit(docs, mix_sources(docs))
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, with its copy number from 1 (``copy``, underscores behind if docs has one).
 
-def _emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs by their copies; rows that share an id share its copies out evenly."""
-    total = mixed.groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("_id")).agg(F.sum("copies").alias("_copies"))
-    same = Window.partitionBy("_id")
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).join(total.hint("shuffle_hash"), "_id")
-    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64("text", "source")))).withColumn("_of", F.count("*").over(same))
-    own = F.floor(F.col("_copies") / F.col("_of")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_of"), 1).otherwise(0)
-    return rows.where(own > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), own.cast("long"))).alias("copy"))
+    Rows that are equal in all columns are one document with all their copies, put together before any shuffle; null
+    texts take no words and are emitted like any document without words; null ids and sources count like others.
+    """
+    key = free_name(docs, "_key")
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn(key, F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")))
+    total = mix_sources(keyed, id_col=key).groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias("n")).where("n > 0")
+    total = total.withColumnRenamed("n", free_name(docs, "_copies"))
+    rows = keyed.dropDuplicates([key]).join(total.hint("shuffle_hash"), key)
+    each = F.sequence(F.lit(1).cast("long"), F.col(free_name(docs, "_copies")))
+    return rows.select(*columns, F.explode(each).alias(free_name(docs, "copy")))
 
 
 STAGES = [
@@ -86,6 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (name, stage) in enumerate(STAGES):
         with settings(spark):
             docs = scratch.table(stage(spark, docs, sf_dir), name)
-        if n > 1:
+        if n > 0:
             scratch.drop(STAGES[n - 1][0])
     return docs
