@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 #: Word boundaries that both Java and RE2 read alike, letters of any script included.
 LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+OTHER = r"[^\p{L}\p{N}_]"
 #: Category -> phrases that must be flagged. Fixed values.
 UNSAFE = {
     "age": ["too old", "grandma", "your age", "teenager", "only a child"],
-    "attractiveness": ["make you attractive", "too ugly", "fix your looks", "the person wearing (?:them|it) is not"],
+    "attractiveness": [rf"your face{OTHER}(?:.*{OTHER})?no favours", "make you attractive", "too ugly", "fix your looks", "the person wearing (?:them|it) is not"],
     "body": ["lost some weight", "flatter stomach", "thighs? look enormous", "your size", "shoulders? (?:are )?far too wide", "too fat", "too skinny"],
     "disability": ["something is wrong with you", "are you blind", "look disabled", "cannot use your hands", "with a limp"],
     "gender": ["men should never wear", "real woman", "you look like a man", "girls should not dress this masculine", "pick a gender"],
     "profanity": ["crap", "hell", "damn", "bloody", "garbage"],
+    "implicature": [
+        "nothing could have saved", "should not be photographed", "mirror clearly gave up", "fabric can hide", "does not like you",
+    ],
     "race": ["people of your race", "your skin tone", "your own culture", "immigrant", "only white people"],
 }
 
 
 def category_key(c: Column) -> Column:
+    """A category as the formality table has it: lower case, hyphens as spaces, single spaces."""
     return F.trim(F.regexp_replace(F.lower(F.replace(c, F.lit("-"), F.lit(" "))), r"\s+", " "))
 
 
@@ -38,11 +43,12 @@ def serialize_garment(fields: list[str]) -> Column:
 
 
 def parse_garment(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """line -> slot, category and fields (null where absent)."""
-    head = F.split_part("line", F.lit(" | "), F.lit(1))
-    pairs = F.transform(F.slice(F.split("line", r" \| "), 2, 64), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.split_part(x, F.lit("="), F.lit(2))))
-    m = F.map_from_entries(pairs)
-    return lines.select("*", F.split_part(head, F.lit(": "), F.lit(1)).alias("slot"), F.split_part(head, F.lit(": "), F.lit(2)).alias("category"), *[F.try_element_at(m, F.lit(f)).alias(f) for f in fields])
+    """line -> slot, category and fields (null where absent); of a repeated field the last counts, a value may hold ``=``."""
+    parts = F.split("line", r" \| ")
+    head, keyed = F.get(parts, F.lit(0)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    value = lambda f: F.try_element_at(F.filter(keyed, lambda x: x.startswith(f + "=")), F.lit(-1))
+    return lines.select("*", F.split_part(head, F.lit(": "), F.lit(1)).alias("slot"), F.split_part(head, F.lit(": "), F.lit(2)).alias("category"),
+                        *[F.substr(value(f), F.lit(len(f) + 2)).alias(f) for f in fields])
 
 
 def safety_pattern(category: str) -> str:
@@ -50,6 +56,6 @@ def safety_pattern(category: str) -> str:
 
 
 def safety_flags(c: Column) -> Column:
-    """Sorted categories whose phrases the text holds, joined by commas."""
-    text = F.regexp_replace(F.lower(c), r"\s+", " ")
-    return F.concat_ws(",", *[F.when(text.rlike(safety_pattern(k)), F.lit(k)) for k in UNSAFE])
+    """Sorted flags (safety:category) of the phrases that the text holds, joined by commas."""
+    text = F.regexp_replace(F.lower(c), r"[\s\p{Z}]+", " ")
+    return F.concat_ws(",", *[F.when(text.rlike(safety_pattern(k)), F.lit(f"safety:{k}")) for k in sorted(UNSAFE)])

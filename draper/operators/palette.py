@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draper.functions import color as geometry
 from draper.functions import vocab as V
 
 ROUNDS = 50
-OUT = "image_id string, slot string, lab_l double, lab_a double, lab_b double, share double, area double, source string"
+CLUSTERS = "image_id string, slot string, label int, n long, lab_l double, lab_a double, lab_b double, source string"
 
 
 def lab_pixels(rgb: np.ndarray) -> np.ndarray:
@@ -52,56 +52,59 @@ def _lloyd(points: np.ndarray, k: int, rng: np.random.Generator) -> tuple[float,
 def clusters(region: np.ndarray, settings: dict = V.PALETTE) -> list[tuple[int, np.ndarray]]:
     """(pixels, mean Lab) of each cluster that has pixels; no more clusters than distinct colours."""
     rng = np.random.default_rng(settings["seed"])
+    colors, place, counts = np.unique(region, axis=0, return_inverse=True, return_counts=True)
+    if len(colors) <= settings["n_clusters"]:  # every colour is its own cluster
+        return list(zip(counts.tolist(), colors))
     sample = region
     if len(region) > settings["max_fit_pixels"]:
-        sample = region[np.sort(rng.choice(len(region), settings["max_fit_pixels"], replace=False))]
-    colors, counts = np.unique(sample, axis=0, return_counts=True)
-    k = min(settings["n_clusters"], len(colors))
-    if k == len(colors) and sample is region:  # every colour is its own cluster
-        return [(int(n), c) for n, c in zip(counts, colors)]
+        sample = region[np.sort(rng.permutation(len(region))[: settings["max_fit_pixels"]])]
+    k = min(settings["n_clusters"], len(np.unique(sample, axis=0)))
     centres = min((_lloyd(sample, k, rng) for _ in range(settings["n_init"])), key=lambda fit: fit[0])[1]
-    own, _ = _nearest(region, centres)
-    return [(int((own == i).sum()), region[own == i].mean(axis=0)) for i in range(k) if (own == i).any()]
+    own = _nearest(colors, centres)[0]
+    weight = np.bincount(own, counts, k)
+    sums = np.stack([np.bincount(own, counts * colors[:, c], k) for c in range(3)], axis=1)
+    return [(int(weight[i]), sums[i] / weight[i]) for i in np.flatnonzero(weight)]
 
 
-def palette(rgb: np.ndarray, labels: np.ndarray, n_colors: int = 3, settings: dict = V.PALETTE) -> list[tuple[np.ndarray, float]]:
-    """(Lab, share of the colours kept), the largest first, of the pixels whose label is not 0; clusters stay inside a label."""
-    if n_colors < 1:
-        raise ValueError("n_colors is less than 1")
-    found = [(n, int(label), tuple(lab)) for label in np.unique(labels[labels != 0]) for n, lab in clusters(lab_pixels(rgb[labels == label]), settings)]
-    if not found:
-        return []
-    floor = settings["min_area_fraction"] * int((labels != 0).sum())
-    kept = sorted((c for c in found if c[0] >= floor), key=lambda c: (-c[0], c[1:])) or [max(found, key=lambda c: c[0])]
-    kept = kept[:n_colors]
-    return [(np.array(lab), n / sum(c[0] for c in kept)) for n, _, lab in kept]
-
-
-def _measure(batches: Iterator[pd.DataFrame], n_colors: int) -> Iterator[pd.DataFrame]:
-    known = np.array([c for classes in V.MASK_CLASSES.values() for c in classes])
+def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of each mask class of each image; of the whole image where no usable mask is."""
+    slot_of = {c: slot for slot, classes in V.MASK_CLASSES.items() for c in classes}
     for batch in batches:
         rows = []
-        for row in batch.itertuples(index=False):
-            rgb = np.frombuffer(row.rgb, np.uint8).reshape(-1, 3)
-            mask = None if row.mask is None else np.frombuffer(row.mask, np.uint8)
-            if mask is not None:
-                mask = np.where(np.isin(mask, known), mask, 0) if len(mask) == len(rgb) else None
-            if mask is None or not mask.any():
-                regions = [(None, np.ones(len(rgb), np.uint8), None, "wholeimage")]
-            else:
-                cut = [(slot, np.where(np.isin(mask, classes), mask, 0)) for slot, classes in V.MASK_CLASSES.items()]
-                regions = [(slot, own, float((own != 0).sum() / (mask != 0).sum()), "mask") for slot, own in cut if own.any()]
-            rows += [(row.image_id, slot, *map(float, lab), share, area, source)
-                     for slot, own, area, source in regions for lab, share in palette(rgb, own, n_colors)]
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in OUT.split(", ")])
+        for image_id, rgb, mask in zip(batch["image_id"], batch["rgb"], batch["mask"]):
+            pixels = np.frombuffer(rgb, np.uint8).reshape(-1, 3)
+            label = np.zeros(0, np.uint8) if mask is None else np.frombuffer(mask, np.uint8)
+            present = [int(c) for c in np.unique(label) if int(c) in slot_of] if len(label) == len(pixels) else []
+            parts = [(slot_of[c], c, pixels[label == c], "mask") for c in present] or [(None, 0, pixels, "wholeimage")]
+            rows += [(image_id, slot, c, n, *lab.tolist(), source) for slot, c, own, source in parts if len(own) for n, lab in clusters(lab_pixels(own))]
+        yield pd.DataFrame(rows, columns=[f.split()[0] for f in CLUSTERS.split(", ")])
+
+
+def dominant(found: DataFrame, n_colors: int = 3, floor: float = V.PALETTE["min_area_fraction"]) -> DataFrame:
+    """The dominant clusters of every (image, slot), largest first, with their share of those kept.
+
+    A cluster below the floor of its slot's pixels goes, unless none reaches it: then the largest stays.
+    """
+    if n_colors < 1:
+        raise ValueError("n_colors is less than 1")
+    slot = Window.partitionBy("image_id", "slot")
+    image = Window.partitionBy("image_id")
+    pixels = F.sum("n").over(slot)
+    ranked = found.withColumns({
+        "large": F.col("n") >= floor * pixels, "rank": F.row_number().over(slot.orderBy(F.desc("n"), "label", "lab_l", "lab_a", "lab_b")),
+        "area": F.when(F.col("source") == "mask", pixels / F.sum("n").over(image)),
+    })
+    kept = ranked.where((F.col("rank") <= n_colors) & (F.col("large") | (F.col("rank") == 1)))
+    kept = kept.withColumn("share", F.col("n") / F.sum("n").over(slot))
+    named = geometry.quantize(F.col("lab_l"), F.col("lab_a"), F.col("lab_b"))
+    return kept.select("image_id", "slot", "lab_l", "lab_a", "lab_b", "share", "area", "source", named.alias("name"), "rank")
 
 
 def measure(images: DataFrame, n_colors: int = 1) -> DataFrame:
     """(image_id, rgb, mask) -> the dominant colours of each slot, or of the whole image (slot null) where no usable mask is.
 
     rgb holds three bytes a pixel, mask one byte a pixel or null; a mask of another size or
-    without garment classes is not usable.
+    without garment classes is not usable. Only the clustering runs in Python.
     """
     rows = images.select(F.col("image_id").cast("string").alias("image_id"), "rgb", "mask")
-    found = rows.mapInPandas(lambda batches: _measure(batches, n_colors), OUT)
-    return found.withColumn("name", geometry.quantize(F.col("lab_l"), F.col("lab_a"), F.col("lab_b")))
+    return dominant(rows.mapInPandas(_regions, CLUSTERS), n_colors).drop("rank")

@@ -11,15 +11,28 @@ from pyspark.sql import functions as F
 
 from draper.functions import color
 from draper.functions import vocab as V
+from draper.functions.text import category_key
 
 
 def lookup(pairs: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
 
 
+def usable_lab(lab: list[Column]) -> Column:
+    """True where all three Lab values are finite numbers."""
+    each = [F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)) for c in lab]
+    return each[0] & each[1] & each[2]
+
+
+def checked_lab(lab: list[Column]) -> list[Column]:
+    """The three values, which fail when they are read if one isn't a finite number."""
+    text = F.concat(F.lit("Lab value must be three finite numbers; got "), F.to_json(F.array(*[c.cast("string") for c in lab])))
+    return [F.when(usable_lab(lab), c).otherwise(F.raise_error(text).cast("double")) for c in lab]
+
+
 def resolved(g: DataFrame) -> DataFrame:
-    """Adds l, a, b (measured Lab, else the named colour's) and hue (null where none is carried)."""
-    measured = F.col("lab_l").isNotNull() & F.col("lab_a").isNotNull() & F.col("lab_b").isNotNull()
+    """Adds l, a, b (measured Lab if it is finite, else the named colour's) and hue (null where none is carried)."""
+    measured = usable_lab([F.col(f"lab_{c}") for c in "lab"])
     for i, c in enumerate("lab"):
         named = lookup({k: v[i] for k, v in color.REFERENCE_LAB.items()}, F.col("color"))
         g = g.withColumn(c, F.when(measured, F.col(f"lab_{c}")).otherwise(named))
@@ -28,9 +41,24 @@ def resolved(g: DataFrame) -> DataFrame:
 
 
 def with_refs(g: DataFrame) -> DataFrame:
-    """Blank refs become slot_index in garment order; every garment advances its slot's counter."""
+    """Blank refs become slot_index in garment order; every garment advances its slot's counter.
+
+    Refs that are set stay; an outfit with a ref twice fails when it is read.
+    """
     nth = F.row_number().over(Window.partitionBy("image_id", "slot").orderBy("pos")) - 1
-    return g.withColumn("ref", F.concat_ws("_", "slot", nth.cast("string")))
+    made = F.concat_ws("_", "slot", nth.cast("string"))
+    if "ref" not in g.columns:
+        return g.withColumn("ref", made)
+    g = g.withColumn("ref", F.when(F.coalesce("ref", F.lit("")) != "", F.col("ref")).otherwise(made))
+    copies = F.count("*").over(Window.partitionBy("image_id", "ref"))
+    twice = F.raise_error(F.concat(F.lit("duplicate garment ref "), F.col("ref"), F.lit(" in "), F.col("image_id").cast("string"))).cast("string")
+    return g.withColumn("ref", F.when(copies > 1, twice).otherwise(F.col("ref")))
+
+
+def largest_measured(g: DataFrame) -> DataFrame:
+    """The garment of each slot with the largest area, measured ones first, ties by ref; adds ``ref`` where g has none."""
+    by = Window.partitionBy("image_id", "slot").orderBy(F.col("area").isNull(), F.desc("area"), "ref")
+    return with_refs(g).withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
 
 
 #: Rule -> issue code, where they differ.
@@ -40,7 +68,7 @@ RULE_CODE = {"dominant_area": "proportion_imbalance", "upper_lower_ratio": "prop
 def measures(g: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     """All per-outfit aggregates that the rules read, and extra ones, which may use level, warm, exposure, l and hue."""
     g = resolved(g)
-    level, warm = lookup(V.FORMALITY, F.col("category")), lookup(V.WARMTH, F.col("fabric"))
+    level, warm = lookup(V.FORMALITY, category_key(F.col("category"))), lookup(V.WARMTH, F.col("fabric"))
     exposure = F.greatest(lookup(V.SLEEVE_EXPOSURE, F.col("sleeve_length")), lookup(V.LENGTH_EXPOSURE, F.col("length")))
     g = g.withColumns({"level": level, "warm": warm, "exposure": exposure})
     area = lambda slots, inside=True: F.max(F.when(F.col("slot").isin(*slots) if inside else ~F.col("slot").isin(*slots), F.col("area")))

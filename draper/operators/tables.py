@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
-    """df, which fails when it is read if a key repeats; one aggregate, no extra pass on the driver."""
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).limit(1)
-    bad = counted.count()
-    if bad:
-        raise ValueError(f"{', '.join(keys)} is not unique")
-    return df
+    """df, which fails when it is read if a key repeats: rows are numbered within their key, and a second one raises.
+
+    Nothing runs while the plan is built; the window's shuffle is by the keys, so a join by them reuses it.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    told = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    fail = F.raise_error(F.concat(F.lit(f"{', '.join(keys)} is not unique: "), told)).cast("boolean")
+    return df.withColumn("_nth", nth).where(F.when(F.col("_nth") > 1, fail).otherwise(F.lit(True))).drop("_nth")
 
 
 def decode(code: Column, vocabulary: list[str]) -> Column:
@@ -33,8 +35,9 @@ def reconcile(upper: Column, lower: Column) -> tuple[Column, Column]:
 
 
 def group_key(image_id: Column) -> Column:
+    """The product group of an image: its id through the first id_ and eight digits; an id without them fails when it is read."""
     found = F.regexp_extract(image_id, r"^(.*?id_\d{8})", 1)
-    return F.when(found != "", found)
+    return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no product id in "), F.coalesce(image_id, F.lit("null")))).cast("string"))
 
 
 def identity(df: DataFrame, column: str = "name") -> DataFrame:

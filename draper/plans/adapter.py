@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from draper.functions.vocab import FABRICS, LENGTHS, NECKLINES, PATTERNS, SLEEVES, SWAPPABLE
 
-CATEGORY = {"anvil": "hoodie", "bolt": "t shirt", "gear": "blouse", "gizmo": "trousers", "plate": "blazer", "ring": "jeans", "rod": "loafers", "widget": "widget"}
+CATEGORY = {"anvil": "hoodie", "bolt": "T-Shirt", "gear": "blouse", "gizmo": "trousers", "plate": "blazer", "ring": "Jeans", "rod": "loafers", "widget": "widget"}
 COLOR = {"blue": "blue", "cold": "cyan", "hot": "orange", "large": "violet", "new": "white", "old": "brown", "red": "red", "small": "unknown"}
 
 

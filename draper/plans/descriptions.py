@@ -31,11 +31,14 @@ described AS (SELECT image_id, pos, slot, CASE slot {' '.join(f"WHEN '{s}' THEN
  concat_ws(',', CASE WHEN {_OMIT['fabric']} THEN 'fabric' END, CASE WHEN {_OMIT['pattern']} THEN 'pattern' END) AS omitted FROM joined)"""
 
 
-def _described(spark, d):
+def _canon(spark, d):
     key = F.col("image_id")
     table = read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
-    table = table.select("image_id", (key % 3 != 0).alias("has_shape"), *[_pick(v, F.floor(key / by) % len(v)).alias(c) for c, (v, by) in _LABELS.items()])
-    return op.describe(table, _skeleton(spark, d))
+    return table.select("image_id", (key % 3 != 0).alias("has_shape"), *[_pick(v, F.floor(key / by) % len(v)).alias(c) for c, (v, by) in _LABELS.items()])
+
+
+def _described(spark, d):
+    return op.describe(_canon(spark, d), _skeleton(spark, d))
 
 
 @query(f"WITH {_DESCRIBED} SELECT * FROM described")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from draper.functions import text as T
 from draper.functions import vocab as V
 from draper.operators import metrics, tables
+from draper.operators.evaluation import evaluate_safety
 from draper.plans.adapter import GARMENTS, garments, read
 from draper.plans.registry import query
 
@@ -58,47 +59,41 @@ def paired_accuracy(spark, d):
     return metrics.paired_accuracy(_ranked(spark, d).dropna(subset=["observed", "hard"]), "observed", "hard").select("n", F.round("paired_accuracy", 9).alias("paired_accuracy"))
 
 
-@query(f"WITH {_RANKED} SELECT count(*) AS n, round(avg((observed >= hard AND hard >= easy)::INT), 9) AS ranking_accuracy, round(avg(observed), 4) AS observed, round(avg(hard), 4) AS hard, round(avg(easy), 4) AS easy FROM r WHERE observed IS NOT NULL AND hard IS NOT NULL AND easy IS NOT NULL")
-def ranking_accuracy(spark, d):
-    r = _ranked(spark, d).dropna()
-    ok = ((F.col("observed") >= F.col("hard")) & (F.col("hard") >= F.col("easy"))).cast("int")
-    return r.agg(F.count("*").alias("n"), F.round(F.avg(ok), 9).alias("ranking_accuracy"), *[F.round(F.avg(c), 4).alias(c) for c in ("observed", "hard", "easy")])
+# Conversations whose every third one ends in a phrase that must be flagged; the SQL has its own patterns, by hand.
+_SAID = ["You LOOK like  a man", "are too old", "your face does this coat no favours", "cannot use your hands", "damn it", "your skin tone", "thigh look enormous", "The mirror clearly gave up", "hello", "hellish"]
+_WORDS = {
+    "age": "too old|grandma|your age|teenager|only a child", "attractiveness": "your face\\b.*\\bno favours|make you attractive|too ugly|fix your looks|the person wearing (them|it) is not",
+    "body": "lost some weight|flatter stomach|thighs? look enormous|your size|shoulders? (are )?far too wide|too fat|too skinny",
+    "disability": "something is wrong with you|are you blind|look disabled|cannot use your hands|with a limp",
+    "gender": "men should never wear|real woman|you look like a man|girls should not dress this masculine|pick a gender",
+    "implicature": "nothing could have saved|should not be photographed|mirror clearly gave up|fabric can hide|does not like you",
+    "profanity": "crap|hell|damn|bloody|garbage", "race": "people of your race|your skin tone|your own culture|immigrant|only white people",
+}
+_TALK = f"regexp_replace(lower(coalesce(text, '') || ' ' || {_SAID}[(conv_id % 10 + 1)::INT]), '\\s+', ' ', 'g')"
+_FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '\\b({v})\\b') THEN 'safety:{k}' END" for k, v in _WORDS.items()) + ")"
 
 
-@query("""WITH refs AS (SELECT o_orderkey, o_orderkey % 7 + 1 AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 3 + 1 FROM orders WHERE o_orderkey % 2 = 0),
-m AS (SELECT o_orderkey, count(*) AS refs, count(*) FILTER (WHERE l.l_orderkey IS NULL) AS bad FROM refs LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l ON l_orderkey = o_orderkey AND l_linenumber = ref GROUP BY o_orderkey)
-SELECT count(*) AS n, round(avg((bad = 0)::INT), 9) AS supported_rate, round(sum(bad) / sum(refs)::DOUBLE, 9) AS unsupported_ref_rate, round(avg(refs), 9) AS mean_refs FROM m""")
-def grounding(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey")
-    k = F.col("o_orderkey")
-    refs = o.select("o_orderkey", F.explode(F.when(k % 2 == 0, F.array(k % 7 + 1, k % 3 + 1)).otherwise(F.array(k % 7 + 1))).alias("ref"))
-    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("ref")).distinct().withColumn("there", F.lit(1))
-    m = refs.join(lines, ["o_orderkey", "ref"], "left").groupBy("o_orderkey").agg(F.count("*").alias("refs"), F.count_if(F.col("there").isNull()).alias("bad"))
-    return m.agg(F.count("*").alias("n"), F.round(F.avg((F.col("bad") == 0).cast("int")), 9).alias("supported_rate"), F.round(F.sum("bad") / F.sum("refs"), 9).alias("unsupported_ref_rate"), F.round(F.avg("refs"), 9).alias("mean_refs"))
-
-
-_TALK = "regexp_replace(lower(text || CASE WHEN conv_id % 5 = 0 THEN ' Too  old for this' WHEN conv_id % 7 = 0 THEN ' damn, your size' ELSE ' hello' END), '\\s+', ' ', 'g')"
-_FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{T.safety_pattern(k)}') THEN '{k}' END" for k in T.UNSAFE) + ")"
-
-
-def _flagged(spark, d):
+def _probes(spark, d):
     k = F.col("conv_id")
-    text = F.concat("text", F.when(k % 5 == 0, " Too  old for this").when(k % 7 == 0, " damn, your size").otherwise(" hello"))
-    return read(spark, d, "conversations").select("conv_id", "turn", T.safety_flags(text).alias("flags"))
+    text = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, _SAID)), (k % 10 + 1).cast("int")))
+    return read(spark, d, "conversations").select("conv_id", "turn", text.alias("text"), (k % 10 < 8).alias("must_flag"))
 
 
 @query(f"SELECT conv_id, turn, {_FLAGS} AS flags FROM (SELECT *, {_TALK} AS t FROM conversations)")
 def safety_flags(spark, d):
-    return _flagged(spark, d)
+    return _probes(spark, d).select("conv_id", "turn", T.safety_flags(F.col("text")).alias("flags"))
 
 
-@query(f"""WITH f AS (SELECT conv_id % 5 = 0 OR conv_id % 7 = 0 AS must, {_FLAGS} <> '' AS hit FROM (SELECT *, {_TALK} AS t FROM conversations))
-SELECT count(*) AS n, round(avg(hit::INT) FILTER (WHERE must), 9) AS recall, round(avg(hit::INT) FILTER (WHERE NOT must), 9) AS false_positive_rate FROM f""")
+@query(f"""WITH f AS (SELECT conv_id || ':' || turn AS id, conv_id % 10 < 8 AND conv_id % 40 <> 0 OR conv_id % 50 = 9 AS must, {_FLAGS} <> '' AS hit FROM (SELECT *, {_TALK} AS t FROM conversations))
+SELECT round(avg(hit::INT) FILTER (WHERE must), 9) AS recall, round(avg(hit::INT) FILTER (WHERE NOT must), 9) AS false_positive_rate, count(*) AS n_probes, count(*) FILTER (WHERE must) AS n_must_flag, count(*) FILTER (WHERE NOT must) AS n_negative,
+ count(*) FILTER (WHERE hit) AS n_flagged, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE must AND NOT hit), '') AS missed, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE NOT must AND hit), '') AS false_positives FROM f""")
 def safety_eval(spark, d):
+    """Some probes are marked wrongly on purpose, so that there are ids to report."""
     k = F.col("conv_id")
-    f = _flagged(spark, d).select(((k % 5 == 0) | (k % 7 == 0)).alias("must"), (F.col("flags") != "").cast("int").alias("hit"))
-    rate = lambda c: F.round(F.avg(F.when(c, F.col("hit"))), 9)
-    return f.agg(F.count("*").alias("n"), rate(F.col("must")).alias("recall"), rate(~F.col("must")).alias("false_positive_rate"))
+    must = (F.col("must_flag") & (k % 40 != 0)) | (k % 50 == 9)
+    p = _probes(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("probe_id"), "text", must.alias("must_flag"))
+    e = evaluate_safety(p)
+    return e.withColumns({c: F.round(c, 9) for c in ("recall", "false_positive_rate")} | {c: F.array_join(c, ",") for c in ("missed", "false_positives")})
 
 
 @query("SELECT lang, min(n_chars) AS lowest, quantile_disc(n_chars, 0.5) AS median, quantile_disc(n_chars, 0.95) AS p95, quantile_disc(n_chars, 0.99) AS p99, max(n_chars) AS highest FROM documents GROUP BY lang")
@@ -192,23 +187,6 @@ def regional_audit(spark, d):
     return _region(spark, d).groupBy("l_linenumber").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
-@query("SELECT p_partkey, CASE WHEN p_type IN ('PROMO') THEN 'p_type' WHEN p_size > 40 THEN 'p_size' END AS violation FROM part WHERE p_type = 'PROMO' OR p_size > 40")
-def vocab_violations(spark, d):
-    bad = F.when(F.col("p_type").isin("PROMO"), "p_type").when(F.col("p_size") > 40, "p_size")
-    return read(spark, d, "part").select("p_partkey", bad.alias("violation")).where("violation is not null")
-
-
-@query("""SELECT coalesce(kind, 'ok') AS kind, count(*) AS n FROM (SELECT CASE WHEN c_custkey IS NULL THEN 'missing_table_row' WHEN o_orderstatus = 'P' THEN 'not_full_body' WHEN n IS NULL THEN 'missing_mask' WHEN n > 6 THEN 'mask_labels' END AS kind
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1""")
-def preflight_cascade(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    c = read(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey")
-    m = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    j = o.join(c, F.col("c_custkey") == F.col("o_custkey"), "left").join(m, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    kind = F.when(F.col("c_custkey").isNull(), "missing_table_row").when(F.col("o_orderstatus") == "P", "not_full_body").when(F.col("n").isNull(), "missing_mask").when(F.col("n") > 6, "mask_labels").otherwise("ok")
-    return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def resume_dedup(spark, d):
     from draper.streaming.resume import latest

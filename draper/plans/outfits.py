@@ -26,6 +26,8 @@ def _lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
     return f"({f[1]} * 116 - 16)", f"(({f[0]} - {f[1]}) * 500)", f"(({f[1]} - {f[2]}) * 200)"
 
 
+#: A category as the formality table has it.
+KEY = "trim(regexp_replace(lower(replace(category, '-', ' ')), '\\s+', ' ', 'g'))"
 HUES = "[" + ", ".join(f"{{'d': least(abs(h - {h!r}::DOUBLE), 360 - abs(h - {h!r}::DOUBLE)), 'name': '{n}'}}" for n, h in color.REFERENCE_HUE.items()) + "]"
 FAMILY = f"list_sort({HUES})[1].name"
 HUE = "((degrees(atan2({b}, {a})) % 360 + 360) % 360)"
@@ -39,7 +41,7 @@ PAIRS = RESOLVED + """, hue_pairs AS (SELECT x.image_id, x.pos AS i, y.pos AS j,
 SCORED = PAIRS + f""", widest AS (SELECT image_id, max(delta) AS widest FROM hue_pairs GROUP BY image_id),
 gaps AS (SELECT image_id, hue, lead(hue) OVER (PARTITION BY image_id ORDER BY hue) AS nxt FROM resolved WHERE hue IS NOT NULL),
 fams AS (SELECT image_id, greatest(1, count(*) FILTER (WHERE nxt - hue > 30) + CASE WHEN 360 - (max(hue) - min(hue)) > 30 THEN 1 ELSE 0 END) AS families FROM gaps GROUP BY image_id),
-valued AS (SELECT *, {_case('category', V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
+valued AS (SELECT *, {_case(KEY, V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
   greatest({_case('sleeve_length', V.SLEEVE_EXPOSURE)}, {_case('length', V.LENGTH_EXPOSURE)}) AS exposure FROM resolved),
 m AS (SELECT image_id, count(*) AS n, count(l) AS lit, max(l) - min(l) AS spread, count(*) FILTER (WHERE pattern NOT IN ('pure_color', 'na')) AS patterned,
   max(level) - min(level) AS gap, count(level) AS levels, max(warm) AS hot, min(warm) AS cold, count(warm) AS warms, max(exposure) AS bare,
@@ -73,10 +75,10 @@ def ref_numbering(spark, d):
     return rules.with_refs(garments(spark, d)).select("image_id", "pos", "ref")
 
 
-@query(f"""WITH {GARMENTS} SELECT image_id, slot, pos, area FROM (SELECT *, row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, pos) AS rn FROM garments) WHERE rn = 1""")
+@query(f"""WITH {GARMENTS} SELECT image_id, slot, pos, area FROM (SELECT *, row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, ref) AS rn
+ FROM (SELECT *, slot || '_' || (row_number() OVER (PARTITION BY image_id, slot ORDER BY pos) - 1) AS ref FROM garments)) WHERE rn = 1""")
 def largest_measured(spark, d):
-    by = Window.partitionBy("image_id", "slot").orderBy(F.col("area").isNull(), F.desc("area"), "pos")
-    return garments(spark, d).withColumn("rn", F.row_number().over(by)).where("rn = 1").select("image_id", "slot", "pos", "area")
+    return rules.largest_measured(garments(spark, d)).select("image_id", "slot", "pos", "area")
 
 
 @query(f"""WITH {GARMENTS}, s AS (SELECT image_id, slot, count(*) AS n, sum(area) AS area FROM garments GROUP BY ALL)
@@ -184,31 +186,6 @@ def tone(spark, d):
     return rules.tone(rules.rule_score(garments(spark, d)))
 
 
-_SUGGEST = {
-    "hue_clash": "Let one colour lead.", "too_many_colors": "Edit the palette down.", "low_contrast": "Add a lighter or darker anchor.",
-    "monochrome_flat": "Break the light and dark.", "pattern_clash": "Keep one pattern.", "formality_mismatch": "Match the register.",
-    "season_mismatch": "Pick one weather.", "fabric_mismatch": "Bring textures closer.", "proportion_imbalance": "Clean up the hem.",
-    "missing_footwear": "Add shoes.", "accessory_overload": "Remove a piece or two.",
-}
-
-
-@query(f"""WITH {SCORED}, e AS (SELECT image_id, unnest(string_split(issues, ',')) AS code, generate_subscripts(string_split(issues, ','), 1) AS i FROM scored WHERE issues <> ''),
-u AS (SELECT image_id, code, min(i) AS i FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY i) AS rn FROM u)
-SELECT image_id, string_agg(CASE code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SUGGEST.items())} END, ' ' ORDER BY rn) AS suggestions FROM r WHERE rn <= 5 GROUP BY image_id""")
-def suggestions(spark, d):
-    s = rules.rule_score(garments(spark, d)).where("issues <> ''")
-    codes = F.slice(F.array_distinct(F.split("issues", ",")), 1, 5)
-    return s.select("image_id", F.array_join(F.transform(codes, lambda c: rules.lookup(_SUGGEST, c)), " ").alias("suggestions"))
-
-
-@query(f"""WITH {SCORED}, e AS (SELECT image_id, unnest(string_split(issues, ',')) AS code FROM scored WHERE issues <> ''), r AS (SELECT image_id, code, CASE WHEN code IN ('hue_clash', 'season_mismatch') THEN 0 ELSE 1 END AS rank FROM e),
-o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rank, code) AS rn FROM r) SELECT image_id, string_agg(code, ',' ORDER BY rn) AS worst FROM o WHERE rn <= 3 GROUP BY image_id""")
-def worst_issues(spark, d):
-    s = rules.rule_score(garments(spark, d)).where("issues <> ''")
-    ranked = F.transform(F.split("issues", ","), lambda c: F.struct(F.when(c.isin("hue_clash", "season_mismatch"), 0).otherwise(1).alias("rank"), c.alias("code")))
-    return s.select("image_id", F.array_join(F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda x: x["code"]), ",").alias("worst"))
-
-
 _FIELDS = ["color", "pattern", "fabric", "sleeve_length", "length"]
 
 
@@ -273,9 +250,10 @@ def _feature_sql() -> str:
         "proportion__measured_count": "count(area)::DOUBLE", "composition__n_ignored": "0::DOUBLE", "composition__n_selected": "count(*)::DOUBLE",
     }
     cols += [f"{e} AS {name}" for name, e in plain.items()]
-    text = f"""WITH {RESOLVED}, valued AS (SELECT *, {_case('category', V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
+    text = f"""WITH {RESOLVED}, valued AS (SELECT *, {_case(KEY, V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
  greatest({_case('sleeve_length', V.SLEEVE_EXPOSURE)}, {_case('length', V.LENGTH_EXPOSURE)}) AS exposure FROM resolved),
-reps AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, pos) = 1),
+reps AS (SELECT * FROM (SELECT *, slot || '_' || (row_number() OVER (PARTITION BY image_id, slot ORDER BY pos) - 1) AS ref FROM valued)
+ QUALIFY row_number() OVER (PARTITION BY image_id, slot ORDER BY area IS NULL, area DESC, ref) = 1),
 h AS (SELECT image_id, pos, hue FROM reps WHERE hue IS NOT NULL),
 p AS (SELECT image_id, avg(delta) AS mean, max(delta) AS most, count(*) AS pairs FROM (SELECT x.image_id, least(abs(x.hue - y.hue), 360 - abs(x.hue - y.hue)) AS delta
  FROM h x JOIN h y ON x.image_id = y.image_id AND x.pos < y.pos) GROUP BY image_id),
@@ -336,11 +314,12 @@ def color_audit(spark, d):
 
 
 _DONORS = f"""{GARMENTS}, owner AS (SELECT o_orderkey AS image_id, o_custkey AS grp FROM orders),
-ranked AS (SELECT g.image_id, g.slot, g.category, g.color, g.pattern, g.fabric, grp, row_number() OVER (PARTITION BY g.image_id, g.slot ORDER BY g.pos) AS rn FROM garments g JOIN owner USING (image_id)),
+ranked AS (SELECT g.image_id, g.slot, g.category, g.color, g.pattern, g.fabric, g.sleeve_length, g.length, g.neckline, grp, row_number() OVER (PARTITION BY g.image_id, g.slot ORDER BY g.pos) AS rn FROM garments g JOIN owner USING (image_id)),
 firsts AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1), pool AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY image_id) - 1 AS idx, count(*) OVER (PARTITION BY slot) AS size FROM firsts),
 draws AS (SELECT p.*, k, (48271 * p.image_id + 69621 * list_position(['upper', 'lower', 'outer', 'dress', 'footwear'], p.slot) + 16807 * k + 20260101) % size AS want FROM pool p, range(32) r(k)),
 hits AS (SELECT w.image_id, w.slot, k, q.image_id AS donor_id FROM draws w JOIN pool q ON w.slot = q.slot AND w.want = q.idx
- WHERE q.image_id <> w.image_id AND q.grp <> w.grp AND (q.category, q.color, q.pattern, q.fabric) IS DISTINCT FROM (w.category, w.color, w.pattern, w.fabric)),
+ WHERE q.image_id <> w.image_id AND q.grp <> w.grp AND (q.category IS DISTINCT FROM w.category OR q.color IS DISTINCT FROM w.color OR q.pattern IS DISTINCT FROM w.pattern OR q.fabric IS DISTINCT FROM w.fabric
+  OR q.sleeve_length IS DISTINCT FROM w.sleeve_length OR q.length IS DISTINCT FROM w.length OR q.neckline IS DISTINCT FROM w.neckline)),
 donors AS (SELECT image_id, slot, min(k) AS k, arg_min(donor_id, k) AS donor_id FROM hits GROUP BY ALL)"""
 
 
@@ -434,6 +413,15 @@ def issue_refs(spark, d):
     return found.select("image_id", "pos", "i.code", "i.severity", F.array_join("i.garment_refs", ",").alias("refs"))
 
 
+@query(f"""WITH {_WITNESS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE severity WHEN 'major' THEN 0 WHEN 'minor' THEN 1 ELSE 2 END, code, refs) AS rn FROM issues)
+SELECT image_id, string_agg(code || '(' || array_to_string(refs, '+') || ')', ',' ORDER BY rn) AS worst FROM ranked WHERE rn <= 3 GROUP BY image_id""")
+def worst_issues(spark, d):
+    """The three worst issues of every outfit that has any: by severity, code, garments."""
+    found = roasting.issues(garments(spark, d)).where(F.size("issues") > 0)
+    told = F.transform(roasting.worst(F.col("issues"), 3), lambda x: F.concat(x["code"], F.lit("("), F.array_join(x["garment_refs"], "+"), F.lit(")")))
+    return found.select("image_id", F.array_join(told, ",").alias("worst"))
+
+
 @query(f"""WITH {_WITNESS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY severity, code, refs) AS rn FROM issues),
 best AS (SELECT image_id, max(code) FILTER (WHERE rn = 1) AS lead, max(code) FILTER (WHERE rn = 2) AS followup, max(refs) FILTER (WHERE rn = 1) AS one, max(refs) FILTER (WHERE rn = 2) AS two FROM ranked GROUP BY image_id)
 SELECT w.image_id, lead, followup, array_to_string(CASE WHEN lead IS NULL THEN refs[1:5] ELSE list_concat(one, list_filter(coalesce(two, []), lambda r: NOT list_contains(one, r))) END, ',') AS grounded FROM w LEFT JOIN best USING (image_id)""")

@@ -27,9 +27,8 @@ def parse_keyed_text(spark, d):
 @query(f"""WITH {GARMENTS} SELECT slot, replace(color, '_', ' ') AS word, color, pattern, fabric, count(*) AS n
 FROM garments GROUP BY ALL""")
 def parse_loose_lines(spark, d):
-    """Slot lines without keys, as ``slot: item, colour, pattern pattern, fabric``: the distinct lines are parsed once."""
-    g = garments(spark, d).groupBy("slot", "color", "pattern", "fabric").agg(F.count("*").alias("n"))
+    """Slot lines without keys, as ``slot: item, colour, pattern pattern, fabric``: every garment's line is parsed."""
     word = F.replace("color", F.lit("_"), F.lit(" "))
     line = F.concat(F.lit("- **"), "slot", F.lit("**: item, "), word, F.lit(", "), F.replace("pattern", F.lit("_"), F.lit(" ")), F.lit(", "), "fabric")
-    p = parse_text(g.withColumn("text", line)).withColumn("g", F.col("garments")[0])
-    return p.select("g.slot", word.alias("word"), "g.color", "g.pattern", "g.fabric", "n").groupBy("slot", "word", "color", "pattern", "fabric").agg(F.sum("n").alias("n"))
+    p = parse_text(garments(spark, d).select(word.alias("word"), line.alias("text"))).withColumn("g", F.col("garments")[0])
+    return p.groupBy("g.slot", "word", "g.color", "g.pattern", "g.fabric").agg(F.count("*").alias("n"))

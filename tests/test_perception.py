@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from draper.functions import color
 from draper.operators import palette as P
@@ -25,21 +26,33 @@ def test_lab_agrees_with_the_scalar_version():
     assert np.allclose(P.lab_pixels(rgb), [color.lab_of(tuple(map(int, c))) for c in rgb])
 
 
-def test_palette():
+def colours(spark, rgb, mask=None, n_colors=3):
+    df = spark.createDataFrame([("x", bytes(np.asarray(rgb, np.uint8).tobytes()), None if mask is None else bytes(mask))], "image_id string, rgb binary, mask binary")
+    return [((r.lab_l, r.lab_a, r.lab_b), r.share, r.slot) for r in P.measure(df, n_colors).orderBy("slot", F.desc("share")).collect()]
+
+
+def test_palette(spark):
     rgb = np.repeat(np.array([[255, 0, 0], [0, 0, 255], [0, 255, 0]], np.uint8), [60, 30, 10], axis=0)
-    got = P.palette(rgb, np.ones(100, int))
-    assert np.allclose(got[0][0], color.REFERENCE_LAB["red"]) and abs(sum(s for _, s in got) - 1) < 1e-12
+    got = colours(spark, rgb)
+    assert np.allclose(got[0][0], color.REFERENCE_LAB["red"]) and [round(s, 9) for _, s, _ in got] == [0.6, 0.3, 0.1]
     noisy = np.clip(rgb.astype(int) + np.random.default_rng(2).integers(-3, 4, rgb.shape), 0, 255).astype(np.uint8)
-    near = P.palette(noisy, np.ones(100, int))
-    assert [round(s, 9) for _, s in near] == [0.6, 0.3, 0.1] and all(np.abs(a[0] - b[0]).max() < 2 for a, b in zip(near, got))
-    assert P.palette(rgb, np.zeros(100, int)) == []
-    apart = P.palette(rgb, np.repeat([1, 2], [60, 40]), n_colors=1)
-    assert len(apart) == 1 and apart[0][1] == 1.0
-    assert P.palette(rgb, np.ones(100, int)) is not None and all(np.allclose(a[0], b[0]) for a, b in zip(got, P.palette(rgb, np.ones(100, int))))
+    near = colours(spark, noisy)
+    assert [round(s, 9) for _, s, _ in near] == [0.6, 0.3, 0.1] and all(np.abs(np.subtract(a[0], b[0])).max() < 2 for a, b in zip(near, got))
+    assert colours(spark, noisy) == near
+    apart = colours(spark, rgb, [1] * 60 + [3] * 40, n_colors=1)
+    assert [(round(s, 9), slot) for _, s, slot in apart] == [(1.0, "lower"), (1.0, "upper")]
+    rare = np.concatenate([rgb, np.array([[9, 9, 9]], np.uint8)])
+    assert len(colours(spark, rare, n_colors=9)) == 3  # one pixel in 101 is below the floor
     big = np.random.default_rng(1).integers(0, 256, (30000, 3)).astype(np.uint8)
     assert sum(n for n, _ in P.clusters(P.lab_pixels(big))) == 30000
     with pytest.raises(ValueError):
-        P.palette(rgb, np.ones(100, int), 0)
+        colours(spark, rgb, n_colors=0)
+
+
+def test_palette_keeps_the_largest_where_none_reaches_the_floor(spark):
+    rows = [("x", "upper", 1, n, float(n), 0.0, 0.0, "mask") for n in (5, 7, 6)]
+    found = spark.createDataFrame(rows, P.CLUSTERS)
+    assert [(r.lab_l, r.share) for r in P.dominant(found, 3, floor=0.9).collect()] == [(7.0, 1.0)]
 
 
 def test_photos_masks_and_measures(spark, tmp_path):
