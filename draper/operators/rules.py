@@ -130,14 +130,16 @@ def rule_parts(m: DataFrame) -> DataFrame:
     return scored.withColumn("issues", F.transform("broken", lambda c: F.coalesce(lookup(RULE_CODE, c), c)))
 
 
-def rule_score(g: DataFrame) -> DataFrame:
-    """image_id, overall, four subscores, issues (codes joined by commas), majors."""
+def rule_score(g: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """image_id, overall (the weighted mean of the subscores), four subscores, issues (codes joined by commas), majors."""
     s = rule_parts(measures(g))
     axes = ["color_harmony", "formality_consistency", "seasonality", "proportion"]
+    weights = weights or dict.fromkeys(axes, 1.0)
+    overall = sum(F.col(a) * float(weights[a]) for a in axes) / float(sum(weights.values()))
     major = F.size(F.filter("issues", lambda c: c.isin("hue_clash", "season_mismatch"))) + F.when(
         F.array_contains("issues", "formality_mismatch") & (F.col("top") - F.col("bottom") >= V.MAJOR_FORMALITY), 1
     ).otherwise(0)
-    return s.select("image_id", (sum(F.col(a) for a in axes) / 4).alias("overall"), *axes, F.array_join("issues", ",").alias("issues"), major.alias("majors"))
+    return s.select("image_id", overall.alias("overall"), *axes, F.array_join("issues", ",").alias("issues"), major.alias("majors"))
 
 
 def tone(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draper.operators.ranking import numbered
+
+
+#: An image's name: gender, category, product id and shot.
+IDENTITY = r"^(([A-Za-z]+)-(.+)-id_\d{8})-(.+)$"
+
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     """df, which fails when it is read if a key repeats: rows are numbered within their key, and a second one raises.
@@ -42,19 +48,23 @@ def group_key(image_id: Column) -> Column:
 
 def identity(df: DataFrame, column: str = "name") -> DataFrame:
     """garment_id, gender, category, shot from file names; rows that don't match go."""
-    pattern = r"^(([A-Za-z]+)-(.+)-id_\d{8})-(.+)$"
-    part = lambda i: F.regexp_extract(column, pattern, i)
-    return df.where(F.col(column).rlike(pattern)).select(
+    part = lambda i: F.regexp_extract(column, IDENTITY, i)
+    return df.where(F.col(column).rlike(IDENTITY)).select(
         "*", part(1).alias("garment_id"), F.lower(part(2)).alias("gender"), part(3).alias("category_from_filename"), part(4).alias("shot")
     )
 
 
 def fold_split(groups: DataFrame, folds: int = 7, seed: int = 20260101) -> DataFrame:
-    """(group, stratum, size) -> split: groups dealt in turn within a stratum by (size desc, keyed hash, group)."""
-    keyed = (F.col("group") * 48271 + seed) % 2147483647
-    nth = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("size"), keyed, "group")) - 1
-    fold = nth % folds
-    return groups.withColumn("split", F.when(fold == 0, "test").when(fold == 1, "val").otherwise("train"))
+    """(group, stratum, size) -> split: groups dealt in turn within a stratum by (size desc, keyed hash, group).
+
+    Groups are numbered by ranges, so a stratum needs no task of its own; whole numbers are keyed by arithmetic, other groups by a hash.
+    """
+    integral = groups.schema["group"].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = (F.col("group") * 48271 + seed) if integral else F.xxhash64(F.lit(seed), "group")
+    order = F.pmod(key, F.lit(2147483647)) - F.col("size").cast("long") * 2147483648
+    dealt = numbered(groups.withColumn("_order", order), "stratum", "_order", "_nth", "_size", ("group",))
+    fold = F.col("_nth") % folds
+    return dealt.withColumn("split", F.when(fold == 0, "test").when(fold == 1, "val").otherwise("train")).drop("_order", "_nth", "_size")
 
 
 def symmetric_gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

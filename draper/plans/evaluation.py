@@ -33,9 +33,12 @@ def accuracy_macro_f1(spark, d):
     return metrics.accuracy_macro_f1(_pairs(spark, d)).select("field", "n", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
-@query(f"WITH {_PAIRS}, c AS (SELECT field, actual AS label, count(*) AS n FROM pairs GROUP BY ALL) SELECT field, label, round(sum(n) OVER w / (count(*) OVER w * n)::DOUBLE, 9) AS weight FROM c WINDOW w AS (PARTITION BY field)")
+@query(f"""WITH {_PAIRS}, c AS (SELECT field, actual AS label, count(*) AS n FROM pairs GROUP BY ALL), w AS (SELECT field, label, round(sum(n) OVER w / (count(*) OVER w * n)::DOUBLE, 9) AS weight FROM c WINDOW w AS (PARTITION BY field))
+SELECT * FROM w UNION ALL SELECT 'toxic', 'unused', 0.0""")
 def class_weights(spark, d):
-    return metrics.class_weights(_pairs(spark, d).withColumnRenamed("actual", "label")).select("field", "label", F.round("weight", 9).alias("weight"))
+    labels = _pairs(spark, d).withColumnRenamed("actual", "label")
+    words = {"quality": ["0", "1"], "toxic": ["0", "1", "unused"]}
+    return metrics.class_weights(labels, words).select("field", "label", F.round("weight", 9).alias("weight"))
 
 
 @query("""WITH s AS (SELECT quality AS label, n_chars AS score FROM labels JOIN documents USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s)

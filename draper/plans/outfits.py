@@ -11,6 +11,7 @@ from draper.operators import roast as roasting
 from draper.operators import rules, tables
 from draper.plans.adapter import GARMENTS, garments, read
 from draper.plans.registry import query
+from draper.sources.splits import ids_digest, shared_groups
 
 
 def _case(key: str, pairs: dict) -> str:
@@ -28,6 +29,7 @@ def _lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
 
 #: A category as the formality table has it.
 KEY = "trim(regexp_replace(lower(replace(category, '-', ' ')), '\\s+', ' ', 'g'))"
+TRIALS = 30
 HUES = "[" + ", ".join(f"{{'d': least(abs(h - {h!r}::DOUBLE), 360 - abs(h - {h!r}::DOUBLE)), 'name': '{n}'}}" for n, h in color.REFERENCE_HUE.items()) + "]"
 FAMILY = f"list_sort({HUES})[1].name"
 HUE = "((degrees(atan2({b}, {a})) % 360 + 360) % 360)"
@@ -131,22 +133,36 @@ def hue_family(spark, d):
 
 @query(f"""WITH {PAIRS} SELECT image_id, i, j, round(delta, 6) AS delta, CASE WHEN delta >= 160 THEN 'complementary' WHEN delta <= 30 THEN 'analogous' WHEN abs(delta - 120) <= 20 THEN 'triadic_candidate' ELSE 'none' END AS relation FROM hue_pairs""")
 def hue_pairs(spark, d):
-    g = rules.resolved(garments(spark, d)).where("hue is not null").select("image_id", "pos", "hue")
-    x, y = g.alias("x"), g.alias("y")
-    pairs = x.join(y, (F.col("x.image_id") == F.col("y.image_id")) & (F.col("x.pos") < F.col("y.pos")))
-    delta = color.folded(F.col("x.hue"), F.col("y.hue"))
-    return pairs.select(F.col("x.image_id").alias("image_id"), F.col("x.pos").alias("i"), F.col("y.pos").alias("j"), F.round(delta, 6).alias("delta"), color.relation(delta).alias("relation"))
+    x, y, image, (i, j) = F.col("p.x"), F.col("p.y"), F.col("image_id"), (F.col("p.x.pos"), F.col("p.y.pos"))
+    pairs = F.flatten(F.transform("hued", lambda x, n: F.transform(F.slice("hued", n + 2, F.size("hued")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    delta = color.folded(x["hue"], y["hue"])
+    found = _hued(spark, d).select(image, F.explode(pairs).alias("p"))
+    return found.select("image_id", i.alias("i"), j.alias("j"), F.round(delta, 6).alias("delta"), color.relation(delta).alias("relation"))
+
+
+def _hued(spark, d):
+    """image_id and its garments with a hue, in order: the pairs and triples of an outfit are made inside its row."""
+    g = rules.resolved(garments(spark, d)).where("hue is not null")
+    return g.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hue"))).alias("hued"))
 
 
 @query(f"""WITH {RESOLVED}, h AS (SELECT image_id, pos, hue FROM resolved WHERE hue IS NOT NULL),
 t AS (SELECT x.image_id, x.pos AS i, y.pos AS j, z.pos AS k, list_sort([x.hue, y.hue, z.hue]) AS s FROM h x JOIN h y ON x.image_id = y.image_id AND x.pos < y.pos JOIN h z ON y.image_id = z.image_id AND y.pos < z.pos)
 SELECT image_id, i, j, k FROM t WHERE abs(s[2] - s[1] - 120) <= 20 AND abs(s[3] - s[2] - 120) <= 20 AND abs(360 - (s[3] - s[1]) - 120) <= 20""")
 def triads(spark, d):
-    g = rules.resolved(garments(spark, d)).where("hue is not null").select("image_id", "pos", "hue")
-    t = g.toDF("image_id", "i", "hx").join(g.toDF("image_id", "j", "hy"), "image_id").where("i < j").join(g.toDF("image_id", "k", "hz"), "image_id").where("j < k")
-    s = F.array_sort(F.array("hx", "hy", "hz"))
     near = lambda gap: F.abs(gap - 120) <= V.TOLERANCE
-    return t.where(near(s[1] - s[0]) & near(s[2] - s[1]) & near(360 - (s[2] - s[0]))).select("image_id", "i", "j", "k")
+
+    def third(x, y):
+        def group(z):
+            s = F.array_sort(F.array(x["hue"], y["hue"], z["hue"]))
+            good = near(s[1] - s[0]) & near(s[2] - s[1]) & near(360 - (s[2] - s[0]))
+            return F.when(good, F.struct(x["pos"].alias("i"), y["pos"].alias("j"), z["pos"].alias("k")))
+
+        return group
+
+    later = lambda n: F.slice("hued", n + 2, F.size("hued"))
+    triples = F.flatten(F.flatten(F.transform("hued", lambda x, n: F.transform(later(n), lambda y, m: F.transform(later(n + m + 1), third(x, y))))))
+    return _hued(spark, d).select("image_id", F.explode(F.array_compact(triples)).alias("t")).select("image_id", "t.*")
 
 
 @query(f"""WITH {RESOLVED} SELECT image_id, CASE WHEN count(l) > 1 THEN round(max(l) - min(l), 6) ELSE 0 END::DOUBLE AS lightness,
@@ -306,11 +322,12 @@ def rarest_classes(spark, d):
 SELECT coalesce(color, 'all') AS name, count(*) AS n, round(min(chroma), 6) AS lowest, round(quantile_disc(chroma, 0.5), 6) AS median, round(quantile_disc(chroma, 0.95), 6) AS p95, round(max(chroma), 6) AS highest,
  count(*) FILTER (WHERE color IN ('black', 'white', 'gray', 'beige') AND chroma > 20) AS suspicious FROM c GROUP BY GROUPING SETS ((), (color))""")
 def color_audit(spark, d):
-    c = garments(spark, d).where("lab_l is not null").select("color", F.hypot("lab_a", "lab_b").alias("chroma"))
-    c.createOrReplaceTempView("_draper_chroma")
-    return spark.sql("""SELECT coalesce(color, 'all') AS name, count(*) AS n, round(min(chroma), 6) AS lowest, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY chroma), 6) AS median,
-      round(percentile_disc(0.95) WITHIN GROUP (ORDER BY chroma), 6) AS p95, round(max(chroma), 6) AS highest,
-      count_if(color IN ('black', 'white', 'gray', 'beige') AND chroma > 20) AS suspicious FROM _draper_chroma GROUP BY GROUPING SETS ((), (color))""")
+    c = garments(spark, d).where(rules.usable_lab([F.col(f"lab_{x}") for x in "lab"])).select("color", F.hypot("lab_a", "lab_b").alias("chroma"))
+    disc = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY chroma)"), 6)
+    suspicious = F.count_if(F.col("color").isin("black", "white", "gray", "beige") & (F.col("chroma") > 20))
+    return c.groupingSets([[], ["color"]], "color").agg(
+        F.count("*").alias("n"), F.round(F.min("chroma"), 6).alias("lowest"), disc(0.5).alias("median"), disc(0.95).alias("p95"), F.round(F.max("chroma"), 6).alias("highest"), suspicious.alias("suspicious"),
+    ).select(F.coalesce("color", F.lit("all")).alias("name"), "n", "lowest", "median", "p95", "highest", "suspicious")
 
 
 _DONORS = f"""{GARMENTS}, owner AS (SELECT o_orderkey AS image_id, o_custkey AS grp FROM orders),
@@ -357,18 +374,23 @@ def _image_split(spark, d):
     return read(spark, d, "orders").select("o_orderkey", "o_custkey").join(group_split(spark, d), F.col("o_custkey") == F.col("group"))
 
 
-@query(f"""WITH {_SPLIT} SELECT split, count(*) AS images, count(DISTINCT "group") AS n_groups, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS ids_sha256 FROM orders JOIN split ON o_custkey = "group" GROUP BY split""")
+@query(f"""WITH {_SPLIT}, ids AS (SELECT split, "group", o_orderkey::VARCHAR AS id FROM orders JOIN split ON o_custkey = "group"),
+parts AS (SELECT split, substring(md5(id), 1, 3) AS b, sha256(string_agg(id || chr(10), '' ORDER BY id || chr(10))) AS part, count(*) AS n FROM ids GROUP BY ALL),
+whole AS (SELECT split, sum(n)::BIGINT AS images, sha256(string_agg(part, '' ORDER BY b)) AS ids_sha256 FROM parts GROUP BY split)
+SELECT split, images, n_groups, ids_sha256 FROM whole JOIN (SELECT split, count(DISTINCT "group") AS n_groups FROM ids GROUP BY split) USING (split)""")
 def split_manifest(spark, d):
-    return _image_split(spark, d).groupBy("split").agg(
-        F.count("*").alias("images"), F.countDistinct("group").alias("n_groups"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: F.concat(x.cast("string"), F.lit("\n"))), "").cast("binary"), 256).alias("ids_sha256"),
-    )
+    s = _image_split(spark, d)
+    groups = s.groupBy("split").agg(F.countDistinct("group").alias("n_groups"))
+    return ids_digest(s, "o_orderkey", "split").join(groups, "split").select("split", F.col("n").alias("images"), "n_groups", "ids_sha256")
 
 
-@query("SELECT 0::BIGINT AS shared_groups")
+@query(f"""WITH {_SPLIT}, s AS (SELECT "group", split FROM split UNION ALL SELECT "group", 'val' FROM split WHERE "group" % 97 = 0)
+SELECT "group", string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM s GROUP BY "group" HAVING count(DISTINCT split) > 1""")
 def split_disjoint(spark, d):
-    s = _image_split(spark, d).groupBy("group").agg(F.countDistinct("split").alias("n"))
-    return s.agg(F.count_if(F.col("n") > 1).alias("shared_groups"))
+    """Groups that two splits share; a few are put into val as well, so that there are some to find."""
+    s = _image_split(spark, d).select("group", "split").distinct()
+    torn = s.unionByName(s.where(F.col("group") % 97 == 0).withColumn("split", F.lit("val")))
+    return shared_groups(torn).withColumn("splits", F.array_join("splits", ","))
 
 
 @query("SELECT size, count(*) AS n_groups FROM (SELECT count(*) AS size FROM orders GROUP BY o_custkey) GROUP BY size")
@@ -380,10 +402,11 @@ def group_size_histogram(spark, d):
 h AS (SELECT k, o_custkey, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE NOT held) AS kept FROM t GROUP BY ALL)
 SELECT k AS trial, round(sum(CASE WHEN kept > 0 THEN held ELSE 0 END) / sum(held)::DOUBLE, 9) AS leaked FROM h GROUP BY k""")
 def leakage_sim(spark, d):
-    t = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("trial"))
-    held = F.pmod(F.col("o_orderkey") * 48271 + F.col("trial") * 69621, F.lit(2147483647)) % 7 == 0
-    h = t.groupBy("trial", "o_custkey").agg(F.count_if(held).alias("held"), F.count_if(~held).alias("kept"))
-    return h.groupBy("trial").agg(F.round(F.sum(F.when(F.col("kept") > 0, F.col("held")).otherwise(0)) / F.sum("held"), 9).alias("leaked"))
+    """The trials are columns of one aggregate per group, so a row is read once whatever their number."""
+    held = lambda k: F.pmod(F.col("o_orderkey") * 48271 + k * 69621, F.lit(2147483647)) % 7 == 0
+    h = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), *[F.count_if(held(k)).alias(f"h{k}") for k in range(TRIALS)])
+    leaked = [F.round(F.sum(F.when(F.col(f"h{k}") < F.col("n"), F.col(f"h{k}")).otherwise(0)) / F.sum(f"h{k}"), 9).alias(str(k)) for k in range(TRIALS)]
+    return h.agg(*leaked).unpivot([], [str(k) for k in range(TRIALS)], "trial", "leaked").select(F.col("trial").cast("int").alias("trial"), "leaked")
 
 
 _WITNESS = f"""{SCORED}, refd AS (SELECT *, slot || '_' || (row_number() OVER (PARTITION BY image_id, slot ORDER BY pos) - 1) AS ref FROM valued),

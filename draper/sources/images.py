@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,9 @@ def mask_counts(masks: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                c = pd.Series(list(row.mask), dtype="int32").value_counts().sort_index()
-                yield pd.DataFrame({"image_id": row.image_id, "class_id": c.index, "n": c.values})
+            for image_id, mask in zip(batch["image_id"], batch["mask"]):
+                n = np.bincount(np.frombuffer(mask, np.uint8))
+                seen = np.flatnonzero(n)
+                yield pd.DataFrame({"image_id": image_id, "class_id": seen, "n": n[seen]})
 
     return masks.select("image_id", "mask").mapInPandas(count, "image_id string, class_id int, n long")

@@ -4,10 +4,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from draper.functions import settings
 from draper.functions import vocab as V
+from draper.operators import prompts, reports
 from draper.operators.metrics import rank_auc
+from draper.plans import stages
 from draper.plans.registry import Registry
-from draper.sources import labels, records
+from draper.sources import folders, labels, records, splits
 from draper.streaming.resume import append_once, latest, pending
 
 
@@ -35,34 +38,251 @@ def test_captions(spark, tmp_path):
     assert dict(map(tuple, labels.read_captions(spark, str(p)).collect())) == {"a": "one", "b": "two three", "c": "four"}
 
 
-def test_outfit_table(spark):
-    ids = ["WOMEN-Shirts-id_00000001-02_4_full", "bad"]
-    texture = lambda f: spark.createDataFrame([(i, *["na"] * 3) for i in ids], ["image_id", *f])
-    shape = spark.createDataFrame([("other", *["na"] * 12)], ["image_id", *V.SHAPE_CODES])
-    caps = spark.createDataFrame([(ids[0], "x")], ["image_id", "caption"])
-    masks = spark.createDataFrame([(ids[0] + "_segm",)], ["image_id"])
-    t = labels.outfit_table(texture(labels.FABRIC), texture(labels.PATTERN), shape, caps, masks)
-    assert len(t.columns) == 26
-    (r,) = t.collect()
-    assert (r["garment_id"], r["gender"], r["has_shape"], r["has_parsing"], r["is_full_body"], r["hat"]) == ("WOMEN-Shirts-id_00000001", "women", False, True, True, "na")
+def test_captions_that_are_no_text(spark, tmp_path):
+    for n, bad in enumerate(({"a": 3.5, "b": {"title": "x"}}, {"a": ["x", " "]}, {"a.jpg": "x", "a.png": "y"})):
+        p = tmp_path / f"c{n}.json"
+        p.write_text(json.dumps(bad))
+        with pytest.raises(Exception, match="caption is not text|not unique"):
+            labels.read_captions(spark, str(p)).collect()
+
+
+ID = "WOMEN-Shirts-id_0000000{}-02_4_full"
+
+
+def label_files(folder, n=3, shapes=(1,)):
+    folder.mkdir(parents=True)
+    (folder / "a_fabric_ann.txt").write_text("\ufeff\n" + "".join(f"{ID.format(i)}.jpg 0 1 7\n" for i in range(n)))
+    (folder / "b_Colour_ann.txt").write_text("".join(f"{ID.format(i)}.jpg 0 1 7\n" for i in range(n)))
+    (folder / "c_shape.txt").write_text("".join(f"{ID.format(i)}.jpg 0 0 0 0 0 0 0 0 0 0 0 0\n" for i in shapes))
+    (folder / "notes.txt").write_text("nothing of use\n")
+
+
+def test_label_folders_to_outfits(spark, tmp_path):
+    label_files(tmp_path / "labels")
+    assert {k: v.split("/")[-1] for k, v in folders.find_label_files(spark, str(tmp_path / "labels")).items()} == {"fabric": "a_fabric_ann.txt", "pattern": "b_Colour_ann.txt", "shape": "c_shape.txt"}
+    table = folders.read_label_folder(spark, str(tmp_path / "labels"))
+    rows = {r.image_id: r for r in table.collect()}
+    assert len(rows) == 3 and rows[ID.format(0)].hat is None and rows[ID.format(1)].hat == "no" and rows[ID.format(2)].lower_fabric == "cotton"
+    assert folders.missing_label_kinds(spark, str(tmp_path)) == []
+    caps = spark.createDataFrame([(ID.format(0), "x")], ["image_id", "caption"])
+    masks = spark.createDataFrame([(ID.format(0) + "_segm",)], ["image_id"])
+    t = labels.outfit_table(table, caps, masks)
+    assert len(t.columns) == 26 and labels.unmatched_names(table.unionByName(table.limit(1).withColumn("image_id", F.lit("bad")))).first()[0] == 1
+    r = t.where(F.col("image_id") == ID.format(0)).first()
+    assert (r["garment_id"], r["gender"], r["has_shape"], r["has_parsing"], r["is_full_body"], r["hat"]) == ("WOMEN-Shirts-id_00000000", "women", False, True, True, "na")
+    out = str(tmp_path / "outfits")
+    assert labels.write_outfits(t, out) == {"rows": 3, "captions": 1}
+    assert labels.read_outfits(spark, out).count() == 3
+    with pytest.raises(ValueError, match="no caption"):
+        labels.write_outfits(t.withColumn("caption", F.lit("")), out)
+    assert labels.read_outfits(spark, out).where("caption = 'x'").count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["labels", "outfits"]
+
+
+def test_label_folders_that_disagree(spark, tmp_path):
+    with pytest.raises(ValueError, match="no shape, fabric, pattern"):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "x.txt").write_text("a b\n")
+        folders.find_label_files(spark, str(tmp_path / "none"))
+    label_files(tmp_path / "more", shapes=(1, 9))
+    with pytest.raises(Exception, match="shape annotates an image without textures"):
+        folders.read_label_folder(spark, str(tmp_path / "more")).collect()
+    label_files(tmp_path / "less")
+    (tmp_path / "less" / "b_Colour_ann.txt").write_text(f"{ID.format(0)}.jpg 0 1 7\n")
+    with pytest.raises(Exception, match="do not cover the images exactly"):
+        folders.read_label_folder(spark, str(tmp_path / "less")).collect()
+
+
+def test_staging_and_inventory(spark, tmp_path):
+    source, raw = tmp_path / "source", tmp_path / "raw"
+    label_files(source / "labels")
+    (source / "images").mkdir()
+    (source / "images" / "a.jpg").write_bytes(b"x" * 1500)
+    (source / "densepose" / "images").mkdir(parents=True)
+    (source / "densepose" / "images" / "b.jpg").write_bytes(b"x")
+    (source / "captions.json").write_text(json.dumps({"a": "one", "b": "two"}))
+    assert folders.stage_group(source, raw, "labels", dry_run=True) == (4, 0) and not raw.exists()
+    assert {g: folders.stage_group(source, raw, g) for g in folders.GROUPS} == {"labels": (4, 0), "captions": (1, 0), "parsing": (0, 0), "images": (1, 0)}
+    assert folders.stage_group(source, raw, "images") == (0, 1)
+    assert folders.find_caption_file(spark, str(raw)).endswith("captions.json")
+    seen = {r.relpath: r for r in folders.inventory(spark, str(raw)).collect()}
+    assert (seen["images/"].sample, seen["images/"].shown, seen["captions.json"].entries, seen["labels/notes.txt"].lines) == ("1 files", "1.5 KB", 2, 1)
+    assert folders.resolve_source(None, "DRAPER_NO_SUCH") is None
+    with pytest.raises(NotADirectoryError):
+        folders.resolve_source(str(tmp_path / "gone"))
+    have = lambda *ids: spark.createDataFrame([(i,) for i in ids], "image_id string")
+    assert tuple(folders.input_report(have("a", "b", "c"), have("a", "b"), have("a")).first()) == (3, 1, 2, ["b", "c"])
+    with pytest.raises(ValueError, match="first missing: b"):
+        folders.require_inputs(have("a", "b"), have("a"), have("a", "b"))
+    folders.require_inputs(have("a"), have("a"), have("a"))
+
+
+def outfits(spark, groups=9, blank=None):
+    rows = [(f"WOMEN-Shirts-id_{g:08d}-0{k}_full", "" if g == blank else "women", "Shirts", True) for g in range(groups) for k in range(1 + g % 3)]
+    return spark.createDataFrame([*rows, ("odd", "women", "Shirts", True), ("MEN-X-id_99999999-1_back", "men", "X", False)], "image_id string, gender string, category_from_filename string, is_full_body boolean")
+
+
+def test_splits_and_their_manifest(spark, tmp_path):
+    folder = str(tmp_path / "splits")
+    m = splits.write_splits(outfits(spark), folder)
+    assert sum(m["counts"].values()) == 18 and m["n_groups"] == 9
+    assert splits.verify_split_manifest(spark, folder)["group_disjoint"]
+    assert splits.read_split(spark, folder, "test").count() == m["counts"]["test"]
+    ids = splits.read_split(spark, folder, "train")
+    assert splits.ids_digest(ids, "image_id").first() == splits.ids_digest(ids.repartition(5), "image_id").first()
+    with pytest.raises(ValueError, match="unknown split"):
+        splits.read_split(spark, folder, "dev")
+    (tmp_path / "splits" / "val.txt" / "part-x.txt").write_text("WOMEN-Shirts-id_00000077-01_full\n")
+    with pytest.raises(ValueError, match="manifest says"):
+        splits.verify_split_manifest(spark, folder)
+    with pytest.raises(ValueError, match="7 are needed"):
+        splits.write_splits(outfits(spark, 4), str(tmp_path / "few"))
+    with pytest.raises(Exception, match="no gender or category"):
+        splits.write_splits(outfits(spark, blank=3), str(tmp_path / "blank"))
+    torn = spark.createDataFrame([("a", "g", "s"), ("b", "g", "t")], "image_id string, group string, stratum string")
+    with pytest.raises(Exception, match="spans strata"):
+        splits.grouped_splits(torn).collect()
 
 
 def test_predictions(spark, tmp_path):
-    df = spark.createDataFrame([("b", "x y"), ("a", "z")], "image_id string, caption string")
-    m = records.write_predictions(df, str(tmp_path / "p"), df.select("image_id"), "m", "test")
-    assert records.read_predictions(spark, str(tmp_path / "p"), m, "image_id string, caption string").count() == 2
-    with pytest.raises(ValueError):
-        records.read_predictions(spark, str(tmp_path / "p"), m | {"n_records": 3}, "image_id string, caption string")
-    with pytest.raises(ValueError):
-        records.write_predictions(df, str(tmp_path / "q"), df.select("image_id").limit(1), "m", "test")
+    schema = "image_id string, caption string"
+    df = spark.createDataFrame([("b", "x\u2028y"), ("a", "z"), ("c", None)], schema).repartition(3)
+    path = str(tmp_path / "m_test.jsonl")
+    m = records.write_predictions(df, path, "m", "test", {"k": 1}, df.select("image_id"))
+    assert m["n_records"] == 3 and records.read_predictions(spark, path, schema).count() == 3
+    sidecar = tmp_path / "m_test.manifest.json"
+    for change in ({"n_records": 4}, {"digest": "0"}, {"manifest_version": 2}, {"manifest_version": True}, {"predictions_file": "other.jsonl"}):
+        sidecar.write_text(json.dumps(m | change))
+        with pytest.raises(ValueError):
+            records.read_predictions(spark, path, schema)
+    bad = {"empty": df.limit(0), "twice": df.unionByName(df), "unnamed": spark.createDataFrame([("in_memory", "x")], schema), "short": df.where("image_id <> 'a'")}
+    for name, rows in bad.items():
+        with pytest.raises(ValueError):
+            records.write_predictions(rows, str(tmp_path / f"{name}.jsonl"), "m", "test", expected=df.select("image_id"))
+        assert not (tmp_path / f"{name}.jsonl").exists()
+    for folder, split in ((str(tmp_path / "x.json"), "test"), (str(tmp_path / "x.jsonl"), "dev")):
+        with pytest.raises(ValueError):
+            records.write_predictions(df, folder, "m", split)
 
 
-def test_metric_record():
+def test_predictions_out_of_order_and_rollback(spark, tmp_path, monkeypatch):
+    schema = "image_id string, caption string"
+    rows = tmp_path / "r.jsonl"
+    rows.mkdir()
+    (rows / "part-0.json").write_text('{"image_id":"b"}\n{"image_id":"c"}\n')
+    (rows / "part-1.json").write_text('{"image_id":"c"}\n{"image_id":"a"}\n')
+    assert records.out_of_order(records.read_jsonl(spark, str(rows), schema)) == 2
+    records.write_json_atomic(str(tmp_path / "r.manifest.json"), records.prediction_manifest(spark, str(rows), "m", "test", {}, None))
+    with pytest.raises(ValueError, match="strictly ascending"):
+        records.read_predictions(spark, str(rows), schema)
+    monkeypatch.setattr(records, "write_json_atomic", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        records.write_predictions(spark.createDataFrame([("a", "x")], schema), str(tmp_path / "n.jsonl"), "m", "test")
+    assert not (tmp_path / "n.jsonl").exists()
+
+
+def test_export_splits(spark, tmp_path):
+    photos = spark.createDataFrame([("a",), ("b",), ("c",)], "image_id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "image_id string")
+    say = lambda df: df.withColumn("caption", F.lit("x"))
+    got = records.export_splits(say, spark, "org/m", {"train": ids("a", "b"), "val": ids("c")}, photos, str(tmp_path), limit=1)
+    assert {k: v["n_records"] for k, v in got.items()} == {"train": 1, "val": 1} and (tmp_path / "org_m_train.jsonl").exists()
+    with pytest.raises(FileNotFoundError, match="no photograph of z"):
+        records.export_splits(lambda df: 1 / 0, spark, "m", {"train": ids("a", "z")}, photos, str(tmp_path))
+
+
+def test_cache_and_probes(spark, tmp_path):
+    p = tmp_path / "cache.jsonl"
+    p.write_text('{"image_id":"a","caption":"1"}\n\n{"image_id":"b","caption":"2"}\n{"image_id":"a","caption":"3"}\n{"image_id":"c","cap')
+    assert {r.image_id: r.caption for r in records.read_cache(spark, str(p), "image_id string, caption string").collect()} == {"a": "3", "b": "2"}
+    probes = tmp_path / "probes.jsonl"
+    probes.write_text('{"probe_id":"p","text":"x","must_flag":false}\n')
+    assert records.read_probes(spark, str(probes)).count() == 1
+    probes.write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        records.read_probes(spark, str(probes))
+
+
+def test_metric_record(tmp_path):
     now = datetime.datetime.now(datetime.UTC)
-    assert len(records.metric_record("scoring", {"a": 1}, {"c": 2}, now)["config_hash"]) == 8
-    for bad in (("x", {"a": 1}, now), ("roast", {}, now), ("roast", {"a": 1}, now.replace(tzinfo=None))):
+    base = dict(stage="scoring", model="m", split="test", n_items=3, metrics={"a": records.undefined("too few")}, config={"c": 2}, stamp=now)
+    r = records.metric_record(**base)
+    assert len(r["config_hash"]) == 8 and r["timestamp"].endswith("Z") and r["metrics"]["a"]["value"] is None
+    records.write_metric_record(r, str(tmp_path / "r.json"))
+    assert records.read_json(str(tmp_path / "r.json"))["stage"] == "scoring"
+    for change in ({"stage": "x"}, {"metrics": {}}, {"stamp": now.replace(tzinfo=None)}, {"model": " "}, {"n_items": 0}, {"provenance": ""}):
         with pytest.raises(ValueError):
-            records.metric_record(bad[0], bad[1], {}, bad[2])
+            records.metric_record(**(base | change))
+    with pytest.raises(ValueError):
+        records.undefined(" ")
+    with pytest.raises(ValueError):
+        records.write_json_atomic(str(tmp_path / "n.json"), {"a": float("nan")})
+    assert not (tmp_path / "n.json").exists()
+
+
+CONFIG = {
+    "color": {"achromatic_chroma": 5.0, "analogous_max": 30, "complementary_tolerance": 20, "triadic_tolerance": 20, "hue_separation": 30, "max_hue_families": 3},
+    "formality": {"levels": {"t shirt": 1}, "max_spread": 2, "major_spread": 4}, "weights": dict.fromkeys(settings.AXES, 1.0), "penalties": dict(V.PENALTY),
+    "season": {"fabric_warmth": {"denim": 0.4}, "sleeve_exposure": {"long": -0.4}, "length_exposure": {"long": -0.4}, "heavy_warmth": 0.7, "summer_exposure": 0.6, "max_fabric_warmth_spread": 1.2},
+    "palette": V.PALETTE,
+}
+
+
+def test_settings(tmp_path):
+    assert settings.scoring_settings(CONFIG).levels["t shirt"] == 1 and settings.check(CONFIG, settings.PALETTE) is CONFIG
+    bad = {
+        "color.analogous_max": 181, "color.max_hue_families": True, "color.hue_separation": float("nan"), "formality.levels": {"T-Shirt": 1}, "formality.major_spread": 1,
+        "season.fabric_warmth": {"na": 1.0}, "season.length_exposure": {}, "weights": dict.fromkeys(settings.AXES, 0.0), "penalties": {"hue_clash": 1.0},
+    }
+    for path, value in bad.items():
+        section, _, key = path.partition(".")
+        changed = CONFIG | {section: (CONFIG[section] | {key: value} if key else value)}
+        with pytest.raises(settings.ConfigError, match=section):
+            settings.scoring_settings(changed)
+    p = tmp_path / "c.yaml"
+    p.write_text("a: {b: 1}\n")
+    assert settings.option(settings.load_config(str(p)), "a.b") == 1
+    (tmp_path / "d.yaml").write_text("- 1\n")
+    (tmp_path / "e.yaml").write_text("a: [\n")
+    for name in ("d.yaml", "e.yaml", "f.yaml"):
+        with pytest.raises(settings.ConfigError):
+            settings.load_config(str(tmp_path / name))
+
+
+def test_stages_prompts_and_reports(spark, tmp_path):
+    p = tmp_path / "d.jsonl"
+    p.write_text('{"image_id":"a","caption":"1"}\n{"image_id":"a","caption":"2"}\n')
+    predict = stages.resolve(None, stages.PERCEPTION, "replay", spark, str(p), "image_id string, caption string")
+    assert predict(spark.createDataFrame([("a",)], "image_id string")).first().caption == "2"
+    with pytest.raises(Exception, match="no fixture for b"):
+        predict(spark.createDataFrame([("b",)], "image_id string")).collect()
+    row = ("a", "rules say", ["tip"], "gentle", "", "", [("upper_0", "red", "top", "na", "na")], [("season_mismatch", "major", "too warm", ["upper_0"])])
+    made = spark.createDataFrame([row, ("b", *row[1:4], "", "a cap", row[6], [])], "image_id string, roast string, suggestions array<string>, tone string, safety_flags string, caption string, "
+                                 "garments array<struct<ref:string,color:string,category:string,pattern:string,fabric:string>>, issues array<struct<code:string,severity:string,message:string,garment_refs:array<string>>>")
+    told = {r.image_id: r.prompt for r in prompts.prompts(made, "P", "{tone}|{caption}|{garments}|{issues}").collect()}
+    assert told["a"] == "P\n\ngentle|(no caption)|- upper_0: red top, pattern=na, fabric=na|- major / season_mismatch: too warm (garments: upper_0)" and told["b"].endswith("- No issues were reported.")
+    with pytest.raises(KeyError):
+        prompts.prompts(made, "P", "{nobody}")
+    answers = [("a", json.dumps({"roast": "hosted", "suggestions": ["one"]})), ("b", json.dumps({"roast": "damn", "suggestions": ["one"]}))]
+    got = {r.image_id: r for r in prompts.accept(made, spark.createDataFrame(answers, "image_id string, answer string")).collect()}
+    assert (got["a"].roast, got["a"].source) == ("hosted", "hosted") and (got["b"].roast, got["b"].source, got["b"].safety_flags) == ("rules say", "rules", "safety:profanity")
+    broken = [("a", "{"), ("b", json.dumps({"roast": "x" * 1001, "suggestions": ["one"]}))]
+    assert {r.source for r in prompts.accept(made, spark.createDataFrame(broken, "image_id string, answer string")).collect()} == {"rules"}
+    m = spark.createDataFrame([("b", 0.5, None), ("a", 0.25, 3)], "field string, accuracy double, n int")
+    assert [r.line for r in reports.lines(m, "metrics", "field").collect()] == ["metrics field=a accuracy=0.250000 n=3", "metrics field=b accuracy=0.500000 n=undefined"]
+    assert json.loads(reports.records(m, "roast", "m").first().record)["stage"] == "roast"
+    c = spark.createDataFrame([("A Navy coat", "/r/x/y"), ("bored", "/d/raw/z"), (None, "/other"), ("redress", "x\\y")], "c string, p string")
+    assert [r[0] for r in c.select(reports.mentions_color(F.col("c"))).collect()] == [True, False, False, False]
+    assert [r[0] for r in c.select(reports.export_path(F.col("p"), "/r", "/d")).collect()] == ["x/y", "data/raw/z", "", "x/y"]
+
+
+def test_command_line(tmp_path, capsys):
+    from draper.__main__ import main
+
+    assert main(["list"]) == 0 and "rule_score" in capsys.readouterr().out
+    assert main(["sql", "top_longest"]) == 0 and "ORDER BY" in capsys.readouterr().out
+    (tmp_path / "s").mkdir()
+    assert main(["stage", "--from", str(tmp_path / "s"), "--into", str(tmp_path / "r"), "--group", "images"]) == 0
+    assert capsys.readouterr().out == "images: 0 copied, 0 already present\n"
 
 
 @pytest.mark.parametrize("rows,auc", [([(1, 0.9), (0, 0.1)], 1.0), ([(1, 0.1), (0, 0.9)], 0.0), ([(1, 0.5), (0, 0.5)], 0.5), ([(1, 0.5)], None)])
