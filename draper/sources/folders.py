@@ -37,7 +37,7 @@ def human_size(size: Column) -> Column:
     """Bytes in the largest of B, KB, MB and GB that keeps the number readable."""
     out = F.format_string("%d B", size.cast("long"))
     for n, unit in enumerate(("KB", "MB", "GB"), start=1):
-        out = F.when(size >= 1024**n, F.format_string(f"%.1f {unit}", size / float(1024**n))).otherwise(out)
+        out = F.when(size >= 1024**n, F.format_string(f"%.1f {unit}", F.bround(size / float(1024**n), 1))).otherwise(out)
     return out
 
 
