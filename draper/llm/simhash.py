@@ -10,6 +10,13 @@ can only grow below. A bucket over ``BUCKET`` fingerprints is cut into chunks by
 and each pair of chunks is its own bucket. What a task found leaves it as a spanning
 forest, never as all pairs; components are contracted on the cluster.
 
+``similar_groups`` is for links by similarity, which a fingerprint within 4 bits would miss:
+blocks of 64 bits cannot tell fingerprints 18 bits apart from any others, so texts are
+dealt out by ``KEYS`` shingles of least hash instead (two texts of similarity s share one
+with a chance of 1 - (1 - s) ** KEYS, 0.992 at 0.8), the same index prunes each bucket, and
+what it leaves is verified by the exact similarity of the shingle sets, nearest
+fingerprints first, until a bucket's verified links are a spanning forest.
+
 Defined cases: null and blank texts have fingerprint zero and link like any other;
 shorter texts than a shingle hash as one sequence; null ids take part, and a component's
 id is its smallest non-null one; repeated rows get equal results; an empty table gives an
@@ -28,10 +35,14 @@ from pyspark.sql import functions as F
 
 from draper.llm.common import Scratch, settings, utf8
 from draper.llm.components import components
+from draper.llm.repeats import mix
+from draper.llm.substring_dedup import WordNames
 
 FAN = 8
 BUCKET = 2048
 SLICE = 2_000_000
+#: For groups by similarity: words of a shingle, least similarity, bits that such fingerprints may differ in, keys for dealing them out.
+SHINGLE, SIMILARITY, WIDE, KEYS = 5, 0.8, 18, 3
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> bytes:
@@ -217,5 +228,115 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def sketches(df: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """(cls, fp, keys, shingles) of every row: the text's hash, fingerprint, least hashes, and sorted 32-bit shingle hashes as bytes."""
+
+    def run(batches):
+        names = WordNames()
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            raw, fps, keys, sets = data.tobytes(), [], [], []
+            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                words = raw[s:e].lower().split()
+                n = min(shingle, len(words))
+                if not n:
+                    fps.append(bytes(8))
+                    keys.append([0] * KEYS)
+                    sets.append(b"")
+                    continue
+                w = np.array([names[x] for x in words], np.uint64)
+                h = mix(w[: len(w) - n + 1], w[: len(w) - n + 1])
+                for i in range(1, n):
+                    h = mix(h, w[i : len(w) - n + 1 + i])
+                total = np.zeros(64, np.int64)
+                for i in range(0, len(h), 4096):
+                    total += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                fps.append(np.packbits(total * 2 > len(h)).tobytes())
+                keys.append([int(mix(h, np.uint64(k + 1)).min().view(np.int64)) for k in range(KEYS)])
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+            fp = pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["cls", "fp", "keys", "shingles"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(F.xxhash64(text).alias("cls"), text.alias("text")).mapInArrow(run, "cls long, fp long, keys array<long>, shingles binary")
+
+
+def similarity_of(a: bytes, b: bytes, least: float = SIMILARITY) -> float:
+    """Jaccard similarity of two sets of sorted 32-bit hashes (0 where their sizes alone keep it below ``least``); of two empty ones 1."""
+    if len(a) == len(b) == 0:
+        return 1.0
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return 0.0  # too unequal in size to reach it
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def verified_forest(fps: np.ndarray, sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[list[int], list[int]]:
+    """A spanning forest of the candidate pairs whose similarity is enough, tried nearest first; pairs inside a component aren't tried."""
+    order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]), kind="stable")
+    a, b = a[order], b[order]
+    label = np.arange(len(fps))
+    left: list[int] = []
+    right: list[int] = []
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return left, right
+        tried = np.unique(label[a], return_index=True)[1]  # one pair for each component
+        good = np.array([i for i in tried.tolist() if similarity_of(sets[a[i]], sets[b[i]], least) >= least - 1e-9], int)
+        left += a[good].tolist()
+        right += b[good].tolist()
+        moved, to = forest(len(fps), label[a[good]], label[b[good]])
+        renamed = np.arange(len(fps))
+        renamed[moved] = to
+        label = renamed[label]
+        rest = np.ones(len(a), bool)
+        rest[tried] = False
+        a, b = a[rest], b[rest]
+
+
+def similar_groups(df: DataFrame, text_col: str = "text", least: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """(cls, component) of every text that is linked to another: hash of the text, and the smallest one it can reach over verified links."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "similar")
+    with settings(spark):
+        drawn = scratch.table(sketches(df, text_col), "sketches")
+        dealt = drawn.select("cls", "fp", F.explode("keys").alias("key")).distinct()
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks"))
+        met = scratch.table(dealt.join(sizes, "key"), "met")
+        sets = drawn.select("cls", "shingles").join(met.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+        own = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")
+        placed = met.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        placed = placed.select("key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "fp", "cls", gray_rank(F.col("fp")).alias("gray"))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        keys = ["key", "c1", "c2"]
+        placed = placed.join(sets, "cls").repartition(parts, *keys).sortWithinPartitions(*keys, "gray").select(F.xxhash64(*keys).alias("group"), "fp", "cls", "shingles")
+
+        def links(batches):
+            def solve(rows):
+                group, fps, cls, held = rows
+                number = np.cumsum(np.r_[True, group[1:] != group[:-1]])
+                a, b = verified_forest(fps, held, *index_links(number, fps, WIDE), least)
+                return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+
+            kept = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), [])
+            for batch in batches:
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                rows = (np.r_[kept[0], new[0]], np.r_[kept[1], new[1].view(np.uint64)], np.r_[kept[2], new[2]], kept[3] + batch.column(3).to_pylist())
+                cut = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1]) if len(rows[0]) else 0
+                if cut:
+                    yield solve([x[:cut] for x in rows])
+                kept = tuple(x[cut:] for x in rows)
+            if len(kept[0]):
+                yield solve(kept)
+
+        with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1024"):
+            found = scratch.table(placed.mapInArrow(links, "a long, b long").distinct(), "links")
+        scratch.drop("sketches")
+        return scratch.table(components(found, scratch), "labels").select(F.col("node").alias("cls"), "component")
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

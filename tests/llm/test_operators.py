@@ -189,6 +189,70 @@ def test_simhash(docs, rows, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def near_copies(rng, n=40):
+    """Texts and copies of them with some words changed, inserted or lost, so that similarities lie on both sides of 0.8."""
+    texts = []
+    for _ in range(n):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([1, 3, 8, 40, 120, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["new"], [f"n{rng.randint(0, 10**6)}"]])
+                copy = copy or ["x"]
+            texts.append(" ".join(copy).upper() if rng.random() < 0.2 else "\n".join(copy))
+    return texts
+
+
+def brute_groups(texts, least=0.8):
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = [cut(t) for t in texts], list(range(len(texts)))
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (both / (len(sets[i] | sets[j])) if sets[i] | sets[j] else 1.0) >= least:
+                links += texts[i] != texts[j]
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label, links
+
+
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_similar_groups(spark, bucket):
+    texts = [*near_copies(random.Random(31)), None, "", " \n", "one word", "one  WORD", *["same again"] * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["cls"]: r["component"] for r in simhash.similar_groups(df, bucket=bucket).collect()}
+    cls = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").selectExpr("i", "xxhash64(coalesce(text, '')) c").orderBy("i").select("c").collect()]
+    mine = [got.get(c, c) for c in cls]
+    want, links = brute_groups(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if want[i] == want[j] and cls[i] != cls[j]]
+    assert links > 30 and sum(mine[i] == mine[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert not [1 for i in range(len(texts)) for j in range(i) if mine[i] == mine[j] and want[i] != want[j]]
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
+def test_verified_forest_skips_what_is_not_similar():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint32).tobytes() for _ in range(60)]
+    fps = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    a, b = map(np.array, zip(*[(i, j) for i in range(60) for j in range(i + 1, 60)]))
+    left, right = simhash.verified_forest(fps, sets, a, b, 0.6)
+    plain = [set(np.frombuffer(x, np.uint32).tolist()) for x in sets]
+    like = lambda i, j: len(plain[i] & plain[j]) / len(plain[i] | plain[j]) >= 0.6
+    assert all(like(i, j) for i, j in zip(left, right))
+    label = list(range(60))
+    for i, j in zip(*map(np.ndarray.tolist, (a, b))):
+        if like(i, j):
+            old, new = label[i], label[j]
+            label = [new if x == old else x for x in label]
+    assert len(left) == 60 - len(set(label))
+
+
 def test_gray_index_matches_all_pairs():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 6, dtype=np.uint64)
