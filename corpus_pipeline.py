@@ -13,7 +13,7 @@ from draper.llm.common import Scratch, free_name, settings
 from draper.llm.decontaminate import with_hits
 from draper.llm.language_id import keep_identified
 from draper.llm.line_dedup import dedup_lines_of
-from draper.llm.simhash import simhash_groups
+from draper.llm.simhash import similar_groups
 from draper.llm.source_mix import mix_sources
 
 LAST = 2**63 - 1
@@ -41,17 +41,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest (id, hash of id and text).
+    """One document of each group of near duplicates stays, the one with the smallest (id, hash of id and text).
 
-    Links are op9's (4-word shingles, 4 bits), far tighter than similarity 0.8; the README has the measured recall.
-    Rows with the same id and text are one document, of which the row with the least hash of its other columns stays;
-    rows with one id, or none, and other texts are several. Null texts are one group, as blank ones are.
+    Texts link at a similarity of 0.8 or more of their five-word shingles (simhash.similar_groups; README: recall), and
+    groups are what links connect. Rows with the same id and text are one document, of which the row with the least hash
+    of its other columns stays; rows with one id, or none, and other texts are several. Null and blank texts are one group.
     """
-    own, node, nth = (free_name(docs, c) for c in ("_id", "_node", "_nth"))
+    own, node, nth, cls, group = (free_name(docs, c) for c in ("_id", "_node", "_nth", "_cls", "_group"))
     keyed = docs.withColumn(own, F.coalesce("doc_id", F.lit(LAST))).withColumn(node, F.xxhash64(own, "text"))
-    groups = simhash_groups(keyed.select(node, "text"), id_col=node).select(F.col("doc_id").alias(node), "component_id").distinct()
-    members = groups.join(keyed.select(node, own).distinct(), node)
-    stays = members.groupBy("component_id").agg(F.min(F.struct(own, node)).alias("least")).select(f"least.{node}")
+    groups = similar_groups(docs).toDF(cls, group)
+    members = keyed.select(node, own, F.xxhash64(F.coalesce("text", F.lit(""))).alias(cls)).distinct().join(groups, cls, "left")
+    stays = members.groupBy(F.coalesce(group, cls).alias(group)).agg(F.min(F.struct(own, node)).alias("least")).select(f"least.{node}")
     same = Window.partitionBy(node).orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns if c not in ("doc_id", "text"))))
     kept = keyed.join(stays.hint("shuffle_hash"), node, "left_semi").withColumn(nth, F.row_number().over(same))
     return kept.where(F.col(nth) == 1).select(*(f"`{c}`" for c in docs.columns))
