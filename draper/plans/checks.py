@@ -98,9 +98,9 @@ def label_encode(spark, d):
 
 # A requested image is an order; its row, photograph, mask and target are missing or wrong by its key.
 _SIDES = f"""{_DESCRIBED}, wanted AS (SELECT o_orderkey AS image_id, CASE WHEN o_custkey % 7 = 1 THEN 'val' ELSE 'train' END AS split FROM orders),
-answers AS (SELECT image_id, string_agg(concat_ws(' | ', slot || ': ' || category, 'color=' || CASE WHEN image_id % 29 = 0 THEN 'mauve' ELSE color END, CASE WHEN NOT contains(omitted, 'pattern') THEN 'pattern=' || pattern END,
+answers AS (SELECT image_id, string_agg(concat_ws(' | ', slot || ': ' || category, 'color=' || CASE WHEN image_id % 29 = 0 THEN 'mauve' WHEN split = 'val' AND image_id % 23 = 0 THEN 'navy' ELSE color END, CASE WHEN NOT contains(omitted, 'pattern') THEN 'pattern=' || pattern END,
  CASE WHEN NOT contains(omitted, 'fabric') THEN 'fabric=' || fabric END, 'sleeve_length=' || sleeve_length, 'length=' || length, 'neckline=' || neckline), chr(10) ORDER BY pos) || CASE WHEN image_id % 31 = 0 THEN ' | shade=dark' ELSE '' END AS answer
- FROM described GROUP BY image_id),
+ FROM described JOIN wanted USING (image_id) GROUP BY image_id),
 masks AS (SELECT image_id, list(slot ORDER BY pos) AS slots FROM skeleton GROUP BY image_id),
 checked AS (SELECT split, image_id, answer, CASE WHEN image_id % 41 = 0 THEN 'missing_table_row' WHEN image_id % 37 = 0 THEN 'not_full_body' WHEN image_id % 43 = 0 THEN 'annotation_vocabulary' WHEN image_id % 47 = 0 THEN 'missing_image'
  WHEN slots IS NULL AND image_id % 2 = 0 THEN 'missing_mask' WHEN image_id % 53 = 0 THEN 'image_decode' WHEN image_id % 59 = 0 THEN 'mask_decode' WHEN image_id % 61 = 0 THEN 'dimension_mismatch' WHEN image_id % 67 = 0 THEN 'mask_labels'
@@ -121,7 +121,8 @@ def _checked(spark, d):
     masks = wanted.select("image_id").join(slots, "image_id", "left").where(F.col("s").isNotNull() | (key % 2 != 0))
     masks = masks.select("image_id", size(59)[0], F.when(key % 61 == 0, F.lit(1)).otherwise(size(59)[1]).alias("height"),
                          F.when(key % 67 != 0, F.coalesce(F.transform("s", lambda x: x["slot"]), F.array().cast("array<string>"))).alias("slots"))
-    told = training_answers(_described(spark, d).withColumn("color", F.when(key % 29 == 0, "mauve").otherwise(F.col("color"))))
+    shade = F.when(key % 29 == 0, "mauve").when((F.col("split") == "val") & (key % 23 == 0), "navy").otherwise(F.col("color"))
+    told = training_answers(_described(spark, d).join(wanted, "image_id").withColumn("color", shade).drop("split"))
     answers = told.withColumn("answer", F.when(key % 31 == 0, F.concat("answer", F.lit(" | shade=dark"))).otherwise(F.col("answer")))
     read_back = preflight.keyed_garments(answers)
     known = F.transform("garments", lambda g: g.withField("color", F.when(g["color"].isin(*V.REFERENCE_RGB, "unknown"), g["color"]).otherwise("unknown")))
@@ -141,7 +142,7 @@ def preflight_examples(spark, d):
     return e.select("split", "kind", F.array_join(F.transform("examples", lambda x: F.split_part(x, F.lit(": "), F.lit(1))), ",").alias("examples"))
 
 
-_COUNTED = f"""{_SIDES}, passed AS (SELECT split, described.* FROM described JOIN checked USING (image_id) WHERE kind IS NULL),
+_COUNTED = f"""{_SIDES}, passed AS (SELECT split, described.* REPLACE (CASE WHEN split = 'val' AND image_id % 23 = 0 THEN 'navy' ELSE color END AS color) FROM described JOIN checked USING (image_id) WHERE kind IS NULL),
 counted AS (SELECT split, 'slot' AS counter, slot AS value FROM passed UNION ALL SELECT split, 'category', category FROM passed
  UNION ALL """ + " UNION ALL ".join(
     f"SELECT split, unnest(['field_presence', 'value:{f}']), unnest([slot || '.{f}', {f}]) FROM passed WHERE {f} IS NOT NULL" + (f" AND NOT contains(omitted, '{f}')" if f in ("pattern", "fabric") else "")

@@ -219,13 +219,15 @@ def parse_structured(spark, d):
     return parse_garment(serialize(spark, d), _FIELDS).select("image_id", "pos", "slot", "category", *_FIELDS)
 
 
-@query(f"WITH {GARMENTS} SELECT count(*) AS n, 0::BIGINT AS broken FROM garments")
+@query(f"WITH {GARMENTS} SELECT count(*) AS n, count(*) FILTER (WHERE image_id % 40 = 0) AS broken FROM garments")
 def round_trip(spark, d):
-    from draper.functions.text import serialize_garment
+    """Lines that differ once they are read and written again: those of every fortieth outfit have a separator torn."""
+    from draper.functions.text import parse_garment, serialize_garment
 
-    back = parse_structured(spark, d).select("image_id", "pos", serialize_garment(_FIELDS).alias("again"))
-    both = serialize(spark, d).join(back, ["image_id", "pos"])
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("line") != F.col("again")).alias("broken"))
+    lines = serialize(spark, d)
+    lines = lines.withColumn("line", F.when(F.col("image_id") % 40 == 0, F.replace("line", F.lit(" | pattern"), F.lit(" |  pattern"))).otherwise(F.col("line")))
+    again = parse_garment(lines, _FIELDS).withColumn("again", serialize_garment(_FIELDS))
+    return again.agg(F.count("*").alias("n"), F.count_if(F.col("line") != F.col("again")).alias("broken"))
 
 
 @query(f"""WITH {GARMENTS} SELECT image_id, pos, CASE WHEN slot = 'footwear' THEN 'fabric,pattern' WHEN slot = 'dress' AND fabric = 'na' THEN 'fabric' ELSE '' END AS omitted FROM garments""")
