@@ -43,6 +43,8 @@ BUCKET = 2048
 SLICE = 2_000_000
 #: For groups by similarity: words of a shingle, least similarity, bits that such fingerprints may differ in, keys for dealing them out.
 SHINGLE, SIMILARITY, WIDE, KEYS = 5, 0.8, 18, 3
+#: Candidate pairs of one group from which they are verified together.
+MANY = 1000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> bytes:
@@ -272,6 +274,47 @@ def similarity_of(a: bytes, b: bytes, least: float = SIMILARITY) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def similarities(sets: list[bytes], a: np.ndarray, b: np.ndarray, slice_words: int = 1 << 21) -> np.ndarray:
+    """Jaccard similarities of many pairs at once: shingles that several sets have become bits, and bits are counted."""
+    used, place = np.unique(np.r_[a, b], return_inverse=True)
+    pa_, pb = place[: len(a)], place[len(a) :]
+    size = np.array([len(sets[i]) // 4 for i in used.tolist()], np.int64)
+    values = np.frombuffer(b"".join([sets[i] for i in used.tolist()]), np.uint32)
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    words = max(1, -(-int(shared.sum()) // 64))
+    bit = (np.cumsum(shared) - 1)[code]
+    kept = shared[code]
+    rows = np.zeros((len(used), words), np.uint64)
+    owner = np.repeat(np.arange(len(used)), size)[kept]
+    np.bitwise_or.at(rows.ravel(), owner * words + (bit[kept] >> 6), np.uint64(1) << (bit[kept] & 63).astype(np.uint64))
+    both = np.zeros(len(a), np.int64)
+    step = max(1, slice_words // words)
+    for i in range(0, len(a), step):
+        part = slice(i, i + step)
+        both[part] = np.bitwise_count(rows[pa_[part]] & rows[pb[part]]).sum(1, dtype=np.int64)
+    union = size[pa_] + size[pb] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
+def bucket_links(number: np.ndarray, fps: np.ndarray, sets: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the verified links of each group: pairs of a group with many of them are verified together, others one by one."""
+    a, b = index_links(number, fps, WIDE)
+    many = np.bincount(number[a], minlength=int(number[-1]) + 1 if len(number) else 1) > MANY
+    large = many[number[a]]
+    left, right = [], []
+    for g in np.flatnonzero(many).tolist():
+        own = number[a] == g
+        x, y = a[own], b[own]
+        good = similarities(sets, x, y) >= least - 1e-9
+        left.append(x[good])
+        right.append(y[good])
+    x, y = verified_forest(fps, sets, a[~large], b[~large], least)
+    left.append(np.array(x, int))
+    right.append(np.array(y, int))
+    return forest(len(fps), np.concatenate(left), np.concatenate(right))
+
+
 def verified_forest(fps: np.ndarray, sets: list[bytes], a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[list[int], list[int]]:
     """A spanning forest of the candidate pairs whose similarity is enough, tried nearest first; pairs inside a component aren't tried."""
     order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]), kind="stable")
@@ -318,7 +361,7 @@ def similar_groups(df: DataFrame, text_col: str = "text", least: float = SIMILAR
             def solve(rows):
                 group, fps, cls, held = rows
                 number = np.cumsum(np.r_[True, group[1:] != group[:-1]])
-                a, b = verified_forest(fps, held, *index_links(number, fps, WIDE), least)
+                a, b = bucket_links(number, fps, held, least)
                 return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
 
             kept = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), [])

@@ -223,7 +223,8 @@ def brute_groups(texts, least=0.8):
 
 
 @pytest.mark.parametrize("bucket", [2048, 8])
-def test_similar_groups(spark, bucket):
+def test_similar_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "MANY", bucket // 256)
     texts = [*near_copies(random.Random(31)), None, "", " \n", "one word", "one  WORD", *["same again"] * 3]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {r["cls"]: r["component"] for r in simhash.similar_groups(df, bucket=bucket).collect()}
@@ -242,6 +243,10 @@ def test_verified_forest_skips_what_is_not_similar():
     fps = rng.integers(0, 2**63, 60, dtype=np.uint64)
     a, b = map(np.array, zip(*[(i, j) for i in range(60) for j in range(i + 1, 60)]))
     left, right = simhash.verified_forest(fps, sets, a, b, 0.6)
+    each = [len(set(np.frombuffer(sets[i], np.uint32).tolist()) & set(np.frombuffer(sets[j], np.uint32).tolist())) for i, j in zip(a.tolist(), b.tolist())]
+    whole = [(len(sets[i]) + len(sets[j])) // 4 - n for i, j, n in zip(a.tolist(), b.tolist(), each)]
+    assert simhash.similarities(sets, a, b, 7) == pytest.approx([n / u for n, u in zip(each, whole)])
+    assert simhash.similarities([b"", b"", sets[0]], np.array([0, 0]), np.array([1, 2])).tolist() == [1.0, 0.0]
     plain = [set(np.frombuffer(x, np.uint32).tolist()) for x in sets]
     like = lambda i, j: len(plain[i] & plain[j]) / len(plain[i] | plain[j]) >= 0.6
     assert all(like(i, j) for i, j in zip(left, right))
