@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from draper.llm import (
     chat_format,
+    conversation_repair,
     decontaminate,
     exact_dedup,
     language_id,
@@ -13,6 +14,7 @@ from draper.llm import (
     substring_dedup,
     suffix_dedup,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 #: DuckDB SQL; the other operators have none and are tested by brute force in tests/llm.
@@ -33,4 +37,6 @@ ORACLE = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_source_mix": source_mix.SQL,
     "op7_chat_format": chat_format.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
