@@ -9,6 +9,7 @@ from draper.llm import (
     exact_dedup,
     language_id,
     line_dedup,
+    personal_data,
     simhash,
     source_mix,
     substring_dedup,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_personal_data": personal_data.op12_personal_data,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
