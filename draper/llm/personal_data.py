@@ -113,7 +113,7 @@ def _without(kind: str, text: Column) -> Column:
     """The text with one private-use character for each one of the kind's base spans."""
     parts, hits = _pieces(text, BASE[kind])
     blank = F.transform(hits, lambda m: F.when(passes(kind, m), F.repeat(F.lit("\ue000"), F.length(m))).otherwise(m))
-    rebuilt = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(blank, i), F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(parts, blank, lambda part, hit: F.concat(part, F.coalesce(hit, F.lit("")))), "")
     return F.when(text.rlike(BASE[kind].replace(r"\G|", "")), rebuilt).otherwise(text)
 
 
