@@ -203,6 +203,15 @@ def test_base_spans_match_plain_patterns(spark, letters):
         assert got_spans == base_spans(text), text
 
 
+def test_query_counts_and_digests_base_spans(spark, letters, tmp_path):
+    spark.createDataFrame(list(enumerate(letters)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in personal_data.op12_personal_data(spark, str(tmp_path)).collect():
+        base = base_spans(letters[r["doc_id"]] or "")
+        said = [f"{kind}:{start}:{stop}" for start, _, kind, stop in base]
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(b[2] == k for b in base) for k in PLAIN]
+        assert r["base_sha256"] == sha(",".join(said)) and set(said) <= set(r["spans"].split(","))
+
+
 def test_classifier_adds_other_spellings_and_leaves_plain_text(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
