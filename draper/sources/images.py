@@ -22,6 +22,9 @@ def _channels(images: DataFrame, column: str, first_only: bool) -> Column:
     def reorder(data: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for raw, channels in zip(data, n):
+            if channels < 1:  # a file that can't be decoded
+                out.append(None)
+                continue
             red = 2 if channels >= 3 else 0
             planes = [raw[red::channels]] if first_only else [raw[i::channels] for i in ((2, 1, 0) if channels >= 3 else (0, 0, 0))]
             flat = bytearray(len(planes) * len(planes[0]))
@@ -34,10 +37,11 @@ def _channels(images: DataFrame, column: str, first_only: bool) -> Column:
 
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, width, height, rgb; an undecodable file is an error."""
+    """image_id, width, height, rgb; null sizes and bytes where a file can't be decoded."""
     df = spark.read.format("image").option("dropInvalid", False).load(path)
-    ok = F.when(F.col("image.width") > 0, F.col("image.width")).otherwise(F.raise_error(F.concat(F.lit("cannot decode "), "image.origin")).cast("int"))
-    return df.select(image_identity(F.col("image.origin")).alias("image_id"), ok.alias("width"), F.col("image.height").alias("height"), _channels(df, "image", False).alias("rgb"))
+    fine = F.col("image.width") > 0
+    size = [F.when(fine, F.col(f"image.{c}")).alias(c) for c in ("width", "height")]
+    return df.select(image_identity(F.col("image.origin")).alias("image_id"), *size, F.when(fine, _channels(df, "image", False)).alias("rgb"))
 
 
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
