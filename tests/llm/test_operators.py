@@ -385,7 +385,9 @@ def deduped(spark, rows):
     return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
-def test_line_dedup_finds_repeated_and_moved_lines(spark):
+@pytest.mark.parametrize("rare", [1000, 2])
+def test_line_dedup_finds_repeated_and_moved_lines(spark, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     line = "a line that its first document has twice"
     assert deduped(spark, [(1, f"{line}\nx\n{line}"), (2, f"y\n{line}\nw"), (3, f"z\n{line}\nv\n{line}")]) == {1: f"{line}\nx\n{line}", 2: "y\nw", 3: "z\nv"}
     rng = random.Random(9)
@@ -398,7 +400,9 @@ def test_line_dedup_finds_repeated_and_moved_lines(spark):
     assert deduped(spark, rows) == want
 
 
-def test_line_dedup_finds_blocks_of_short_lines(spark):
+@pytest.mark.parametrize("rare", [1000, 2])
+def test_line_dedup_finds_blocks_of_short_lines(spark, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     verse = "one short line\nand another"
     assert deduped(spark, [(1, f"a\n{verse}\nb"), (2, f"c\n{verse}"), (3, f"{verse}\nd"), (4, "and another")]) == {1: f"a\n{verse}\nb", 2: "c", 3: "d", 4: "and another"}
     rng = random.Random(12)
@@ -424,9 +428,25 @@ def test_patience():
     rng = random.Random(2)
     for _ in range(200):
         a, b = [[rng.randint(0, 9) for _ in range(rng.randint(0, 14))] for _ in range(2)]
-        m = line_dedup.patience(a, b)
+        m, left = line_dedup.patience(a, b)
+        assert left == [i for i in range(len(a)) if a[i] in b and i not in {x for x, _ in m}]
         assert all(a[i] == b[j] for i, j in m) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:]))
-        assert line_dedup.patience(a, a) == [(i, i) for i in range(len(a))]
+        assert line_dedup.patience(a, a) == ([(i, i) for i in range(len(a))], [])
+
+
+def test_alignment_decides_and_the_look_up_takes_what_it_leaves(spark, monkeypatch):
+    lines = [f"line {k} of some twenty characters" for k in range(12)]
+    moved = [lines[8], *lines[:8], *lines[9:]]
+    rows = [(1, "\n".join(lines)), (2, "new\n" + "\n".join(lines[2:9])), (3, "\n".join(moved)), (4, "\n".join(["own", lines[3], lines[3]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_aligned"]) for r in line_dedup.dedup_lines_of(df).collect()}
+    assert got == {1: (0, 0), 2: (7, 7), 3: (12, 11), 4: (2, 0)}
+    whole = line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: ([], []))
+    assert all(r["n_removed"] == 0 for r in line_dedup.dedup_lines_of(df).collect())  # nothing goes that no alignment has seen
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: (whole(a, b)[0], []))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines_of(df).collect()}
+    assert got == {1: 0, 2: 7, 3: 11, 4: 0}
 
 
 def test_decontaminate(docs, empty, spark):
