@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draper.functions.vocab import ACHROMATIC, HUE_NAMES, REFERENCE_RGB
+from draper.functions.vocab import ACHROMATIC, ANALOGOUS, HUE_NAMES, REFERENCE_RGB, TOLERANCE
 
 MATRIX = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
 WHITE = (0.95047, 1.0, 1.08883)
@@ -43,9 +43,9 @@ def chroma(a: Column, b: Column) -> Column:
     return F.hypot(a, b)
 
 
-def hue(a: Column, b: Column) -> Column:
+def hue(a: Column, b: Column, achromatic: float = ACHROMATIC) -> Column:
     """Angle in [0, 360); null below the achromatic threshold."""
-    return F.when(chroma(a, b) >= ACHROMATIC, F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+    return F.when(chroma(a, b) >= achromatic, F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
 
 
 def folded(x: Column, y: Column) -> Column:
@@ -84,7 +84,7 @@ def quantize(l: Column, a: Column, b: Column) -> Column:
     )
 
 
-def relation(delta: Column) -> Column:
+def relation(delta: Column, complementary: float = TOLERANCE, analogous: float = ANALOGOUS, triadic: float = TOLERANCE) -> Column:
     return (
-        F.when(delta >= 160, "complementary").when(delta <= 30, "analogous").when(F.abs(delta - 120) <= 20, "triadic_candidate").otherwise("none")
+        F.when(delta >= 180 - complementary, "complementary").when(delta <= analogous, "analogous").when(F.abs(delta - 120) <= triadic, "triadic_candidate").otherwise("none")
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
 from functools import lru_cache
 from types import MappingProxyType
 from typing import Any
@@ -109,12 +108,18 @@ def _normal(k: str) -> bool:
 
 
 ANY = number(-math.inf)
+#: The name of one penalty in files.
+PER_LEVEL = "formality_mismatch_per_level"
 SCORING = {
     "color.achromatic_chroma": number(), "color.analogous_max": number(0, 180), "color.complementary_tolerance": number(0, 90), "color.triadic_tolerance": number(0, 60),
     "color.hue_separation": number(0, 180), "color.max_hue_families": whole(1), "formality.levels": table(None, whole(0, 4), _normal), "formality.max_spread": whole(0, 4),
     "formality.major_spread": whole(0, 4), "season.fabric_warmth": table(V.FABRICS, ANY), "season.sleeve_exposure": table(V.SLEEVES, ANY),
     "season.length_exposure": table(V.LENGTHS, ANY), "season.heavy_warmth": ANY, "season.summer_exposure": ANY, "season.max_fabric_warmth_spread": number(),
-    "weights": exactly(AXES), "penalties": covering(list(V.PENALTY)),
+    "harmony.min_lightness_contrast": number(), "harmony.monochrome_lightness_contrast": number(), "harmony.max_patterns": whole(1),
+    "proportion.accessory_slots": members(V.SLOTS), "proportion.dominant_slots": members(V.SLOTS), "proportion.core_slots": members(V.SLOTS),
+    "proportion.max_accessories": whole(1), "proportion.max_single_area": number(5e-324, 1), "proportion.max_upper_lower_ratio": number(1),
+    "proportion.min_measured_areas": whole(1), "proportion.min_garments_for_footwear": whole(1), "defaults.base": number(0, 100), "defaults.unscorable": number(0, 100),
+    "defaults.max_issue_refs": whole(1), "weights": exactly(AXES), "penalties": covering([PER_LEVEL if k == "formality_per_level" else k for k in V.PENALTY]),
 }
 PALETTE = {
     "palette.seed": whole(0), "palette.n_clusters": whole(1), "palette.n_init": whole(1), "palette.min_area_fraction": number(0, 1), "palette.max_fit_pixels": whole(1),
@@ -136,19 +141,9 @@ def check(config: Mapping[str, Any], rules: Mapping[str, Callable[[Any], str | N
     return config
 
 
-@dataclass(frozen=True)
-class Scoring:
-    """Checked scoring options."""
-
-    weights: Mapping[str, float]
-    penalties: Mapping[str, float]
-    levels: Mapping[str, int]
-    options: Mapping[str, Any]
-
-
-def scoring_settings(config: Mapping[str, Any]) -> Scoring:
+def scoring_settings(config: Mapping[str, Any]) -> Mapping[str, Any]:
+    """The config, if every scoring option is right, alone and beside the others."""
     check(config, SCORING)
     if config["formality"]["major_spread"] < config["formality"]["max_spread"]:
         raise ConfigError("formality.major_spread must not be below formality.max_spread")
-    frozen = lambda m: MappingProxyType(dict(m))
-    return Scoring(frozen(config["weights"]), frozen(config["penalties"]), frozen(config["formality"]["levels"]), config)
+    return config

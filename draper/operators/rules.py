@@ -6,11 +6,15 @@ are broken by pos, as max_by and min_by over (value, -pos) say.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draper.functions import color
 from draper.functions import vocab as V
+from draper.functions.rulebook import DEFAULT, Rulebook
+from draper.functions.settings import AXES
 from draper.functions.text import category_key
 
 
@@ -30,14 +34,14 @@ def checked_lab(lab: list[Column]) -> list[Column]:
     return [F.when(usable_lab(lab), c).otherwise(F.raise_error(text).cast("double")) for c in lab]
 
 
-def resolved(g: DataFrame) -> DataFrame:
+def resolved(g: DataFrame, book: Rulebook = DEFAULT) -> DataFrame:
     """Adds l, a, b (measured Lab if it is finite, else the named colour's) and hue (null where none is carried)."""
     measured = usable_lab([F.col(f"lab_{c}") for c in "lab"])
     for i, c in enumerate("lab"):
         named = lookup({k: v[i] for k, v in color.REFERENCE_LAB.items()}, F.col("color"))
         g = g.withColumn(c, F.when(measured, F.col(f"lab_{c}")).otherwise(named))
     carried = ~F.col("color").isin(*V.NEUTRAL, "unknown")
-    return g.withColumn("hue", F.when(carried, color.hue(F.col("a"), F.col("b"))))
+    return g.withColumn("hue", F.when(carried, color.hue(F.col("a"), F.col("b"), book.achromatic)))
 
 
 def with_refs(g: DataFrame) -> DataFrame:
@@ -65,12 +69,16 @@ def largest_measured(g: DataFrame) -> DataFrame:
 RULE_CODE = {"dominant_area": "proportion_imbalance", "upper_lower_ratio": "proportion_imbalance"}
 
 
-def measures(g: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+def scales(book: Rulebook) -> dict[str, Column]:
+    """Formality level, warmth and exposure of a garment; null where the book has no entry."""
+    exposure = F.greatest(lookup(book.sleeves, F.col("sleeve_length")), lookup(book.lengths, F.col("length")))
+    return {"level": lookup(book.levels, category_key(F.col("category"))), "warm": lookup(book.warmth, F.col("fabric")), "exposure": exposure}
+
+
+def measures(g: DataFrame, extra: tuple[Column, ...] = (), book: Rulebook = DEFAULT) -> DataFrame:
     """All per-outfit aggregates that the rules read, and extra ones, which may use level, warm, exposure, l and hue."""
-    g = resolved(g)
-    level, warm = lookup(V.FORMALITY, category_key(F.col("category"))), lookup(V.WARMTH, F.col("fabric"))
-    exposure = F.greatest(lookup(V.SLEEVE_EXPOSURE, F.col("sleeve_length")), lookup(V.LENGTH_EXPOSURE, F.col("length")))
-    g = g.withColumns({"level": level, "warm": warm, "exposure": exposure})
+    g = resolved(g, book)
+    g = g.withColumns(scales(book))
     area = lambda slots, inside=True: F.max(F.when(F.col("slot").isin(*slots) if inside else ~F.col("slot").isin(*slots), F.col("area")))
     m = g.groupBy("image_id").agg(
         F.count("*").alias("n"), F.count("l").alias("lit"), (F.max("l") - F.min("l")).alias("spread"),
@@ -78,68 +86,71 @@ def measures(g: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
         F.count_if(~F.col("pattern").isin("pure_color", "na")).alias("patterned"),
         F.count("level").alias("levels"), F.max("level").alias("top"), F.min("level").alias("bottom"),
         F.count("warm").alias("warms"), F.max("warm").alias("hot"), F.min("warm").alias("cold"), F.max("exposure").alias("bare"),
-        F.bool_or(F.col("slot") == "footwear").alias("shod"), F.bool_or(F.col("slot").isin(*V.CORE)).alias("core"),
-        F.count_if(F.col("slot").isin(*V.ACCESSORIES)).alias("accessories"), F.count("area").alias("measured"),
-        area(V.DOMINANT, False).alias("biggest"), area(["upper"]).alias("upper_area"), area(["lower"]).alias("lower_area"),
+        F.bool_or(F.col("slot") == "footwear").alias("shod"), F.bool_or(F.col("slot").isin(*book.core)).alias("core"),
+        F.count_if(F.col("slot").isin(*book.accessories)).alias("accessories"), F.count("area").alias("measured"),
+        area(book.dominant, False).alias("biggest"), area(["upper"]).alias("upper_area"), area(["lower"]).alias("lower_area"),
         F.bool_or(F.col("area").isNotNull() | F.col("level").isNotNull() | F.col("l").isNotNull()).alias("evidence"), *extra,
     )
     first, last = F.element_at("hues", 1), F.element_at("hues", -1)
     gaps = F.zip_with(F.slice("hues", 2, F.greatest(F.size("hues") - 1, F.lit(0))), "hues", lambda x, y: x - y)
-    over = F.size(F.filter(gaps, lambda x: x > V.SEPARATION)) + (360 - (last - first) > V.SEPARATION).cast("int")
+    over = F.size(F.filter(gaps, lambda x: x > book.separation)) + (360 - (last - first) > book.separation).cast("int")
     pairs = F.flatten(F.transform("hues", lambda x, i: F.transform(F.slice("hues", i + 2, F.size("hues")), lambda y: color.folded(x, y))))
     return m.withColumn("families", F.when(F.size("hues") == 0, 0).otherwise(F.greatest(F.lit(1), over))).withColumn("widest", F.array_max(pairs))
 
 
-def rule_parts(m: DataFrame) -> DataFrame:
+def rule_parts(m: DataFrame, book: Rulebook = DEFAULT) -> DataFrame:
     """The four subscores, the rules broken and the codes of the issues found, in rule order."""
-    p = V.PENALTY
+    p = book.penalties
     no = F.lit(False)
-    mono = (F.col("lit") > 1) & (F.col("families") == 1) & (F.col("widest").isNull() | (F.col("widest") <= V.SEPARATION)) & (F.col("spread") < V.MONO_LIGHTNESS)
+    mono = (F.col("lit") > 1) & (F.col("families") == 1) & (F.col("widest").isNull() | (F.col("widest") <= book.separation)) & (F.col("spread") < book.mono_lightness)
     gap = F.col("top") - F.col("bottom")
     high, low = F.greatest("upper_area", "lower_area"), F.least("upper_area", "lower_area")
     both = F.col("upper_area").isNotNull() & F.col("lower_area").isNotNull() & (low > 0)
     rules = {
         "color_harmony": [
-            ("hue_clash", F.coalesce(F.col("widest") >= 160, no), F.lit(p["hue_clash"])),
-            ("too_many_colors", F.col("families") > V.MAX_FAMILIES, F.lit(p["too_many_colors"])),
+            ("hue_clash", F.coalesce(F.col("widest") >= book.clash, no), F.lit(p["hue_clash"])),
+            ("too_many_colors", F.col("families") > book.max_families, F.lit(p["too_many_colors"])),
             ("monochrome_flat", mono, F.lit(p["monochrome_flat"])),
-            ("low_contrast", ~mono & (F.col("lit") > 1) & (F.col("spread") < V.MIN_LIGHTNESS), F.lit(p["low_contrast"])),
-            ("pattern_clash", F.col("patterned") > V.MAX_PATTERNS, F.lit(p["pattern_clash"])),
+            ("low_contrast", ~mono & (F.col("lit") > 1) & (F.col("spread") < book.min_lightness), F.lit(p["low_contrast"])),
+            ("pattern_clash", F.col("patterned") > book.max_patterns, F.lit(p["pattern_clash"])),
         ],
         "formality_consistency": [
-            ("formality_mismatch", F.coalesce((F.col("levels") > 1) & (gap > V.MAX_FORMALITY), no), p["formality_per_level"] * (gap - V.MAX_FORMALITY)),
+            ("formality_mismatch", F.coalesce((F.col("levels") > 1) & (gap > book.max_formality), no), p["formality_per_level"] * (gap - book.max_formality)),
         ],
         "seasonality": [
-            ("season_mismatch", F.coalesce((F.col("hot") >= V.HEAVY) & (F.col("bare") >= V.SUMMER), no), F.lit(p["season_mismatch"])),
-            ("fabric_mismatch", F.coalesce((F.col("warms") > 1) & (F.col("hot") - F.col("cold") > V.WARMTH_SPREAD), no), F.lit(p["fabric_mismatch"])),
+            ("season_mismatch", F.coalesce((F.col("hot") >= book.heavy) & (F.col("bare") >= book.summer), no), F.lit(p["season_mismatch"])),
+            ("fabric_mismatch", F.coalesce((F.col("warms") > 1) & (F.col("hot") - F.col("cold") > book.warmth_spread), no), F.lit(p["fabric_mismatch"])),
         ],
         "proportion": [
-            ("missing_footwear", ~F.col("shod") & F.col("core") & (F.col("n") >= 2), F.lit(p["missing_footwear"])),
-            ("accessory_overload", F.col("accessories") > V.MAX_ACCESSORIES, F.lit(p["accessory_overload"])),
-            ("dominant_area", F.coalesce((F.col("measured") >= V.MIN_MEASURED) & (F.col("biggest") > V.MAX_AREA), no), F.lit(p["dominant_area"])),
-            ("upper_lower_ratio", F.coalesce(both & (high / low > V.MAX_RATIO), no), F.lit(p["upper_lower_ratio"])),
+            ("missing_footwear", ~F.col("shod") & F.col("core") & (F.col("n") >= book.min_garments), F.lit(p["missing_footwear"])),
+            ("accessory_overload", F.col("accessories") > book.max_accessories, F.lit(p["accessory_overload"])),
+            ("dominant_area", F.coalesce((F.col("measured") >= book.min_measured) & (F.col("biggest") > book.max_area), no), F.lit(p["dominant_area"])),
+            ("upper_lower_ratio", F.coalesce(both & (high / low > book.max_ratio), no), F.lit(p["upper_lower_ratio"])),
         ],
     }
     out, codes = {}, []
     for axis, found in rules.items():
         penalty = sum((F.when(when, cost).otherwise(0.0) for _, when, cost in found), F.lit(0.0))
-        out[axis] = F.when(F.col("evidence"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - penalty))).otherwise(V.UNSCORABLE)
+        out[axis] = F.when(F.col("evidence"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), book.base - penalty))).otherwise(book.unscorable)
         codes += [F.when(when & F.col("evidence"), F.lit(code)) for code, when, _ in found]
     broken = F.when(F.col("evidence"), F.array_compact(F.array(*codes))).otherwise(F.array(F.lit("other")))
     scored = m.withColumns(out).withColumn("broken", broken)
     return scored.withColumn("issues", F.transform("broken", lambda c: F.coalesce(lookup(RULE_CODE, c), c)))
 
 
-def rule_score(g: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def weighted(book: Rulebook) -> Column:
+    """The weighted mean of the subscores."""
+    return sum(F.col(a) * float(book.weights[a]) for a in AXES) / float(sum(book.weights.values()))
+
+
+def rule_score(g: DataFrame, weights: dict[str, float] | None = None, book: Rulebook = DEFAULT) -> DataFrame:
     """image_id, overall (the weighted mean of the subscores), four subscores, issues (codes joined by commas), majors."""
-    s = rule_parts(measures(g))
-    axes = ["color_harmony", "formality_consistency", "seasonality", "proportion"]
-    weights = weights or dict.fromkeys(axes, 1.0)
-    overall = sum(F.col(a) * float(weights[a]) for a in axes) / float(sum(weights.values()))
+    book = replace(book, weights=weights) if weights else book
+    s = rule_parts(measures(g, book=book), book)
     major = F.size(F.filter("issues", lambda c: c.isin("hue_clash", "season_mismatch"))) + F.when(
-        F.array_contains("issues", "formality_mismatch") & (F.col("top") - F.col("bottom") >= V.MAJOR_FORMALITY), 1
+        F.array_contains("issues", "formality_mismatch") & (F.col("top") - F.col("bottom") >= book.major_formality), 1
     ).otherwise(0)
-    return s.select("image_id", overall.alias("overall"), *axes, F.array_join("issues", ",").alias("issues"), major.alias("majors"))
+    return s.select("image_id", weighted(book).alias("overall"), *AXES, F.array_join("issues", ",").alias("issues"), major.alias("majors"))
 
 
 def tone(scored: DataFrame) -> DataFrame:

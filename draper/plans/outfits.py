@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draper.functions import color
 from draper.functions import vocab as V
+from draper.functions.rulebook import DEFAULT, Rulebook
 from draper.operators import roast as roasting
 from draper.operators import rules, tables
 from draper.plans.adapter import GARMENTS, garments, read
@@ -33,38 +34,56 @@ TRIALS = 30
 HUES = "[" + ", ".join(f"{{'d': least(abs(h - {h!r}::DOUBLE), 360 - abs(h - {h!r}::DOUBLE)), 'name': '{n}'}}" for n, h in color.REFERENCE_HUE.items()) + "]"
 FAMILY = f"list_sort({HUES})[1].name"
 HUE = "((degrees(atan2({b}, {a})) % 360 + 360) % 360)"
-RESOLVED = GARMENTS + f""", labbed AS (SELECT *, coalesce(lab_l, {_case('color', {k: v[0] for k, v in color.REFERENCE_LAB.items()})}) AS l,
+
+
+def _names(slots: list[str]) -> str:
+    return "(" + ", ".join(f"'{s}'" for s in slots) + ")"
+
+
+def _resolved_sql(book: Rulebook) -> str:
+    return GARMENTS + f""", labbed AS (SELECT *, coalesce(lab_l, {_case('color', {k: v[0] for k, v in color.REFERENCE_LAB.items()})}) AS l,
   coalesce(lab_a, {_case('color', {k: v[1] for k, v in color.REFERENCE_LAB.items()})}) AS a,
   coalesce(lab_b, {_case('color', {k: v[2] for k, v in color.REFERENCE_LAB.items()})}) AS b FROM garments),
-resolved AS (SELECT *, CASE WHEN color NOT IN ('black', 'white', 'gray', 'beige', 'brown', 'navy', 'unknown') AND sqrt(a * a + b * b) >= 5
+resolved AS (SELECT *, CASE WHEN color NOT IN ('black', 'white', 'gray', 'beige', 'brown', 'navy', 'unknown') AND sqrt(a * a + b * b) >= {book.achromatic!r}
   THEN {HUE.format(a='a', b='b')} END AS hue FROM labbed)"""
-PAIRS = RESOLVED + """, hue_pairs AS (SELECT x.image_id, x.pos AS i, y.pos AS j, least(abs(x.hue - y.hue), 360 - abs(x.hue - y.hue)) AS delta
+
+
+def _pairs_sql(book: Rulebook) -> str:
+    return _resolved_sql(book) + """, hue_pairs AS (SELECT x.image_id, x.pos AS i, y.pos AS j, least(abs(x.hue - y.hue), 360 - abs(x.hue - y.hue)) AS delta
   FROM resolved x JOIN resolved y ON x.image_id = y.image_id AND x.pos < y.pos WHERE x.hue IS NOT NULL AND y.hue IS NOT NULL)"""
-SCORED = PAIRS + f""", widest AS (SELECT image_id, max(delta) AS widest FROM hue_pairs GROUP BY image_id),
+
+
+def scored_sql(r: Rulebook) -> str:
+    """Subscores, issue codes and majors of every outfit under a rulebook."""
+    p = {k: f"{v!r}::DOUBLE" for k, v in r.penalties.items()}
+    return _pairs_sql(r) + f""", widest AS (SELECT image_id, max(delta) AS widest FROM hue_pairs GROUP BY image_id),
 gaps AS (SELECT image_id, hue, lead(hue) OVER (PARTITION BY image_id ORDER BY hue) AS nxt FROM resolved WHERE hue IS NOT NULL),
-fams AS (SELECT image_id, greatest(1, count(*) FILTER (WHERE nxt - hue > 30) + CASE WHEN 360 - (max(hue) - min(hue)) > 30 THEN 1 ELSE 0 END) AS families FROM gaps GROUP BY image_id),
-valued AS (SELECT *, {_case(KEY, V.FORMALITY)} AS level, {_case('fabric', V.WARMTH)} AS warm,
-  greatest({_case('sleeve_length', V.SLEEVE_EXPOSURE)}, {_case('length', V.LENGTH_EXPOSURE)}) AS exposure FROM resolved),
+fams AS (SELECT image_id, greatest(1, count(*) FILTER (WHERE nxt - hue > {r.separation}) + CASE WHEN 360 - (max(hue) - min(hue)) > {r.separation} THEN 1 ELSE 0 END) AS families FROM gaps GROUP BY image_id),
+valued AS (SELECT *, {_case(KEY, r.levels)} AS level, {_case('fabric', r.warmth)} AS warm,
+  greatest({_case('sleeve_length', r.sleeves)}, {_case('length', r.lengths)}) AS exposure FROM resolved),
 m AS (SELECT image_id, count(*) AS n, count(l) AS lit, max(l) - min(l) AS spread, count(*) FILTER (WHERE pattern NOT IN ('pure_color', 'na')) AS patterned,
   max(level) - min(level) AS gap, count(level) AS levels, max(warm) AS hot, min(warm) AS cold, count(warm) AS warms, max(exposure) AS bare,
-  bool_or(slot = 'footwear') AS shod, bool_or(slot IN ('upper', 'lower', 'dress', 'romper')) AS core, count(area) AS measured,
-  max(area) FILTER (WHERE slot NOT IN ('dress', 'romper', 'outer')) AS biggest, max(area) FILTER (WHERE slot = 'upper') AS ua, max(area) FILTER (WHERE slot = 'lower') AS la,
-  count(*) FILTER (WHERE slot IN ('headwear', 'neckwear', 'eyewear', 'bag', 'belt', 'gloves', 'jewelry')) AS accessories FROM valued GROUP BY image_id),
-flags AS (SELECT m.*, coalesce(families, 0) AS fam, coalesce(widest >= 160, false) AS clash, coalesce(families, 0) > 3 AS many,
-  lit > 1 AND coalesce(families, 0) = 1 AND coalesce(widest <= 30, true) AND spread < 8 AS mono, patterned > 1 AS pat,
-  coalesce(levels > 1 AND gap > 2, false) AS formal, coalesce(hot >= 0.7 AND bare >= 0.6, false) AS season, coalesce(warms > 1 AND hot - cold > 1.2, false) AS fab,
-  NOT shod AND core AND n >= 2 AS shoes, accessories > 3 AS acc, coalesce(measured >= 3 AND biggest > 0.6, false) AS dom,
-  coalesce(least(ua, la) > 0 AND ua IS NOT NULL AND la IS NOT NULL AND greatest(ua, la) / least(ua, la) > 3, false) AS ratio
+  bool_or(slot = 'footwear') AS shod, bool_or(slot IN {_names(r.core)}) AS core, count(area) AS measured,
+  max(area) FILTER (WHERE slot NOT IN {_names(r.dominant)}) AS biggest, max(area) FILTER (WHERE slot = 'upper') AS ua, max(area) FILTER (WHERE slot = 'lower') AS la,
+  count(*) FILTER (WHERE slot IN {_names(r.accessories)}) AS accessories FROM valued GROUP BY image_id),
+flags AS (SELECT m.*, coalesce(families, 0) AS fam, coalesce(widest >= 180 - {r.complementary}, false) AS clash, coalesce(families, 0) > {r.max_families} AS many,
+  lit > 1 AND coalesce(families, 0) = 1 AND coalesce(widest <= {r.separation}, true) AND spread < {r.mono_lightness} AS mono, patterned > {r.max_patterns} AS pat,
+  coalesce(levels > 1 AND gap > {r.max_formality}, false) AS formal, coalesce(hot >= {r.heavy} AND bare >= {r.summer}, false) AS season, coalesce(warms > 1 AND hot - cold > {r.warmth_spread}, false) AS fab,
+  NOT shod AND core AND n >= {r.min_garments} AS shoes, accessories > {r.max_accessories} AS acc, coalesce(measured >= {r.min_measured} AND biggest > {r.max_area}, false) AS dom,
+  coalesce(least(ua, la) > 0 AND ua IS NOT NULL AND la IS NOT NULL AND greatest(ua, la) / least(ua, la) > {r.max_ratio}, false) AS ratio
   FROM m LEFT JOIN widest USING (image_id) LEFT JOIN fams USING (image_id)),
-low AS (SELECT *, NOT mono AND lit > 1 AND spread < 15 AS dim FROM flags),
-scored AS (SELECT image_id, greatest(0.0, 100.0 - (clash::INT * 25 + many::INT * 20 + mono::INT * 12 + dim::INT * 15 + pat::INT * 18))::DOUBLE AS color_harmony,
-  greatest(0.0, 100.0 - CASE WHEN formal THEN 22 * (gap - 2) ELSE 0 END)::DOUBLE AS formality_consistency, (100.0 - season::INT * 30 - fab::INT * 15)::DOUBLE AS seasonality,
-  greatest(0.0, 100.0 - (shoes::INT * 25 + acc::INT * 18 + dom::INT * 20 + ratio::INT * 20))::DOUBLE AS proportion,
+low AS (SELECT *, NOT mono AND lit > 1 AND spread < {r.min_lightness} AS dim FROM flags),
+scored AS (SELECT image_id, greatest(0.0, {r.base} - (clash::INT * {p["hue_clash"]} + many::INT * {p["too_many_colors"]} + mono::INT * {p["monochrome_flat"]} + dim::INT * {p["low_contrast"]} + pat::INT * {p["pattern_clash"]}))::DOUBLE AS color_harmony,
+  greatest(0.0, {r.base} - CASE WHEN formal THEN {p["formality_per_level"]} * (gap - {r.max_formality}) ELSE 0 END)::DOUBLE AS formality_consistency, greatest(0.0, {r.base} - season::INT * {p["season_mismatch"]} - fab::INT * {p["fabric_mismatch"]})::DOUBLE AS seasonality,
+  greatest(0.0, {r.base} - (shoes::INT * {p["missing_footwear"]} + acc::INT * {p["accessory_overload"]} + dom::INT * {p["dominant_area"]} + ratio::INT * {p["upper_lower_ratio"]}))::DOUBLE AS proportion,
   concat_ws(',', CASE WHEN clash THEN 'hue_clash' END, CASE WHEN many THEN 'too_many_colors' END, CASE WHEN mono THEN 'monochrome_flat' END,
     CASE WHEN dim THEN 'low_contrast' END, CASE WHEN pat THEN 'pattern_clash' END, CASE WHEN formal THEN 'formality_mismatch' END, CASE WHEN season THEN 'season_mismatch' END,
     CASE WHEN fab THEN 'fabric_mismatch' END, CASE WHEN shoes THEN 'missing_footwear' END, CASE WHEN acc THEN 'accessory_overload' END,
     CASE WHEN dom THEN 'proportion_imbalance' END, CASE WHEN ratio THEN 'proportion_imbalance' END) AS issues,
-  (clash::INT + season::INT + (formal AND gap >= 4)::INT) AS majors FROM low)"""
+  (clash::INT + season::INT + (formal AND gap >= {r.major_formality})::INT) AS majors FROM low)"""
+
+
+RESOLVED, PAIRS, SCORED = _resolved_sql(DEFAULT), _pairs_sql(DEFAULT), scored_sql(DEFAULT)
 
 
 @query(f"WITH {GARMENTS} SELECT * FROM garments")

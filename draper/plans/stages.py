@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draper.functions.rulebook import load_rules
 from draper.operators import roast, rules
 from draper.operators.evaluation import scored_descriptions
 from draper.operators.palette import measure
@@ -33,7 +35,9 @@ def replay(spark: SparkSession, path: str, schema: str) -> Stage:
 PERCEPTION.register("replay", replay)
 PERCEPTION.register("palette", lambda: measure)
 SCORING.register("rules", lambda weights=None: lambda garments: rules.rule_score(garments, weights))
+SCORING.register("configured", lambda path: partial(rules.rule_score, book=load_rules(path)))
 ROASTING.register("rules", lambda: roast.roast)
+ROASTING.register("configured", lambda path: partial(roast.roast, book=load_rules(path)))
 
 
 def resolve(stage: Stage | None, registry: Registry, name: str, *args, **kw) -> Stage:

@@ -1,17 +1,18 @@
+import dataclasses
 import datetime
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from draper.functions import settings
+from draper.functions import rulebook, settings
 from draper.functions import vocab as V
 from draper.operators import prompts, reports
 from draper.operators.metrics import rank_auc
 from draper.plans import stages
 from draper.plans.registry import Registry
 from draper.sources import folders, labels, records, splits
-from draper.streaming.resume import append_once, latest, pending
+from draper.streaming.resume import LastWins, latest, pending
 
 
 def test_labels(spark, tmp_path):
@@ -221,17 +222,24 @@ def test_metric_record(tmp_path):
 
 CONFIG = {
     "color": {"achromatic_chroma": 5.0, "analogous_max": 30, "complementary_tolerance": 20, "triadic_tolerance": 20, "hue_separation": 30, "max_hue_families": 3},
-    "formality": {"levels": {"t shirt": 1}, "max_spread": 2, "major_spread": 4}, "weights": dict.fromkeys(settings.AXES, 1.0), "penalties": dict(V.PENALTY),
+    "formality": {"levels": {"t shirt": 1}, "max_spread": 2, "major_spread": 4}, "weights": dict.fromkeys(settings.AXES, 1.0), "penalties": {("formality_mismatch_per_level" if k == "formality_per_level" else k): v for k, v in V.PENALTY.items()},
+    "harmony": {"min_lightness_contrast": 15.0, "monochrome_lightness_contrast": 8.0, "max_patterns": 1}, "defaults": {"base": 100.0, "unscorable": 50.0, "max_issue_refs": 5},
+    "proportion": {"accessory_slots": V.ACCESSORIES, "dominant_slots": V.DOMINANT, "core_slots": V.CORE, "max_accessories": 3, "max_single_area": 0.6, "max_upper_lower_ratio": 3.0,
+                   "min_measured_areas": 3, "min_garments_for_footwear": 2},
     "season": {"fabric_warmth": {"denim": 0.4}, "sleeve_exposure": {"long": -0.4}, "length_exposure": {"long": -0.4}, "heavy_warmth": 0.7, "summer_exposure": 0.6, "max_fabric_warmth_spread": 1.2},
     "palette": V.PALETTE,
 }
 
 
 def test_settings(tmp_path):
-    assert settings.scoring_settings(CONFIG).levels["t shirt"] == 1 and settings.check(CONFIG, settings.PALETTE) is CONFIG
+    book = rulebook.compile_rules(CONFIG)
+    assert book.levels == {"t shirt": 1} and dataclasses.replace(book, **{k: getattr(rulebook.DEFAULT, k) for k in ("levels", "warmth", "sleeves", "lengths")}) == rulebook.DEFAULT
+    assert settings.check(CONFIG, settings.PALETTE) is CONFIG
     bad = {
         "color.analogous_max": 181, "color.max_hue_families": True, "color.hue_separation": float("nan"), "formality.levels": {"T-Shirt": 1}, "formality.major_spread": 1,
         "season.fabric_warmth": {"na": 1.0}, "season.length_exposure": {}, "weights": dict.fromkeys(settings.AXES, 0.0), "penalties": {"hue_clash": 1.0},
+        "harmony.max_patterns": 0, "proportion.accessory_slots": ["hat"], "proportion.core_slots": [], "proportion.max_single_area": 0, "proportion.max_upper_lower_ratio": 0.5,
+        "defaults.base": 101, "defaults.max_issue_refs": 0, "defaults.unscorable": -1,
     }
     for path, value in bad.items():
         section, _, key = path.partition(".")
@@ -308,6 +316,6 @@ def test_resume(spark, tmp_path):
     log.write.parquet(src)
     for _ in range(2):  # a restart adds nothing
         stream = spark.readStream.schema(log.schema).parquet(src)
-        append_once(stream, "id", out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
-    assert spark.read.parquet(out).where(F.col("id") == "a").count() == 1
+        store = LastWins(spark, out, log.schema, "id", "n")
+        store.follow(stream, str(tmp_path / "cp")).awaitTermination()
+    assert {tuple(r) for r in store.read().collect()} == {(2, "a", "y"), (3, "b", "z")}
