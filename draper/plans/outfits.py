@@ -351,10 +351,23 @@ def color_audit(spark, d):
     ).select(F.coalesce("color", F.lit("all")).alias("name"), "n", "lowest", "median", "p95", "highest", "suspicious")
 
 
+def _once(x: str) -> str:
+    """Three rounds of the network over wide x high, keyed by slot and draw."""
+    key = "(list_position(['upper', 'lower', 'outer', 'dress', 'footwear'], slot) * 32 + k)"
+    mix = lambda part, by, keyed, last: f"((({part}) * {by} + {key} * {keyed} + 20260101) % 2147483647 * {last} % 2147483647)"
+    left, right = f"(({x}) // high)", f"(({x}) % high)"
+    left = f"(({left} + {mix(right, 48271, 69621, 16807)}) % wide)"
+    right = f"(({right} + {mix(left, 39373, 40692, 60331)}) % high)"
+    left = f"(({left} + {mix(right, 45991, 62089, 21121)}) % wide)"
+    return f"({left} * high + {right})"
+
+
 _DONORS = f"""{GARMENTS}, owner AS (SELECT o_orderkey AS image_id, o_custkey AS grp FROM orders),
 ranked AS (SELECT g.image_id, g.slot, g.category, g.color, g.pattern, g.fabric, g.sleeve_length, g.length, g.neckline, grp, row_number() OVER (PARTITION BY g.image_id, g.slot ORDER BY g.pos) AS rn FROM garments g JOIN owner USING (image_id)),
 firsts AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1), pool AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY image_id) - 1 AS idx, count(*) OVER (PARTITION BY slot) AS size FROM firsts),
-draws AS (SELECT p.*, k, (48271 * p.image_id + 69621 * list_position(['upper', 'lower', 'outer', 'dress', 'footwear'], p.slot) + 16807 * k + 20260101) % size AS want FROM pool p, range(32) r(k)),
+boxed AS (SELECT *, ceil(sqrt(size))::BIGINT AS wide, ceil(size / ceil(sqrt(size)))::BIGINT AS high FROM pool),
+d0 AS (SELECT p.*, k, {_once('idx')} AS x FROM boxed p, range(32) r(k)), {', '.join(f"d{n} AS (SELECT * REPLACE (CASE WHEN x < size THEN x ELSE {_once('x')} END AS x) FROM d{n - 1})" for n in range(1, 9))},
+draws AS (SELECT *, x AS want FROM d8),
 hits AS (SELECT w.image_id, w.slot, k, q.image_id AS donor_id FROM draws w JOIN pool q ON w.slot = q.slot AND w.want = q.idx
  WHERE q.image_id <> w.image_id AND q.grp <> w.grp AND (q.category IS DISTINCT FROM w.category OR q.color IS DISTINCT FROM w.color OR q.pattern IS DISTINCT FROM w.pattern OR q.fabric IS DISTINCT FROM w.fabric
   OR q.sleeve_length IS DISTINCT FROM w.sleeve_length OR q.length IS DISTINCT FROM w.length OR q.neckline IS DISTINCT FROM w.neckline)),
@@ -368,13 +381,21 @@ def donor_pairs(spark, d):
     return donors(garments(spark, d), read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("grp")))
 
 
-@query(f"""WITH {_DONORS}, wanted AS (SELECT image_id, count(DISTINCT slot) AS slots FROM garments GROUP BY image_id), got AS (SELECT d.image_id, count(*) AS found, count(DISTINCT grp) AS groups FROM donors d JOIN owner o ON d.donor_id = o.image_id GROUP BY d.image_id)
-SELECT CASE WHEN coalesce(found, 0) < slots THEN 'easy_incomplete' WHEN groups < least(2, slots) THEN 'easy_one_donor_group' ELSE 'easy' END AS reason, count(*) AS n FROM wanted LEFT JOIN got USING (image_id) GROUP BY ALL""")
+_BAGS = _DONORS.replace(GARMENTS, GARMENTS.replace("garments AS (", "dressed AS (", 1) + ", garments AS (SELECT * REPLACE (CASE WHEN image_id % 19 = 0 THEN 'bag' ELSE slot END AS slot) FROM dressed)\n", 1)
+
+
+@query(f"""WITH {_BAGS}, wanted AS (SELECT image_id, slot, list_position(['upper', 'lower', 'outer', 'dress', 'footwear'], slot) AS c, donor_id, o.grp FROM (SELECT DISTINCT image_id, slot FROM garments) LEFT JOIN donors USING (image_id, slot) LEFT JOIN owner o ON donor_id = o.image_id),
+e AS (SELECT image_id, count(c) AS slots, count(donor_id) AS found, count(DISTINCT grp) AS groups, coalesce(arg_min(donor_id IS NOT NULL, (48271 * image_id + 69621 * c + 20260101) % 65537 * 8 + c), false) AS hard FROM wanted GROUP BY image_id),
+r AS (SELECT unnest([CASE WHEN slots = 0 THEN 'no_eligible_slot' END, CASE WHEN slots > 0 AND NOT hard THEN 'hard_no_donor' END,
+ CASE WHEN slots = 0 THEN NULL WHEN found < slots THEN 'easy_incomplete' WHEN groups < least(2, slots) THEN 'easy_one_donor_group' ELSE 'easy' END]) AS reason FROM e)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")
 def attrition(spark, d):
-    from draper.operators.pairs import attrition as count
+    """Every 19th outfit is bags only, so that some have no slot to swap."""
+    from draper.operators import pairs
 
     owner = read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("grp"))
-    return count(garments(spark, d), donor_pairs(spark, d), owner)
+    g = garments(spark, d).withColumn("slot", F.when(F.col("image_id") % 19 == 0, "bag").otherwise(F.col("slot")))
+    return pairs.attrition(g, pairs.donors(g, owner), owner)
 
 
 _SPLIT = """groups AS (SELECT c_custkey AS "group", any_value(c_mktsegment) AS stratum, count(o_orderkey) AS size FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey),

@@ -1,6 +1,7 @@
 """Hand rows of rules that the driver's tables don't reach: category spelling, set refs, broken Lab, unsafe phrases, checks that fail."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from draper.functions.text import parse_garment, safety_flags
@@ -76,6 +77,33 @@ def test_donors_differ_in_any_of_seven_attributes(spark):
     assert found and all(r.image_id % 2 != r.donor_id % 2 for r in found)
 
 
+def test_each_draw_asks_every_index_once(spark):
+    sizes = [1, 2, 3, 5, 7, 12, 30, 99, 100, 101, 1000]
+    df = spark.createDataFrame([(n, i, k) for n in sizes for i in range(n) for k in (1, 33, 70)], "size long, idx long, k long")
+    got = df.withColumn("x", pairs.permuted(F.col("idx"), F.col("size"), F.col("k"))).groupBy("size", "k").agg(F.array_sort(F.collect_list("x")).alias("x"), F.collect_list("x").alias("order")).collect()
+    assert len(got) == 3 * len(sizes) and all(r.x == list(range(r["size"])) for r in got)
+    assert len({tuple(r.order) for r in got if r["size"] == 1000}) == 3
+
+
+def test_attrition_has_its_five_reasons_and_is_observed_in_the_same_job(spark, tmp_path):
+    def outfit(i, slots, look="round"):
+        return [{"image_id": str(i), "pos": p, "slot": s, "neckline": look} for p, s in enumerate(slots)]
+
+    rows = []
+    for i in range(20):  # uppers and lowers of two looks, in groups of their own
+        rows += outfit(i, ["upper", "lower"], "round" if i % 2 else "square")
+    rows += outfit(100, ["bag"]) + outfit(101, ["dress"]) + outfit(102, ["upper", "outer"])
+    g = garments(spark, rows).withColumn("image_id", F.col("image_id").cast("long"))
+    for groups, reasons in ((F.col("image_id"), None), (F.col("image_id") % 2, {"easy_one_donor_group"})):
+        owner = g.select("image_id").distinct().withColumn("grp", groups)
+        want = {r.reason: r.n for r in pairs.attrition(g, pairs.donors(g, owner), owner).collect()}
+        seen = Observation()
+        pairs.pair_records(g, owner, seen).write.mode("overwrite").parquet(str(tmp_path / "out"))
+        assert {k: v for k, v in seen.get.items() if v} == want and list(seen.get) == pairs.REASONS
+        assert reasons is None or reasons <= set(want)
+        assert want["no_eligible_slot"] == 1 and want["easy_incomplete"] >= 2 and want["hard_no_donor"] >= 1
+
+
 def test_worst_issues_put_major_ones_first(spark):
     rows = [("missing_footwear", "minor"), ("season_mismatch", "major"), ("other", "info"), ("formality_mismatch", "major")]
     df = spark.createDataFrame([([(c, s, "m", ["b", "a"]) for c, s in rows],)], f"issues array<{roast.ISSUE}>")
