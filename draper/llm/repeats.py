@@ -188,6 +188,8 @@ class Repeats:
             store.bucketBy(buckets, "cid").mode("overwrite").saveAsTable(self.name)
             if self.spark.table(self.name).where("h0 <> h1").isEmpty():
                 break
+        else:
+            raise ValueError("different texts share a 64-bit name under each of eight seeds; there are too many texts for such names")
         self.texts = self.spark.table(self.name).select("cid", "text", "id", "n")
         self.rows = self.scratch.table(self.docs.select("doc_id", cid.alias("cid")), "rows")
 
@@ -328,11 +330,14 @@ class Repeats:
         smaller = self.smaller
         joined = self.texts.join(asked, "cid").select("cid", "text", "id", "asks")
         found = joined.mapInArrow(run, "name long, apart boolean, known boolean, cid long, id long, pos int" + (", more array<int>" if smaller else ""))
-        same = Window.partitionBy("name", "apart")
+        # counted with map-side partials and joined back, so that a name in most texts is no single task
+        found = self.scratch.table(found, "windows")
         if self.smaller:
-            found = found.withColumn("least", F.min("id").over(same)).where("known or id > least")
-            return found.select("cid", F.explode(F.concat(F.array("pos"), "more")).alias("pos"))
-        return found.drop("id").withColumn("n", F.count("*").over(same)).where("known or n > 1").select("cid", "pos")
+            again = found.groupBy("name", "apart").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+            kept = found.join(again, ["name", "apart"], "left").where("known or id > least")
+            return kept.select("cid", F.explode(F.concat(F.array("pos"), "more")).alias("pos"))
+        again = found.groupBy("name", "apart").agg(F.count("*").alias("n")).where("n > 1")
+        return found.join(again, ["name", "apart"], "left").where("known or n is not null").select("cid", "pos")
 
     def starts(self) -> DataFrame:
         """(cid, starts): where windows that repeat start, enough of them to cover every repeated symbol."""
@@ -343,6 +348,8 @@ class Repeats:
         asked = self.scratch.table(self._asked(found, covered), "asked")
         self.scratch.drop("found")
         edges = self.scratch.table(self._edge_windows(asked), "edges")
+        for name in ("asked", "windows", "wanted"):
+            self.scratch.drop(name)
         return covered.unionByName(edges).groupBy("cid").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
 
 
