@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from draper.plans.adapter import read
 from draper.plans.registry import query
 from draper.sources import storage
+from draper.sources.digests import content_root
 from draper.sources.headers import with_sizes
 from draper.streaming.resume import LastWins
 
@@ -42,3 +43,14 @@ def image_headers(spark, d):
     whole = F.when(key % 2 == 0, png).otherwise(jpeg)
     content = F.when(key % 11 == 0, F.substring(whole, 1, 15)).otherwise(whole)
     return with_sizes(read(spark, d, "part").select(key.alias("file"), content.alias("content"), "p_size")).select("file", F.col("width").cast("long"), F.col("height").cast("long"), "reason")
+
+
+@query("""WITH f AS (SELECT doc_id, encode(coalesce(text, '')) AS c FROM documents),
+leaves AS (SELECT doc_id, i, unhex(sha256(unhex('00') || c[i * 1024 + 1 : least(i * 1024 + 1024, octet_length(c))])) AS h FROM f, LATERAL (SELECT unnest(range(greatest(ceil(octet_length(c) / 1024.0)::BIGINT, 1))) AS i)),
+""" + ",\n".join(
+    f"l{n + 1} AS (SELECT doc_id, i // 2 AS i, CASE WHEN count(*) = 1 THEN any_value(h) ELSE unhex(sha256(unhex('01') || arg_min(h, i) || arg_max(h, i))) END AS h FROM {f'l{n}' if n else 'leaves'} GROUP BY doc_id, i // 2)" for n in range(16)
+) + " SELECT doc_id AS file, lower(hex(h)) AS sha256 FROM l16")
+def content_digests(spark, d):
+    """The Merkle digest of each document's bytes in blocks of 1,024."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file"), F.lower(F.hex(content_root(text, 1024))).alias("sha256"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import subprocess
 import tempfile
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draper.sources.digests import file_digests, folder_digest
+
 GARMENT = (
     "ref string, slot string, category string, color string, color_lab array<double>, color_lab_source string, area_fraction double, pattern string, "
     "fabric string, sleeve_length string, length string, neckline string, confidence double"
@@ -82,7 +85,7 @@ def prediction_folder(model: str, split: str, base: str) -> str:
     return f"{base}/{model.replace('/', '_')}_{split}.jsonl"
 
 
-def write_predictions(df: DataFrame, folder: str, model: str, split: str, config: dict | None = None, expected: DataFrame | None = None, seed: int | None = None) -> dict:
+def write_predictions(df: DataFrame, folder: str, model: str, split: str, config: dict | None = None, expected: DataFrame | None = None, seed: int | None = None, inputs: dict | None = None) -> dict:
     """Ids in order, in ranged part files, and beside them a manifest that counts and digests; both or neither stay.
 
     No records, a repeated id, the id of unnamed images, an unknown split, or ids that don't cover ``expected`` fail.
@@ -105,7 +108,7 @@ def write_predictions(df: DataFrame, folder: str, model: str, split: str, config
     spark = df.sparkSession
     df.orderBy("image_id").write.mode("error").json(folder)
     try:
-        manifest = prediction_manifest(spark, folder, model, split, config or {}, seed)
+        manifest = prediction_manifest(spark, folder, model, split, config or {}, seed, inputs)
         write_json_atomic(beside, manifest)
     except BaseException:
         jvm = spark.sparkContext._jvm
@@ -115,16 +118,25 @@ def write_predictions(df: DataFrame, folder: str, model: str, split: str, config
     return manifest
 
 
-def prediction_manifest(spark: SparkSession, folder: str, model: str, split: str, config: dict, seed: int | None) -> dict:
-    """Counts lines and digests them without regard to part files: the sum and exclusive or of line hashes, and the digest of the ids."""
-    lines = spark.read.option("lineSep", "\n").text(folder)
-    row = lines.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("value")).alias("x"), F.sum(F.xxhash64("value") % 1_000_003).alias("s")).first()
+def prediction_manifest(spark: SparkSession, folder: str, model: str, split: str, config: dict, seed: int | None, inputs: dict | None = None) -> dict:
+    """What the files of a folder hold: their lines, the Merkle digest of their bytes (digests.py), and where they come from."""
+    n = spark.read.option("lineSep", "\n").text(folder).count()
     return {
-        "manifest_version": MANIFEST_VERSION, "model": model, "split": split, "n_records": row["n"], "digest": f"{row['x'] & (2**64 - 1):016x}-{row['s']}",
-        "predictions_file": os.path.basename(folder.rstrip("/")), "config_hash": config_hash(config), "seed": seed,
+        "manifest_version": MANIFEST_VERSION, "model": model, "split": split, "n_records": n, "sha256": folder_digest(file_digests(spark, folder)).first()["sha256"],
+        "predictions_file": os.path.basename(folder.rstrip("/")), "config_hash": config_hash(config), "seed": seed, "inputs": inputs, "git_sha": git_sha(),
+        "schema_version": SCHEMA_VERSION,
     }
 
 
+def git_sha() -> str | None:
+    """The commit of the working folder; none outside of a work tree or without git."""
+    try:
+        said = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return said.stdout.strip() or None if said.returncode == 0 else None
+
+
 def out_of_order(df: DataFrame, key: str = "image_id") -> int:
     """How many keys of records read from files do not ascend strictly, inside files and from one file to the next by name."""
     at = df.select(F.col(key).alias("k"), F.struct("_metadata.file_name", "_metadata.file_block_start").alias("p"), F.monotonically_increasing_id().alias("i"))
@@ -135,13 +147,13 @@ def out_of_order(df: DataFrame, key: str = "image_id") -> int:
 
 
 def read_predictions(spark: SparkSession, folder: str, schema: str = DESCRIPTION) -> DataFrame:
-    """Records whose manifest is right: version, name, count, digest, ids that ascend strictly; malformed lines fail."""
+    """Records whose manifest is right: version, name, count, digest of the files' bytes, ids that ascend strictly; malformed lines fail."""
     manifest = read_json(manifest_path(folder))
     version = manifest.get("manifest_version")
     if isinstance(version, bool) or not isinstance(version, int) or not 1 <= version <= MANIFEST_VERSION:
         raise ValueError(f"the manifest has version {version!r}, this reader knows {MANIFEST_VERSION}")
     found = prediction_manifest(spark, folder, manifest.get("model"), manifest.get("split"), {}, manifest.get("seed"))
-    for key in ("predictions_file", "n_records", "digest"):
+    for key in ("predictions_file", "n_records", "sha256"):
         if found[key] != manifest.get(key):
             raise ValueError(f"the manifest does not describe these predictions: {key} is {found[key]!r}, not {manifest.get(key)!r}")
     df = read_jsonl(spark, folder, schema)
@@ -195,7 +207,7 @@ def metric_record(stage: str, model: str, split: str, n_items: int, metrics: dic
         raise ValueError("the stamp has no time zone")
     return {
         "stage": stage, "model": model, "split": split, "n_items": n_items, "metrics": metrics, "config_hash": config_hash(config), "provenance": provenance,
-        "baseline": baseline, "seed": seed, "inputs": inputs, "schema_version": SCHEMA_VERSION, "timestamp": stamp.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "baseline": baseline, "seed": seed, "inputs": inputs, "git_sha": git_sha(), "schema_version": SCHEMA_VERSION, "timestamp": stamp.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
     }
 
 

@@ -151,10 +151,20 @@ def test_predictions(spark, tmp_path):
     m = records.write_predictions(df, path, "m", "test", {"k": 1}, df.select("image_id"))
     assert m["n_records"] == 3 and records.read_predictions(spark, path, schema).count() == 3
     sidecar = tmp_path / "m_test.manifest.json"
-    for change in ({"n_records": 4}, {"digest": "0"}, {"manifest_version": 2}, {"manifest_version": True}, {"predictions_file": "other.jsonl"}):
+    for change in ({"n_records": 4}, {"sha256": "0"}, {"manifest_version": 2}, {"manifest_version": True}, {"predictions_file": "other.jsonl"}):
         sidecar.write_text(json.dumps(m | change))
         with pytest.raises(ValueError):
             records.read_predictions(spark, path, schema)
+    assert m["inputs"] is None and set(m) == {"manifest_version", "model", "split", "n_records", "sha256", "predictions_file", "config_hash", "seed", "inputs", "git_sha", "schema_version"}
+    sidecar.write_text(json.dumps(m))
+    part = next(p for p in sorted((tmp_path / "m_test.jsonl").glob("part-*.json")) if p.stat().st_size)
+    body = part.read_bytes()
+    part.write_bytes(body.replace(b"z", b"Z", 1) if b"z" in body else body.replace(b"x", b"X", 1))
+    (tmp_path / "m_test.jsonl" / f".{part.name}.crc").unlink()
+    with pytest.raises(ValueError, match="sha256"):
+        records.read_predictions(spark, path, schema)
+    part.write_bytes(body)
+    assert records.read_predictions(spark, path, schema).count() == 3
     bad = {"empty": df.limit(0), "twice": df.unionByName(df), "unnamed": spark.createDataFrame([("in_memory", "x")], schema), "short": df.where("image_id <> 'a'")}
     for name, rows in bad.items():
         with pytest.raises(ValueError):
