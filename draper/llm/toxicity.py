@@ -163,7 +163,9 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known.where("toxic = 0").orderBy(*order).limit(MAX_LABELLED)
     )
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = scratch.table(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    # of rows that share an id one counts, so the sample is bounded in rows; repeats are put together before the shuffle
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = scratch.table(one.select("doc_id", "text", "toxic"), "sample")
     sample = sample.repartition(F.col("doc_id"))
     calibrate = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     counts = scratch.table(

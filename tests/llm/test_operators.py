@@ -542,6 +542,16 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in toxicity.score_toxicity(df, lab.limit(0)).collect()} == {0}
 
 
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(30, rng) + (" wicked vile" if i % 3 == 0 else "")) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    score = lambda df: {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, labels).collect()}
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.unionByName(spark.createDataFrame([rows[7]] * 300, "doc_id long, text string"))
+    assert score(often.repartition(3)) == score(once)
+
+
 def test_near_dedup_keeps_other_texts_of_an_id(spark):
     import corpus_pipeline as cp
 
