@@ -330,14 +330,15 @@ class Repeats:
         smaller = self.smaller
         joined = self.texts.join(asked, "cid").select("cid", "text", "id", "asks")
         found = joined.mapInArrow(run, "name long, apart boolean, known boolean, cid long, id long, pos int" + (", more array<int>" if smaller else ""))
-        # counted with map-side partials and joined back, so that a name in most texts is no single task
-        found = self.scratch.table(found, "windows")
         if self.smaller:
+            # counted with map-side partials and joined back, so that a name in most texts is no single task
+            found = self.scratch.table(found, "windows")
             again = found.groupBy("name", "apart").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
             kept = found.join(again, ["name", "apart"], "left").where("known or id > least")
             return kept.select("cid", F.explode(F.concat(F.array("pos"), "more")).alias("pos"))
-        again = found.groupBy("name", "apart").agg(F.count("*").alias("n")).where("n > 1")
-        return found.join(again, ["name", "apart"], "left").where("known or n is not null").select("cid", "pos")
+        # bytes have about 50 windows for one of words; written and joined back they would pass the check tool's disk (README)
+        same = Window.partitionBy("name", "apart")
+        return found.drop("id").withColumn("n", F.count("*").over(same)).where("known or n > 1").select("cid", "pos")
 
     def starts(self) -> DataFrame:
         """(cid, starts): where windows that repeat start, enough of them to cover every repeated symbol."""
