@@ -93,23 +93,15 @@ def test_label_folders_that_disagree(spark, tmp_path):
         folders.read_label_folder(spark, str(tmp_path / "less")).collect()
 
 
-def test_staging_and_inventory(spark, tmp_path):
-    source, raw = tmp_path / "source", tmp_path / "raw"
-    label_files(source / "labels")
-    (source / "images").mkdir()
-    (source / "images" / "a.jpg").write_bytes(b"x" * 1500)
-    (source / "densepose" / "images").mkdir(parents=True)
-    (source / "densepose" / "images" / "b.jpg").write_bytes(b"x")
-    (source / "captions.json").write_text(json.dumps({"a": "one", "b": "two"}))
-    assert folders.stage_group(source, raw, "labels", dry_run=True) == (4, 0) and not raw.exists()
-    assert {g: folders.stage_group(source, raw, g) for g in folders.GROUPS} == {"labels": (4, 0), "captions": (1, 0), "parsing": (0, 0), "images": (1, 0)}
-    assert folders.stage_group(source, raw, "images") == (0, 1)
+def test_inventory(spark, tmp_path):
+    raw = tmp_path / "raw"
+    label_files(raw / "labels")
+    (raw / "images").mkdir()
+    (raw / "images" / "a.jpg").write_bytes(b"x" * 1500)
+    (raw / "captions.json").write_text(json.dumps({"a": "one", "b": "two"}))
     assert folders.find_caption_file(spark, str(raw)).endswith("captions.json")
     seen = {r.relpath: r for r in folders.inventory(spark, str(raw)).collect()}
     assert (seen["images/"].sample, seen["images/"].shown, seen["captions.json"].entries, seen["labels/notes.txt"].lines) == ("1 files", "1.5 KB", 2, 1)
-    assert folders.resolve_source(None, "DRAPER_NO_SUCH") is None
-    with pytest.raises(NotADirectoryError):
-        folders.resolve_source(str(tmp_path / "gone"))
     have = lambda *ids: spark.createDataFrame([(i,) for i in ids], "image_id string")
     assert tuple(folders.input_report(have("a", "b", "c"), have("a", "b"), have("a")).first()) == (3, 1, 2, ["b", "c"])
     with pytest.raises(ValueError, match="first missing: b"):
@@ -293,14 +285,11 @@ def test_stages_prompts_and_reports(spark, tmp_path):
     assert [r[0] for r in c.select(reports.export_path(F.col("p"), "/r", "/d")).collect()] == ["x/y", "data/raw/z", "", "x/y"]
 
 
-def test_command_line(tmp_path, capsys):
+def test_command_line(capsys):
     from draper.__main__ import main
 
     assert main(["list"]) == 0 and "rule_score" in capsys.readouterr().out
     assert main(["sql", "top_longest"]) == 0 and "ORDER BY" in capsys.readouterr().out
-    (tmp_path / "s").mkdir()
-    assert main(["stage", "--from", str(tmp_path / "s"), "--into", str(tmp_path / "r"), "--group", "images"]) == 0
-    assert capsys.readouterr().out == "images: 0 copied, 0 already present\n"
 
 
 @pytest.mark.parametrize("rows,auc", [([(1, 0.9), (0, 0.1)], 1.0), ([(1, 0.1), (0, 0.9)], 0.0), ([(1, 0.5), (0, 0.5)], 0.5), ([(1, 0.5)], None)])
