@@ -381,7 +381,7 @@ def donor_pairs(spark, d):
     return donors(garments(spark, d), read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("grp")))
 
 
-_BAGS = _DONORS.replace(GARMENTS, GARMENTS.replace("garments AS (", "dressed AS (", 1) + ", garments AS (SELECT * REPLACE (CASE WHEN image_id % 19 = 0 THEN 'bag' ELSE slot END AS slot) FROM dressed)\n", 1)
+_BAGS = _DONORS.replace(GARMENTS, GARMENTS.replace("garments AS (", "dressed AS (", 1) + ", garments AS (SELECT * REPLACE (CASE WHEN image_id % 19 = 0 THEN 'bag' ELSE slot END AS slot) FROM dressed)\n", 1).replace("o_custkey AS grp", "CASE WHEN o_custkey % 25 = 0 THEN o_custkey ELSE -1 END AS grp")
 
 
 @query(f"""WITH {_BAGS}, wanted AS (SELECT image_id, slot, list_position(['upper', 'lower', 'outer', 'dress', 'footwear'], slot) AS c, donor_id, o.grp FROM (SELECT DISTINCT image_id, slot FROM garments) LEFT JOIN donors USING (image_id, slot) LEFT JOIN owner o ON donor_id = o.image_id),
@@ -390,10 +390,11 @@ r AS (SELECT unnest([CASE WHEN slots = 0 THEN 'no_eligible_slot' END, CASE WHEN
  CASE WHEN slots = 0 THEN NULL WHEN found < slots THEN 'easy_incomplete' WHEN groups < least(2, slots) THEN 'easy_one_donor_group' ELSE 'easy' END]) AS reason FROM e)
 SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")
 def attrition(spark, d):
-    """Every 19th outfit is bags only, so that some have no slot to swap."""
+    """Every 19th outfit is bags only, so that some have no slot to swap; most belong to one group, so that donors are rare."""
     from draper.operators import pairs
 
-    owner = read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("grp"))
+    grp = F.when(F.col("o_custkey") % 25 == 0, F.col("o_custkey")).otherwise(-1)
+    owner = read(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"), grp.alias("grp"))
     g = garments(spark, d).withColumn("slot", F.when(F.col("image_id") % 19 == 0, "bag").otherwise(F.col("slot")))
     return pairs.attrition(g, pairs.donors(g, owner), owner)
 
