@@ -201,3 +201,22 @@ def test_outfits_without_evidence_obey_the_rules_where_the_book_says_so(spark):
     named, scored = rules.rule_score(g).first(), rules.rule_score(g, book=BOOK).first()
     assert (named.overall, named.issues) == (50.0, "other") and (scored.overall, scored.issues, scored.majors) == (100.0, "", 0)
     assert [len(roast.issues(g, *book).first().issues) for book in ((), (BOOK,))] == [1, 0]
+
+
+def test_a_group_with_nearly_all_garments_is_met_from_the_other_side(spark):
+    """The first draw that finds a donor, by brute force over every draw."""
+    n = 300
+    rows = [{"image_id": str(i), "neckline": None if i % 3 else "round"} for i in range(n)]
+    g = garments(spark, rows).withColumn("image_id", F.col("image_id").cast("long"))
+    owner = g.select("image_id", F.when(F.col("image_id") % 20 == 0, F.col("image_id")).otherwise(-1).alias("grp"))
+    asked = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(pairs.DRAWS - 1))).alias("k"))
+    key = pairs.slot_code(F.lit("upper")) * pairs.DRAWS + F.col("k")
+    asked = asked.withColumn("want", pairs.permuted(F.col("id"), F.lit(n).cast("long"), key))
+    want = {}
+    for r in asked.orderBy("k").collect():
+        i, j = r.id, r.want
+        if i != j and bool(i % 3) != bool(j % 3) and (i % 20 == 0 or j % 20 == 0):
+            want.setdefault(i, (r.k, j))
+    assert {r.image_id: (r.k, r.donor_id) for r in pairs.donors(g, owner).collect()} == want
+    back = asked.withColumn("back", pairs.permuted(F.col("want"), F.lit(n).cast("long"), key, True))
+    assert back.where("back <> id").count() == 0
