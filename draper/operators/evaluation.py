@@ -21,15 +21,20 @@ def scores_by_recipient(scores: DataFrame) -> DataFrame:
     return scores.groupBy("recipient_id").agg(*at).where("observed is not null")
 
 
+def counted(wide: DataFrame) -> DataFrame:
+    """The distinct triples of scores with the number n of their recipients: all that the metrics read."""
+    return wide.groupBy(*KINDS).agg(F.count("*").alias("n"))
+
+
 def two_sample_aucs(wide: DataFrame) -> DataFrame:
-    """(metric, auc): observed against hard and easy scores of the same recipients, and all observed against all negatives."""
+    """(metric, auc) of ``counted`` triples: observed against hard and easy scores of the same recipients, and all observed against all negatives."""
     o, h, e = (F.col(k) for k in KINDS)
     one = lambda metric, label, score: F.when(score.isNotNull(), F.struct(F.lit(metric).alias("metric"), F.lit(label).alias("label"), score.alias("score")))
     sides = [one("auc_pooled", 1, o)]
     for name, negative in (("auc_hard", h), ("auc_easy", e)):
         sides += [one(name, 0, negative), one("auc_pooled", 0, negative), one(name, 1, F.when(negative.isNotNull(), o))]
-    rows = wide.select(F.explode(F.array_compact(F.array(*sides))).alias("x")).select("x.*")
-    return rank_auc(rows, group=("metric",))
+    rows = wide.select(F.explode(F.array_compact(F.array(*sides))).alias("x"), "n").select("x.*", "n")
+    return rank_auc(rows, "n", ("metric",))
 
 
 def _wins(a: Column, b: Column) -> Column:
@@ -42,13 +47,15 @@ def evaluate_scorer(scores: DataFrame) -> DataFrame:
 
     Negatives without an observed score of their recipient don't count; a recipient is ranked if it has all three.
     """
-    wide = scores_by_recipient(scores)
+    wide = counted(scores_by_recipient(scores)).localCheckpoint()  # read four times below; what made the scores runs once
     o, h, e = (F.col(k) for k in KINDS)
     ordered = F.when(h.isNotNull() & e.isNotNull(), ((o >= h) & (h >= e)).cast("double"))
+    size = lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), F.col("n"))), F.lit(0)).cast("double")
+    mean = lambda c: F.try_divide(F.sum(c * F.col("n")), F.sum(F.when(c.isNotNull(), F.col("n"))))
     one = wide.agg(
-        F.count("*").cast("double").alias("n_observed"), F.count(h).cast("double").alias("n_hard"), F.count(e).cast("double").alias("n_easy"),
-        F.count(ordered).cast("double").alias("n_ranked"), F.avg(_wins(o, h)).alias("accuracy_hard"), F.avg(_wins(o, e)).alias("accuracy_easy"),
-        F.avg(ordered).alias("ranking_accuracy"), F.avg(o).alias("mean_observed"), F.avg(h).alias("mean_hard"), F.avg(e).alias("mean_easy"),
+        size(o).alias("n_observed"), size(h).alias("n_hard"), size(e).alias("n_easy"),
+        size(ordered).alias("n_ranked"), mean(_wins(o, h)).alias("accuracy_hard"), mean(_wins(o, e)).alias("accuracy_easy"),
+        mean(ordered).alias("ranking_accuracy"), mean(o).alias("mean_observed"), mean(h).alias("mean_hard"), mean(e).alias("mean_easy"),
     )
     aucs = wide.sparkSession.createDataFrame([("auc_hard",), ("auc_easy",), ("auc_pooled",)], "metric string").join(two_sample_aucs(wide), "metric", "left")
     return one.unpivot([], one.columns, "metric", "value").unionByName(aucs.select("metric", F.col("auc").cast("double").alias("value")))

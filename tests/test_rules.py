@@ -220,3 +220,23 @@ def test_a_group_with_nearly_all_garments_is_met_from_the_other_side(spark):
     assert {r.image_id: (r.k, r.donor_id) for r in pairs.donors(g, owner).collect()} == want
     back = asked.withColumn("back", pairs.permuted(F.col("want"), F.lit(n).cast("long"), key, True))
     assert back.where("back <> id").count() == 0
+
+
+def test_scores_are_made_once_for_all_metrics(spark):
+    rows = spark.createDataFrame([(i, k, float((i * 7 + n * 3) % 5)) for i in range(40) for n, k in enumerate(evaluation.KINDS)], "recipient_id int, kind string, score double")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for p in parts:
+            read.add(p.num_rows)
+            yield p
+
+    got = {r.metric: r.value for r in evaluation.evaluate_scorer(rows.mapInArrow(seen, rows.schema)).collect()}
+    assert (got["n_ranked"], read.value) == (40, 120)
+
+
+def test_versions_of_an_outfit_are_scored_by_their_keys(spark):
+    g = garments(spark, [{"area": 0.5}, {"pos": 1, "slot": "lower", "category": "blazer", "color": "blue"}])
+    both = g.withColumn("kind", F.lit("a")).unionByName(g.where("pos = 0").withColumn("kind", F.lit("b")))
+    got = {(r.image_id, r.kind): r.overall for r in rules.rule_score(both, by=("image_id", "kind")).collect()}
+    assert got == {("x", "a"): rules.rule_score(g).first().overall, ("x", "b"): rules.rule_score(g.where("pos = 0")).first().overall}
