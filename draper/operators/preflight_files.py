@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draper.functions import vocab as V
 from draper.operators import palette, preflight
 from draper.operators.descriptions import describe, training_answers
 from draper.operators.perception import apply_measured, mask_skeleton
@@ -44,7 +43,5 @@ def check_folders(spark: SparkSession, requested: DataFrame, table: DataFrame, p
     pixels = read_label_masks(spark, masks)
     wanted = table.join(requested.select("image_id"), "image_id", "left_semi")
     told = training_targets(wanted, pixels, read_photos(spark, photos)) if answers is None else answers
-    known = F.transform("garments", lambda g: g.withField("color", F.when(g["color"].isin(*V.REFERENCE_RGB, "unknown"), g["color"]).otherwise("unknown")))
-    trips = preflight.round_trip_errors(told, preflight.keyed_garments(told).withColumn("garments", known))
     sizes = read_headers(spark, photos).groupBy("image_id").agg(F.min_by(F.struct("width", "height"), "path").alias("s")).select("image_id", "s.*")
-    return preflight.cascade(requested, table, sizes, slots_of(mask_sizes(spark, masks), pixels), told, trips)
+    return preflight.cascade(requested, table, sizes, slots_of(mask_sizes(spark, masks), pixels), preflight.tried_answers(told, preflight.known_colors))
