@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from draper.functions import text
-from draper.operators import preflight
+from draper.operators import free_text, preflight
 from draper.plans import catalogue
 
 
@@ -46,3 +47,13 @@ def test_safe_texts_meet_one_pattern(spark):
     plan = _plan(spark.range(1).select(text.safety_flags(F.col("id").cast("string")).alias("f")))
     assert plan.count("lower(") == plan.count("regexp_replace(") == 1
     assert spark.sql("SELECT 'A DAMN  real woman' AS t UNION ALL SELECT 'hello' UNION ALL SELECT NULL").select(text.safety_flags(F.col("t"))).collect() == [("safety:gender,safety:profanity",), ("",), ("",)]
+
+
+def test_equal_short_texts_and_fields_are_parsed_once(monkeypatch):
+    read, lines = [], free_text.garments_of
+    monkeypatch.setattr(free_text, "garments_of", lambda t: read.append(t) or lines(t))
+    one, long = "upper: test shirt | color=red", "upper: shirt | color=red " + " " * free_text.SHORT
+    got = free_text._parse_batch(pa.array([one, one, None, one, long, long])).to_pylist()
+    assert read.count(one) == 1 and read.count(long) == 2
+    assert got == [free_text.parse(t) for t in (one, one, None, one, long, long)]
+    assert free_text.key_and_rest("upper: shirt") == ("upper", "shirt") and free_text.key_and_rest("upper:") == ("upper", "")
