@@ -33,6 +33,11 @@ def first_garments(g: DataFrame) -> DataFrame:
     return g.groupBy("image_id").agg(*[F.min_by(F.when(F.col("slot") == s, one), F.when(F.col("slot") == s, F.col("pos"))).alias(s) for s in COLOURED])
 
 
+def nested(g: DataFrame, name: str) -> DataFrame:
+    """image_id and a struct of the first garments of its slots."""
+    return first_garments(g).select("image_id", F.struct(*COLOURED).alias(name))
+
+
 def slot_value(garments: str, slots: list[str], field: str) -> Column:
     """The field of the first slot that is present, na if that has none or no slot is present."""
     at = [F.col(f"{garments}.{s}") for s in slots]
@@ -64,8 +69,11 @@ def comparisons(labels: DataFrame, truth: DataFrame, predicted: DataFrame) -> Da
     Colours are compared in the slots that the truth has, textures by region, shapes once an
     image and unsupervised where the labels have no shape.
     """
-    nest = lambda g, name: first_garments(g).select("image_id", F.struct(*COLOURED).alias(name))
-    j = covering(covering(labels, nest(truth, "t"), "true garments"), nest(predicted, "p"), "predictions")
+    return compared(covering(covering(labels, nested(truth, "t"), "true garments"), nested(predicted, "p"), "predictions"))
+
+
+def compared(j: DataFrame) -> DataFrame:
+    """The comparisons of labels that were joined with the true garments (``nested`` as t) and the predicted ones (as p)."""
     row = lambda field, actual, guess, sure: F.struct(F.lit(field).alias("field"), actual.alias("actual"), guess.alias("predicted"), sure.alias("supervised"))
     made = [F.when(F.col(f"t.{s}").isNotNull(), row("color", F.coalesce(F.col(f"t.{s}.color"), F.lit("na")), slot_value("p", [s], "color"), F.lit(True))) for s in COLOURED]
     made += [row(f, F.col(c), slot_value("p", slots, f), F.lit(True)) for f, columns in TEXTURE.items() for c, slots in columns.items()]
@@ -76,12 +84,20 @@ def comparisons(labels: DataFrame, truth: DataFrame, predicted: DataFrame) -> Da
 def field_metrics(compared: DataFrame) -> DataFrame:
     """field, n, accuracy, macro_f1, excluded, undefined (the reason, where nothing could be compared)."""
     every = compared.sparkSession.createDataFrame([(f,) for f in COMPARED], "field string")
-    excluded = compared.groupBy("field").agg(F.count_if(~F.col("supervised")).alias("excluded"))
-    measured = accuracy_macro_f1(compared.where("supervised").select("field", "actual", "predicted"))
-    j = every.join(measured, "field", "left").join(excluded, "field", "left")
+    c = compared.groupBy("field", "actual", "predicted").agg(F.count_if("supervised").alias("n"), F.count_if(~F.col("supervised")).alias("excluded"))
+    # a pair counts for both of its labels, but its rows for the first only: one pass gives all figures
+    right, none = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0), F.lit(0).cast("long")
+    side = lambda label, *sums: F.struct(F.col(label).alias("label"), F.col("n").alias("seen"), *[x.alias(k) for k, x in zip(("right", "n", "excluded"), sums)])
+    sides = c.select("field", F.explode(F.array(side("actual", right, F.col("n"), F.col("excluded")), side("predicted", none, none, none))).alias("x")).select("field", "x.*")
+    by = sides.groupBy("field", "label").agg(*[F.sum(k).alias(k) for k in ("seen", "right", "n", "excluded")])
+    measured = by.groupBy("field").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("right"), F.sum("n")).alias("accuracy"),
+        F.avg(F.try_divide(2 * F.col("right"), F.col("seen"))).alias("macro_f1"), F.sum("excluded").alias("excluded"),
+    )
+    j = every.join(measured, "field", "left")
     return j.select(
         "field", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "accuracy", "macro_f1", F.coalesce("excluded", F.lit(0)).cast("long").alias("excluded"),
-        F.when(F.col("n").isNull(), "no_supervised_rows").alias("undefined"),
+        F.when(F.coalesce("n", F.lit(0)) == 0, "no_supervised_rows").alias("undefined"),
     )
 
 

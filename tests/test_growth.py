@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from draper.functions import text
-from draper.operators import free_text, preflight
+from draper.operators import free_text, perception_eval, preflight
 from draper.plans import catalogue
 
 
@@ -57,3 +57,13 @@ def test_equal_short_texts_and_fields_are_parsed_once(monkeypatch):
     assert read.count(one) == 1 and read.count(long) == 2
     assert got == [free_text.parse(t) for t in (one, one, None, one, long, long)]
     assert free_text.key_and_rest("upper: shirt") == ("upper", "shirt") and free_text.key_and_rest("upper:") == ("upper", "")
+
+
+def test_perception_reads_each_side_and_the_comparisons_once(spark):
+    compared = spark.sql("SELECT 'color' AS field, if(id = 3, 'blue', 'red') AS actual, 'red' AS predicted, id < 4 AS supervised FROM range(5) UNION ALL SELECT 'length', 'na', 'na', false FROM range(2)")
+    m = perception_eval.field_metrics(compared)
+    assert _plan(m).count("Range (") == 2
+    got = {r.field: (r.n, r.accuracy, r.macro_f1, r.excluded, r.undefined) for r in m.collect()}
+    assert got["color"] == (4, 0.75, (6 / 7 + 0) / 2, 1, None) and got["length"] == (0, None, None, 2, "no_supervised_rows")
+    assert got["fabric"] == (0, None, None, 0, "no_supervised_rows")
+    assert _plan(catalogue.QUERIES["perception_metrics"](spark, SF)).count("Relation [p_partkey") == 1
