@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from draper.operators import pairs
 from draper.plans import catalogue
 from draper.plans.adapter import garments, read
 
@@ -34,3 +36,20 @@ def test_lines_without_a_part_or_with_two(spark, tmp_path):
     plain = lambda rows: sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE['garments_long']})").fetchall()
     assert plain(df.collect()) == plain(want) and len(want) > 100
+
+
+def test_palette_tasks_follow_the_input(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        reading = read(spark, SF, "lineitem").rdd.getNumPartitions()
+        df = catalogue.QUERIES["palette"](spark, SF)
+        assert reading > 1 and df.rdd.getNumPartitions() == 4 * reading
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_donors_bring_their_group(spark):
+    owner = read(spark, SF, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("grp"))
+    found = pairs.grouped_donors(garments(spark, SF).where("image_id < 200"), owner).collect()
+    group = {r.image_id: r.grp for r in owner.collect()}
+    assert len(found) > 100 and all(r.donor_grp == group[r.donor_id] != group[r.image_id] for r in found)
