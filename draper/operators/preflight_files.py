@@ -31,7 +31,7 @@ def training_targets(table: DataFrame, masks: DataFrame, photos: DataFrame) -> D
     """(image_id, answer): the garments that labels and masks give, coloured by the photographs."""
     whole = masks.where("unread is null").drop("unread")
     garments = describe(table, mask_skeleton(mask_counts(whole)))
-    return training_answers(apply_measured(garments, palette.measure(with_masks(photos, whole))))
+    return training_answers(apply_measured(garments, palette.measure(with_masks(photos, whole), 1)))
 
 
 def check_folders(spark: SparkSession, requested: DataFrame, table: DataFrame, photos: str, masks: str, answers: DataFrame | None = None) -> DataFrame:

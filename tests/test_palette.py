@@ -90,3 +90,18 @@ def test_settings_take_effect(spark):
     df = spark.createDataFrame([("x", rgb.tobytes(), None)], "image_id string, rgb binary, mask binary")
     assert [round(r.share, 9) for r in P.measure(df, 3, {**V.PALETTE, "n_clusters": 2}).collect()] == [0.8, 0.2]
     assert [round(r.share, 9) for r in P.measure(df, 3, {**V.PALETTE, "min_area_fraction": 0.25}).collect()] == [0.625, 0.375]
+
+
+def test_all_dominant_colours_are_measured(spark):
+    rgb = np.repeat(np.array([[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 0], [0, 0, 0]], np.uint8), [40, 30, 15, 14, 1], axis=0)
+    df = spark.createDataFrame([("x", rgb.tobytes(), bytes([1] * 70 + [3] * 30)), ("y", rgb.tobytes(), None)], "image_id string, rgb binary, mask binary")
+    got = sorted((r.image_id, str(r.slot), round(r.share, 6)) for r in P.measure(df).collect())
+    assert [g for g in got if g[0] == "x"] == [("x", "lower", round(1 / 30, 6)), ("x", "lower", round(14 / 30, 6)), ("x", "lower", 0.5), ("x", "upper", round(3 / 7, 6)), ("x", "upper", round(4 / 7, 6))]
+    assert len([g for g in got if g[0] == "y"]) == 3 and len(P.measure(df, 1).collect()) == 3
+
+
+def test_palette_query_returns_more_than_the_first_colour(spark):
+    from draper.plans import catalogue
+
+    found = catalogue.QUERIES["palette"](spark, "/root/testdata/sf0.001")
+    assert found.groupBy("image_id", "slot").count().where("count > 1").count() > 0
